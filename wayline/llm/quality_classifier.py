@@ -34,6 +34,8 @@ class Params:
     rounds: int = 120
     rate: float = 0.15
     ridge: float = 1e-4
+    doubt: float = 2.0  # standard errors by which a feature's log ratio is shrunk
+    least_rows: int = 4  # rarer features are not fitted
     tail: int = 2  # kept documents reach this grade
     threshold: float = 0.5
 
@@ -88,29 +90,46 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(score[:, None] - self.thresholds[None, :], -40, 40)))
 
 
+def _evidence(rows: np.ndarray, feats: np.ndarray, grade: np.ndarray, p: Params) -> np.ndarray:
+    """Per feature the largest absolute log ratio of its rates above and below any threshold; 0 if it is rare."""
+    size = 1 << p.bits
+    by_grade = np.stack([np.bincount(feats[grade[rows] == g], minlength=size) for g in range(p.grades)]).astype(float)
+    rated = np.bincount(grade, minlength=p.grades).astype(float)
+    out = np.zeros(size)
+    for k in range(1, p.grades):
+        low, high = by_grade[:k].sum(0), by_grade[k:].sum(0)
+        ratio = np.log((low + 0.5) / (rated[:k].sum() + 1)) - np.log((high + 0.5) / (rated[k:].sum() + 1))
+        spread = np.sqrt(1 / (low + 0.5) + 1 / (high + 0.5))
+        out = np.maximum(out, np.maximum(0, np.abs(ratio) - p.doubt * spread))
+    return np.where(by_grade.sum(0) >= p.least_rows, out, 0)
+
+
 def fit_arrays(rows: np.ndarray, feats: np.ndarray, grade: np.ndarray, p: Params) -> Model:
-    """Full-batch adaptive gradient steps on the mean cumulative log loss; grades weigh alike."""
+    """Full-batch adaptive gradient steps on the mean cumulative log loss; features are scaled by their evidence."""
     n, size, k = len(grade), 1 << p.bits, p.grades - 1
     w = np.zeros(size)
     cut = np.linspace(-1, 1, k) if k > 1 else np.zeros(1)
     if not n:
         return Model(w, cut, p.bits)
+    scale = _evidence(rows, feats, grade, p)
+    used = scale[feats] > 0
+    rows, feats = rows[used], feats[used]
     share = np.bincount(grade, minlength=p.grades)
     weight = 1 / np.sqrt(np.maximum(share, 1))[grade]
     weight /= weight.sum()
     target = (grade[:, None] > np.arange(k)[None, :]).astype(float)
     seen_w, seen_c = np.full(size, 1e-12), np.full(k, 1e-12)
     for _ in range(p.rounds):
-        score = np.bincount(rows, w[feats], minlength=n)
+        score = np.bincount(rows, (w * scale)[feats], minlength=n)
         chance = 1 / (1 + np.exp(-np.clip(score[:, None] - cut[None, :], -40, 40)))
         gap = (chance - target) * weight[:, None]
-        g = np.bincount(feats, gap.sum(1)[rows], minlength=size) + p.ridge * w
+        g = np.bincount(feats, gap.sum(1)[rows], minlength=size) * scale + p.ridge * w
         c = -gap.sum(0)
         seen_w += g * g
         seen_c += c * c
         w -= p.rate * g / np.sqrt(seen_w)
         cut = np.maximum.accumulate(cut - p.rate * c / np.sqrt(seen_c))
-    return Model(w, cut, p.bits)
+    return Model(w * scale, cut, p.bits)
 
 
 def fit(rated: DataFrame, p: Params = Params(), id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade") -> Model:

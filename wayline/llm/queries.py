@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_rules
+from . import packing, pii, quality_classifier, quality_rules, sharding
 from .common import table
 
 
@@ -22,6 +22,33 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "source")
+    return sharding.place(docs, "doc_id", [f"shard-{i:03d}" for i in range(64)]).select("doc_id", "slot", "shard")
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades: 0 toxic, 1 poor, 2 good."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    grade = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).when(F.col("quality") == 1, 2)
+    rated = table(spark, sf_dir, "labels").select("doc_id", grade.alias("grade"))
+    model = quality_classifier.fit(quality_classifier.sample_rated(docs, rated))
+    return quality_classifier.score(docs, model)
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = pii.detect(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return pii.digest(found)
+
+
 QUERIES = {
     "op2_quality_rules": op2_quality_rules,
+    "op4_packing": op4_packing,
+    "op5_sharding": op5_sharding,
+    "op6_quality_classifier": op6_quality_classifier,
+    "op9_pii": op9_pii,
 }
