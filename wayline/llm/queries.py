@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, pii, quality_classifier, quality_rules, sharding
+from . import ngram_join, packing, pii, quality_classifier, quality_rules, sharding
 from .common import table
 
 
@@ -45,10 +45,16 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(found)
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _, roots = ngram_join.join(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return ngram_join.group_ids(rows, roots)
+
+
 QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op4_packing": op4_packing,
     "op5_sharding": op5_sharding,
     "op6_quality_classifier": op6_quality_classifier,
     "op9_pii": op9_pii,
+    "op10_ngram_join": op10_ngram_join,
 }
