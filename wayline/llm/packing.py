@@ -14,6 +14,7 @@ only the id and text columns are read; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import materialize, slices
 
 CLOSING_ID = 1
-CACHE_WORDS = 400_000
+CACHE_WORDS = 700_000
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 _state: dict = {}
 
@@ -54,7 +55,7 @@ def tokenize(text: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
 
     The vocabulary drops white space and joins nothing across it, so texts are cut at blanks and line ends and
     each distinct piece is encoded once and remembered. ASCII and Latin-1 words share one entry for all cases,
-    with and without a comma or full stop.
+    with and without a comma or full stop after them: a piece is a stem and an ending.
     """
     tokenizer, cache = _tokenizer(path)
     n = len(text)
@@ -64,30 +65,28 @@ def tokenize(text: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     codes, kinds = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
     # case does not matter, and for these letters it is a plain matter of one to one
     plain = pc.match_substring_regex(kinds, r"^[A-Za-zÀ-ÖØ-Þß-öø-ÿ]+[.,]?$")
-    keys = pc.if_else(plain, pc.utf8_lower(kinds), kinds).to_pylist()
-    missing = list(dict.fromkeys(k for k in keys if k not in cache))
+    stop = pc.and_(plain, pc.ends_with(kinds, ".")).to_numpy(zero_copy_only=False)
+    comma = pc.and_(plain, pc.ends_with(kinds, ",")).to_numpy(zero_copy_only=False)
+    stems = pc.if_else(plain, pc.utf8_lower(pc.utf8_rtrim(kinds, ".,")), kinds).dictionary_encode()
+    keys = stems.dictionary.to_pylist()
+    missing = [k for k in keys if k not in cache]
     if len(cache) + len(missing) > CACHE_WORDS:
         cache.clear()
-        missing = list(dict.fromkeys(keys))
-    stems = {}
-    for k, is_plain in zip(keys, plain.to_pylist()):
-        if is_plain and k not in cache and k[-1] in ".,":
-            stems[k] = k[:-1]
-    ends = {c: np.array(tokenizer.encode(c, add_special_tokens=False).ids, np.uint16).tobytes() for c in ".,"} if stems else {}
-    direct = list(dict.fromkeys([k for k in missing if k not in stems] + [s for s in stems.values() if s not in cache]))
-    for a in range(0, len(direct), 4096):
-        part = direct[a : a + 4096]
-        for k, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-            cache[k] = np.array(e.ids, np.uint16).tobytes()
-    for k, s in stems.items():
-        cache[k] = cache[s] + ends[k[-1]]
-    found = [cache[k] for k in keys]
+        missing = keys
+    for a in range(0, len(missing), 4096):
+        part = missing[a : a + 4096]
+        cache.update(zip(part, [struct.pack(f"<{len(e)}H", *e.ids) for e in tokenizer.encode_batch_fast(part, add_special_tokens=False)]))
+    endings = [b"", *(struct.pack(f"<{len(i)}H", *i) for i in (tokenizer.encode(c, add_special_tokens=False).ids for c in ".,"))]
+    found = [cache[k] for k in keys] + endings
     flat = np.frombuffer(b"".join(found), np.uint16)
     size = np.fromiter(map(len, found), np.int64, len(found)) // 2
     begin = np.concatenate([[0], np.cumsum(size)])[:-1]
-    each = size[codes]
-    total = np.bincount(rows, each, minlength=n).astype(np.int64)
-    at = np.repeat(begin[codes] - np.concatenate([[0], np.cumsum(each)])[:-1], each) + np.arange(each.sum())
+    # two segments a piece: its stem's and its ending's ids
+    segment = np.stack([stems.indices.to_numpy(zero_copy_only=False).astype(np.int64), len(keys) + stop + 2 * comma], axis=1)[codes].ravel()
+    each = size[segment]
+    done = np.cumsum(each)
+    at = np.repeat(begin[segment] - done + each, each) + np.arange(each.sum())
+    total = np.bincount(np.repeat(rows, 2), each, minlength=n).astype(np.int64)
     return flat[at], np.concatenate([[0], np.cumsum(total)])
 
 
@@ -96,7 +95,7 @@ def cut(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_len:
     path = tokenizer or default_tokenizer()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text", 8 << 20):
+        for part in slices(batches, "text", 16 << 20):
             ids, offsets = tokenize(part.column("text"), path)
             out: list[tuple] = []
             closing = np.array([CLOSING_ID], np.uint32)
