@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ngram_join, packing, pii, quality_classifier, quality_rules, sharding
+from . import chat_formatting, decontamination, ngram_join, packing, pii, quality_classifier, quality_rules, secret_scans, sharding
 from .common import table
 
 
+def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = r"\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text").unionByName(more)
+    return chat_formatting.digest(chat_formatting.windows(turns))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = quality_rules.ledger(table(spark, sf_dir, "documents", "doc_id", "text"))
     base = quality_rules.POLICIES[0]
@@ -40,6 +47,14 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score(docs, model)
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
+def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scans.digest(secret_scans.detect(table(spark, sf_dir, "documents", "doc_id", "text")))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, _ = pii.detect(table(spark, sf_dir, "documents", "doc_id", "text"))
     return pii.digest(found)
@@ -51,10 +66,13 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_chat_formatting": op1_chat_formatting,
     "op2_quality_rules": op2_quality_rules,
     "op4_packing": op4_packing,
     "op5_sharding": op5_sharding,
     "op6_quality_classifier": op6_quality_classifier,
+    "op7_decontamination": op7_decontamination,
+    "op8_secret_scans": op8_secret_scans,
     "op9_pii": op9_pii,
     "op10_ngram_join": op10_ngram_join,
 }
