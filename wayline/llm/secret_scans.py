@@ -98,7 +98,10 @@ def _tests(p: Params) -> list[str]:
 
 def scan(df: DataFrame, p: Params = Params(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, `base` (start, kind, stop) in order, and `tested`, the other candidates with their results."""
-    out = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return _scan(df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), p, "id")
+
+
+def _scan(out: DataFrame, p: Params, carry: str) -> DataFrame:
     found = {
         "assign": f"filter({_positions(ASSIGN, 'text RLIKE ' + _literal(ASSIGN))}, m -> length(regexp_extract(m.x, {_literal(ASSIGN)}, 2)) >= 6)",
         "access": _positions(ACCESS, "contains(text, 'AKIA')"),
@@ -106,10 +109,10 @@ def scan(df: DataFrame, p: Params = Params(), id_col: str = "doc_id", text_col:
     }
     base = "array_sort(concat(" + ", ".join(f"transform({found[k]}, m -> named_struct('start', m.start, 'kind', {i}, 'stop', m.stop))" for i, k in enumerate(BASE_KINDS)) + "))"
     token = f"filter({_positions(TOKEN, 'text RLIKE ' + _literal(TOKEN))}, m -> m.x RLIKE '[0-9]' OR m.x RLIKE '[a-z].*[A-Z]')"
-    out = out.select("id", F.expr(base).alias("base"), F.expr(token).alias("all"))
-    out = out.select("id", "base", F.expr("filter(all, c -> NOT exists(base, b -> b.start < c.stop AND c.start < b.stop))").alias("c0"))
+    out = out.select(carry, F.expr(base).alias("base"), F.expr(token).alias("all"))
+    out = out.select(carry, "base", F.expr("filter(all, c -> NOT exists(base, b -> b.start < c.stop AND c.start < b.stop))").alias("c0"))
     for i, step in enumerate(_tests(p)):
-        out = out.select("id", "base", F.expr(step).alias(f"c{i + 1}"))
+        out = out.select(carry, "base", F.expr(step).alias(f"c{i + 1}"))
     return out.withColumnRenamed(f"c{len(_tests(p))}", "tested")
 
 
@@ -132,10 +135,33 @@ def thresholds(tested: DataFrame, p: Params = Params()) -> dict[int, int]:
 def detect(df: DataFrame, p: Params = Params(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, `base` and `spans`, arrays of (start, kind, stop) by start, then kind."""
     tested = materialize(scan(df, p, id_col, text_col), "secret-spans")
+    return tested.select(F.col("id").alias(id_col), "base", _accepted(tested, p).alias("spans"))
+
+
+def _accepted(tested: DataFrame, p: Params) -> Column:
+    """Base spans and the added ones, by start, then kind."""
     least = F.array(*[F.lit(x) for x in thresholds(tested, p).values()])
     added = F.filter("tested", lambda c: c.random & (c.bin >= F.element_at(least, c["len"] + 1)))
-    spans = F.array_sort(F.concat("base", F.transform(added, lambda c: F.struct(c.start.alias("start"), F.lit(KINDS.index("random")).alias("kind"), c.stop.alias("stop")))))
-    return tested.select(F.col("id").alias(id_col), "base", spans.alias("spans"))
+    return F.array_sort(F.concat("base", F.transform(added, lambda c: F.struct(c.start.alias("start"), F.lit(KINDS.index("random")).alias("kind"), c.stop.alias("stop")))))
+
+
+def redact(df: DataFrame, p: Params = Params(), text_col: str = "text", length_col: str | None = None, mark: str = "[SECRET]") -> DataFrame:
+    """The input with each span (overlapping ones as one) replaced; length_col follows the text where it changed."""
+    rows = df.select(F.struct(*df.columns).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    tested = materialize(_scan(rows, p, "row"), "secret-rows")
+    found = tested.select("row", _accepted(tested, p).alias("spans"))
+    text = F.col("row").getField(text_col)
+    cut = F.aggregate(
+        "spans",
+        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
+        lambda acc, s: F.struct(F.greatest(acc.at, s.stop).alias("at"), F.when(s.start >= acc.at, F.concat(acc.out, text.substr(acc.at + 1, s.start - acc.at), F.lit(mark))).otherwise(acc.out).alias("out")),
+        lambda acc: F.concat(acc.out, text.substr(acc.at + 1, F.length(text))),
+    )
+    changed = F.size("spans") > 0
+    new = {text_col: F.when(changed, cut).otherwise(text)}
+    found = found.select("row", "spans", new[text_col].alias("_new"))
+    cols = [F.col("_new").alias(c) if c == text_col else F.when(changed, F.length("_new").cast(df.schema[c].dataType)).otherwise(F.col("row").getField(c)).alias(c) if c == length_col else F.col("row").getField(c).alias(c) for c in df.columns]
+    return found.select(*cols)
 
 
 def _joined(spans: Column) -> Column:
