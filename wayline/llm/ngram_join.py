@@ -289,11 +289,12 @@ def verify(pairs: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
     return dealt.sortWithinPartitions("a", "way", F.col("b").asc_nulls_first()).mapInArrow(run, "a long, b long")
 
 
-def cross_pairs(members: DataFrame, roots: DataFrame, known: DataFrame, p: Params) -> DataFrame:
+def cross_pairs(members: DataFrame, roots: DataFrame, known: DataFrame, p: Params, forest: bool) -> DataFrame:
     """Pairs of a large group's members that are in different components and near by sketch.
 
     members: (key, node). Groups of one component are done with. The others are cut into blocks, and each two
-    blocks are compared in a task of their own.
+    blocks are compared in a task of their own. With `forest` only pairs that would connect what the pairs
+    before them do not are returned, fewer than there are members; else all.
     """
     rooted = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     open_keys = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("key", F.ceil(F.col("n") / p.block).cast("int").alias("ways"))
@@ -308,13 +309,21 @@ def cross_pairs(members: DataFrame, roots: DataFrame, known: DataFrame, p: Param
         left, right = np.flatnonzero(own == x), np.flatnonzero(own == y)
         bits = _bits(t.column("sketch").combine_chunks() if isinstance(t.column("sketch"), pa.ChunkedArray) else t.column("sketch"))
         low, high = p.share
+        root = root.copy()
         a, b = [], []
         for i in left:
-            far = np.bitwise_count(bits[i] ^ bits[right]).sum(1, dtype=np.int64)
-            hit = right[(far <= hamming_bound(n[i], n[right], p.share)) & (root[i] != root[right]) & (high * np.minimum(n[i], n[right]) >= low * np.maximum(n[i], n[right]))]
+            other = right[root[i] != root[right]]
+            if not len(other):
+                continue
+            far = np.bitwise_count(bits[i] ^ bits[other]).sum(1, dtype=np.int64)
+            hit = other[(far <= hamming_bound(n[i], n[other], p.share)) & (high * np.minimum(n[i], n[other]) >= low * np.maximum(n[i], n[other]))]
+            if forest and len(hit):
+                joined, first = np.unique(root[hit], return_index=True)
+                hit = hit[first]
+                root[np.isin(root, joined)] = root[i]
             a.append(np.minimum(node[i], node[hit]))
             b.append(np.maximum(node[i], node[hit]))
-        pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1)
+        pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1) if a else np.zeros((2, 0), np.int64)
         return pa.table({"a": pairs[0], "b": pairs[1]})
 
     return rows.groupBy("key", "x", "y").applyInArrow(compare, "a long, b long").distinct()
@@ -326,37 +335,38 @@ def join(df: DataFrame, p: Params = Params(), id_col: str = "doc_id", text_col:
     rows = materialize(nodes(df, p, id_col, text_col), "ngram-nodes")
     known = rows.where("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("id", "n_shingles", "sketch")).alias("x")).select("node", F.col("x.id").alias("id"), "x.n_shingles", "x.sketch")
     met = materialize(meetings(df, p, text_col), "ngram-met")
-    pairs = materialize(_near(met.where("key IS NULL").select("a", "b").distinct(), known, p), "ngram-pairs")
-    links = _verified(df, pairs, known, p, id_col, text_col)
+    members = met.where("key IS NOT NULL").select("key", F.col("a").alias("node"))
+    tested = materialize(_near(met.where("key IS NULL").select("a", "b").distinct(), known, p), "ngram-pairs")
+    texts = materialize(_texts(df, tested, members, known, p, id_col, text_col), "ngram-texts")
+    links = materialize(verify(tested, texts, p), "ngram-links")
     least = rows.where("id IS NOT NULL").groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("hi")).where("a <> hi")
     same_id = least.join(rows, "id").select("a", F.col("node").alias("b")).where("a <> b")  # rows of one id are one node
     roots = materialize(components(links.unionByName(same_id)), "ngram-roots")
-    more = cross_pairs(met.where("key IS NOT NULL").select("key", F.col("a").alias("node")), roots, known, p)
-    more = materialize(more.join(pairs, ["a", "b"], "left_anti"), "ngram-pairs")
-    if not more.isEmpty():
-        links = links.unionByName(_verified(df, more, known, p, id_col, text_col))
-        roots = materialize(components(links.unionByName(same_id)), "ngram-roots")
+    # first the pairs that would connect most, then whatever is still apart
+    for forest in (True, False):
+        more = cross_pairs(members, roots, known, p, forest)
+        more = materialize(more.join(tested, ["a", "b"], "left_anti"), "ngram-pairs")
+        if not more.isEmpty():
+            tested = tested.unionByName(more)
+            links = links.unionByName(materialize(verify(more, texts, p), "ngram-links"))
+            roots = materialize(components(links.unionByName(same_id)), "ngram-roots")
     return rows, links, roots
 
 
-def _verified(df: DataFrame, pairs: DataFrame, known: DataFrame, p: Params, id_col: str, text_col: str) -> DataFrame:
-    asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+def _texts(df: DataFrame, pairs: DataFrame, members: DataFrame, known: DataFrame, p: Params, id_col: str, text_col: str) -> DataFrame:
+    """(node, text) of every node that may be verified: one id's rows for each node."""
+    asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(members.select("node")).distinct()
     ids = asked.join(known.select("node", "id"), "node")
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     texts = ids.join(docs, ids["id"].eqNullSafe(docs["id"])).select("node", "text")
-    texts = materialize(_own_text(texts, p), "ngram-texts")
-    return materialize(verify(pairs, texts, p), "ngram-links")
-
-
-def _own_text(texts: DataFrame, p: Params) -> DataFrame:
-    """One row a node: of ids that repeat with other texts, only the texts that have the node's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of ids that repeat with other texts, only the texts that have the node's set."""
         for part in slices(batches, "text"):
             sets = shingle_sets(part.column("text"), p.span)
-            yield part.filter(pa.array([len(s) > 0 and node_of(s) == n for s, n in zip(sets, part.column("node").to_pylist())]))
+            yield part.filter(pa.array([len(s) > 0 and node_of(s) == n for s, n in zip(sets, part.column("node").to_pylist())], pa.bool_()))
 
-    return texts.mapInArrow(run, texts.schema).dropDuplicates(["node"])
+    return texts.mapInArrow(run, texts.schema)
 
 
 def group_ids(rows: DataFrame, roots: DataFrame, id_col: str = "doc_id") -> DataFrame:
