@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 #: fixed values: the alphabet of base64url
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"
-_GPX_SCHEMA = "trk struct<name:string, type:string, trkseg:struct<trkpt:array<struct<_lat:double,_lon:double,ele:double,time:string>>>>"
+_GPX_SCHEMA = "trk struct<name:string, type:string, trkseg:struct<trkpt:array<struct<_lat:string,_lon:string,ele:string,time:string>>>>"
 
 
 def gpx(fixes: DataFrame) -> DataFrame:
@@ -25,11 +25,12 @@ def read_gpx(texts: DataFrame, id_col: str = "ride_id", text_col: str = "gpx") -
     take the one before, leading ones the first known."""
     parsed = texts.select(F.col(id_col).alias("ride_id"), F.from_xml(F.col(text_col), _GPX_SCHEMA, {"mode": "PERMISSIVE"}).alias("g"))
     p = parsed.select("ride_id", F.posexplode("g.trk.trkseg.trkpt").alias("seq", "p"))
-    p = p.where("p._lat BETWEEN -90 AND 90 AND p._lon BETWEEN -180 AND 180")
+    p = p.selectExpr("ride_id", "seq", "try_cast(p._lat AS double) AS lat", "try_cast(p._lon AS double) AS lng", "try_cast(p.ele AS double) AS altitude", "p.time AS time")
+    p = p.where("lat BETWEEN -90 AND 90 AND lng BETWEEN -180 AND 180")
     w = Window.partitionBy("ride_id").orderBy("seq")
-    t = F.unix_millis(F.try_to_timestamp("p.time"))
+    t = F.unix_millis(F.try_to_timestamp("time"))
     known = F.coalesce(F.last(t, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.first(t, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
-    return p.select("ride_id", F.col("seq").cast("long").alias("seq"), F.col("p._lat").alias("lat"), F.col("p._lon").alias("lng"), F.col("p.ele").alias("altitude"), known.alias("t_ms"))
+    return p.select("ride_id", F.col("seq").cast("long").alias("seq"), "lat", "lng", "altitude", known.alias("t_ms"))
 
 
 def backup(rides: DataFrame, per_file: str = "shard") -> DataFrame:
