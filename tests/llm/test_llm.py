@@ -125,7 +125,7 @@ def test_repeated_bytes(spark, edge, hot):
     passage = "".join(random.choices("abcdefgh ", k=150))
     rows = [(i, "".join(random.choices("xyz é", k=random.randint(0, 80))) + passage[: random.randint(20, 150)] + "".join(random.choices("xyz", k=random.randint(0, 60)))) for i in range(60)]
     rows += [(100, "ab" * 300), (101, rows[3][1]), (101, rows[3][1]), (102, None), (103, "")]
-    p = suffix_dedup.Params(length=60, gram=12, hot=hot)
+    p = suffix_dedup.Params(length=60, gram=12, hot=hot, piece=5)
     got = suffix_dedup.digest(suffix_dedup.remove(spark.createDataFrame(rows, DOCS), p)).collect()
     assert sorted((tuple(r) for r in got), key=str) == _brute_removal([(d, (t or "").encode()) for d, t in rows], 60)
     got = suffix_dedup.digest(suffix_dedup.remove(edge)).collect()

@@ -6,8 +6,9 @@ windows share. A stretch of windows with one minimizer is an occurrence, its byt
 counted (all their windows repeat); where different contexts share a minimizer, one of each is laid into a block,
 and the block's suffixes are sorted in two stages: suffixes smaller than their successors are sorted directly,
 the others are induced by scanning the buckets in order; common prefixes of neighbours of `length` bytes or more
-mark the windows that repeat. A minimizer with more different contexts than a block may hold (a very common
-passage) is spread: its windows are counted by content hash instead, which no task has to hold together.
+mark the windows that repeat. A minimizer with many different contexts (a passage that many documents share) is
+spread instead, as no task may have to hold them together: its contexts are cut into pieces of a few windows,
+equal pieces are counted by content hash, and pieces that differ about an equal core have their windows counted.
 
 Defined results: null text is empty; rows are told apart by their position of id and text, and rows that repeat
 both are documents of their own, so that their text of `length` bytes or more is removed; strings are judged on
@@ -33,7 +34,8 @@ class Params:
     length: int = 400
     gram: int = 24
     block_bytes: int = 96 << 10  # contexts of a block that is suffix-sorted at once
-    hot: int = 400  # contexts of one minimizer beyond which its windows are counted instead
+    hot: int = 32  # contexts of one minimizer beyond which its windows are counted instead
+    piece: int = 16  # windows of such a context that are compared as one at first
 
 
 _BASE = 0x9E3779B97F4A7C15
@@ -75,9 +77,9 @@ def _window_argmin(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def occurrences(data: np.ndarray, offsets: np.ndarray, p: Params) -> tuple[np.ndarray, ...]:
-    """(document, lo, hi, minimizer hash, context hash): window starts lo .. hi, in their document, share a
-    minimizer; their context is bytes lo .. hi + length."""
-    none = tuple(np.zeros(0, np.int64) for _ in range(3)) + tuple(np.zeros(0, np.uint64) for _ in range(2))
+    """(document, lo, hi, off, minimizer hash, context hash): window starts lo .. hi, in their document, share a
+    minimizer, at lo + off; their context is bytes lo .. hi + length."""
+    none = tuple(np.zeros(0, np.int64) for _ in range(4)) + tuple(np.zeros(0, np.uint64) for _ in range(2))
     size = np.diff(offsets)
     if not (size >= p.length).any():
         return none
@@ -93,7 +95,7 @@ def occurrences(data: np.ndarray, offsets: np.ndarray, p: Params) -> tuple[np.nd
     h = substring_hash(prefix, m, m + p.gram)
     c = mix64(substring_hash(prefix, lo, hi + p.length) + (m - lo).astype(np.uint64))
     base = offsets[doc[first]]
-    return doc[first], lo - base, hi - base, h, c
+    return doc[first], lo - base, hi - base, m - lo, h, c
 
 
 def two_stage_suffix_array(t: np.ndarray, depth: int) -> np.ndarray:
@@ -194,25 +196,25 @@ def find(df: DataFrame, p: Params = Params(), id_col: str = "doc_id", text_col:
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             data, offsets = text_bytes(part.column("text"))
-            doc, lo, hi, h, c = occurrences(data, offsets, p)
+            doc, lo, hi, off, h, c = occurrences(data, offsets, p)
             key = part.column("key").to_numpy()[doc]
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(lo, pa.int32()), pa.array(hi, pa.int32()), pa.array(h.astype(np.int64)), pa.array(c.astype(np.int64))], names=["key", "lo", "hi", "h", "c"])
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(lo, pa.int32()), pa.array(hi, pa.int32()), pa.array(off, pa.int32()), pa.array(h.astype(np.int64)), pa.array(c.astype(np.int64))], names=["key", "lo", "hi", "off", "h", "c"])
 
-    seen = materialize(docs.mapInArrow(mark, "key long, lo int, hi int, h long, c long"), "suffix-occurrences")
-    contexts = seen.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("key", "lo", "hi")).alias("one"))
+    seen = materialize(docs.mapInArrow(mark, "key long, lo int, hi int, off int, h long, c long"), "suffix-occurrences")
+    contexts = seen.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("key", "lo", "hi", "off")).alias("one"))
     contexts = materialize(contexts, "suffix-contexts")
     several = contexts.groupBy("h").agg(F.count("*").alias("m")).where("m > 1")
     alike = contexts.where("n > 1").select("h", "c", F.array(F.struct(F.lit(0).alias("a"), (F.col("one.hi") - F.col("one.lo")).alias("b"))).alias("runs"))
 
     # the bytes of one of each context of the minimizers that have several
-    asked = contexts.join(several, "h").select(F.col("one.key").alias("key"), F.struct("h", "c", "m", "one.lo", "one.hi").alias("ask")).groupBy("key").agg(F.collect_list("ask").alias("asks"))
+    asked = contexts.join(several, "h").select(F.col("one.key").alias("key"), F.struct("h", "c", "m", "one.lo", "one.hi", "one.off").alias("ask")).groupBy("key").agg(F.collect_list("ask").alias("asks"))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
-            rows = [(x["h"], x["c"], x["m"], x["hi"] - x["lo"], text[x["lo"] : x["hi"] + p.length]) for text, asks in zip(part.column("text").to_pylist(), part.column("asks").to_pylist()) for x in asks]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["h", "c", "m", "span", "bytes"])
+            rows = [(x["h"], x["c"], x["m"], x["hi"] - x["lo"], x["off"], text[x["lo"] : x["hi"] + p.length]) for text, asks in zip(part.column("text").to_pylist(), part.column("asks").to_pylist()) for x in asks]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names=["h", "c", "m", "span", "off", "bytes"])
 
-    texts = docs.join(asked, "key").mapInArrow(fetch, "h long, c long, m long, span int, bytes binary")
+    texts = docs.join(asked, "key").mapInArrow(fetch, "h long, c long, m long, span int, off int, bytes binary")
     texts = materialize(texts, "suffix-bytes")
 
     def sort_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,18 +239,34 @@ def find(df: DataFrame, p: Params = Params(), id_col: str = "doc_id", text_col:
     parts = shuffle_parts(df.sparkSession, 2)
     sorted_runs = texts.where(F.col("m") <= p.hot).drop("m").repartition(parts, "h").sortWithinPartitions("h", "c").mapInArrow(sort_blocks, f"h long, c long, runs {_RUNS}")
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pieces (h, c, a, whole, core, w): windows a, a + 1, .. with their hashes w. Cuts lie at fixed distances
+        from the minimizer, so equal windows of two contexts are in pieces of one kind."""
         for b in batches:
-            for h, c, span, text in zip(*[b.column(k).to_pylist() for k in ("h", "c", "span", "bytes")]):
+            rows = []
+            for h, c, span, off, text in zip(*[b.column(k).to_pylist() for k in ("h", "c", "span", "off", "bytes")]):
+                prefix = prefix_hashes(np.frombuffer(text, np.uint8))
                 a = np.arange(span + 1)
-                w = substring_hash(prefix_hashes(np.frombuffer(text, np.uint8)), a, a + p.length)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(span + 1, h)), pa.array(np.full(span + 1, c)), pa.array(a, pa.int32()), pa.array(w.astype(np.int64))], names=["h", "c", "a", "w"])
-
-    spread = texts.where(F.col("m") > p.hot).mapInArrow(windows, "h long, c long, a int, w long")
-    twice = spread.groupBy("w").agg(F.count("*").alias("n")).where("n > 1").select("w")
-    counted = spread.join(twice, "w").select("h", "c", F.array(F.struct(F.col("a"), F.col("a").alias("b"))).alias("runs"))
-
-    found = alike.unionByName(sorted_runs).unionByName(counted)
+                w = substring_hash(prefix, a, a + p.length).astype(np.int64)
+                first = np.flatnonzero(np.concatenate([[True], np.diff((off - a) // p.piece) != 0]))
+                last = np.append(first[1:], span + 1) - 1
+                kind = ((off - first) // p.piece).astype(np.uint64)
+                whole = mix64(substring_hash(prefix, first, last + p.length) + kind).astype(np.int64)
+                middle = off - kind.astype(np.int64) * p.piece  # what all windows of the kind hold, cut short or not
+                core = mix64(substring_hash(prefix, middle, middle + p.length - p.piece + 1) + kind).astype(np.int64)
+                rows += [(h, c, int(x), wh, co, w[x : y + 1]) for x, y, wh, co in zip(first, last, whole.tolist(), core.tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64())))], names=["h", "c", "a", "whole", "core", "w"])
+
+    pieces = materialize(texts.where(F.col("m") > p.hot).mapInArrow(cut, "h long, c long, a int, whole long, core long, w array<long>"), "suffix-pieces")
+    twice = pieces.groupBy("whole").agg(F.count("*").alias("n")).where("n > 1").select("whole")
+    equal = pieces.join(twice, "whole").select("h", "c", F.array(F.struct("a", (F.col("a") + F.size("w") - 1).alias("b"))).alias("runs"))
+    shared = pieces.groupBy("core").agg(F.min("whole").alias("lo"), F.max("whole").alias("hi")).where("lo <> hi").select("core")
+    looked = pieces.join(shared, "core", "left_semi").groupBy("whole").agg(F.min(F.struct("h", "c", "a", "w")).alias("x"))
+    windows = looked.select("x.h", "x.c", "x.a", F.posexplode("x.w").alias("i", "v"))
+    again = windows.groupBy("v").agg(F.count("*").alias("n")).where("n > 1").select("v")
+    counted = windows.join(again, "v").select("h", "c", F.array(F.struct((F.col("a") + F.col("i")).alias("a"), (F.col("a") + F.col("i")).alias("b"))).alias("runs"))
+
+    found = alike.unionByName(sorted_runs).unionByName(equal).unionByName(counted)
     runs = found.select("h", "c", F.explode("runs").alias("r"))
     return seen.join(runs, ["h", "c"]).select("key", (F.col("lo") + F.col("r.a")).alias("lo"), (F.col("lo") + F.col("r.b")).alias("hi"))
 
