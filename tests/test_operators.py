@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wayline.functions import columns as C
-from wayline.operators import graph, reduce, rides, tracks
+from wayline.operators import graph, lines, matching, reduce, rides, spatial, tracks
 from wayline.sources import exchange
 from wayline.streaming import live
 
@@ -93,3 +93,26 @@ def test_preferences_fall_back(spark):
 def test_event_time_windows(spark):
     fixes = spark.createDataFrame([(1, 0), (2, 1_000), (1, 400_000)], "ride_id long, t_ms long")
     assert sorted(r["n"] for r in live.windowed_activity(fixes).collect()) == [1, 2]
+
+
+def test_values_along_a_ride(spark):
+    ran = spark.createDataFrame([(1, 0, 0.0, 10.0), (1, 1, 100.0, 20.0), (1, 2, 100.0, 30.0)], "ride_id long, seq long, cum_m double, v double")
+    asked = spark.createDataFrame([(1, 7, -5.0), (1, 8, 50.0), (1, 9, 999.0), (2, 1, 0.0)], "ride_id long, id long, d double")
+    got = {(r.ride_id, r.id): r.value for r in lines.value_along(ran, asked, "v").collect()}
+    assert got == {(1, 7): 10.0, (1, 8): 15.0, (1, 9): 30.0, (2, 1): None}
+
+
+def test_sticky_matching_prefers_the_segment_before(spark):
+    segments = spark.createDataFrame([(1, 0.0, 0.0, 100.0, 0.0), (2, 50.0, 5.0, 150.0, 5.0)], "segment_id long, ax double, ay double, bx double, by double")
+    points = spark.createDataFrame([(1, 0, 10.0, 1.0), (1, 1, 60.0, 4.0), (1, 2, 120.0, 4.0), (1, 3, 500.0, 0.0), (1, 4, 60.0, 4.0)], "ride_id long, seq long, x double, y double")
+    assert rows(matching.match(points, segments)) == [(1, 0, 1), (1, 1, 1), (1, 2, 2), (1, 4, 2)]
+    assert matching.match(points.limit(0), segments).count() == 0
+
+
+def test_spatial_joins_at_cell_borders(spark):
+    rng = np.random.default_rng(1)
+    pts = [(i, float(a), float(b)) for i, (a, b) in enumerate(np.column_stack([60 + rng.random(80) * 2e-3, 179 + rng.random(80) * 2e-3]))]
+    idx = [(i, float(a), float(b), 0.0) for i, (a, b) in enumerate(np.column_stack([60 + rng.random(80) * 2e-3, 179 + rng.random(80) * 2e-3]))]
+    got = spatial.within(spark.createDataFrame(pts, "id long, lat double, lng double"), spark.createDataFrame(idx, "section_id long, lat double, lng double, bearing double"), radius=40.0)
+    far = lambda p, s: np.hypot((s[1] - p[1]) * 110574, (s[2] - p[2]) * 111320 * np.cos(np.radians((p[1] + s[1]) / 2)))
+    assert {(r.id, r.section_id) for r in got.collect()} == {(p[0], s[0]) for p in pts for s in idx if far(p, s) <= 40.0}

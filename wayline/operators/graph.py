@@ -57,7 +57,7 @@ def junctions(edges: DataFrame, least: int = 3) -> DataFrame:
 def way_costs(ways: DataFrame, profile: DataFrame) -> DataFrame:
     """Ways (way_id, class, surface, oneway, access) priced by a profile table (class, factor): a closed access has
     no price, unpaved ones cost half as much again, the closed direction of a one-way five times."""
-    w = ways.join(F.broadcast(profile), "class", "left")  # a profile lists road classes
+    w = ways.join(profile, "class", "left")
     ok = F.col("factor").isNotNull() & ~F.coalesce(F.col("access").isin("no", "private"), F.lit(False))
     paved = F.when(F.col("surface") == "unpaved", F.lit(1.5)).otherwise(F.lit(1.0))
     return w.select("way_id", F.when(ok, F.col("factor") * paved).alias("forward"), F.when(ok, F.col("factor") * paved * F.when(F.col("oneway"), 5.0).otherwise(1.0)).alias("backward"))

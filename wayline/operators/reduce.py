@@ -10,6 +10,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 PER_LAT, PER_LNG = 110540.0, 111320.0
 
@@ -172,9 +173,6 @@ def _tuned(ride: Ride, algorithm: str, want: int, steps: int = 22) -> tuple[floa
 
 def compare(fixes: DataFrame, share: float = 0.25) -> DataFrame:
     """Every ride by every algorithm, tuned to keep a share of the fixes: kept count, mean and 95 % deviation."""
-    spark = fixes.sparkSession
-    algorithms = spark.createDataFrame([(a,) for a in REGISTRY], "algorithm string")
-
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("seq")
         ride, algorithm = Ride.of(pdf), pdf["algorithm"].iloc[0]
@@ -185,5 +183,5 @@ def compare(fixes: DataFrame, share: float = 0.25) -> DataFrame:
             off[a + 1 : b] = ride.off_line(a, b, np.arange(a + 1, b))
         return pd.DataFrame({"ride_id": [pdf["ride_id"].iloc[0]], "algorithm": [algorithm], "n": [n], "n_kept": [len(kept)], "mean_off": [off.mean()], "p95_off": [np.sort(off)[min(n - 1, int(0.95 * n))]]})
 
-    pairs = fixes.select("ride_id", "seq", "lat", "lng", "t_ms", "speed").crossJoin(algorithms)  # seven rows
+    pairs = fixes.select("ride_id", "seq", "lat", "lng", "t_ms", "speed", F.explode(F.array(*[F.lit(a) for a in REGISTRY])).alias("algorithm"))
     return pairs.groupBy("ride_id", "algorithm").applyInPandas(run, "ride_id long, algorithm string, n long, n_kept long, mean_off double, p95_off double")

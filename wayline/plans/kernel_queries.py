@@ -7,11 +7,11 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import graph as G
+from ..operators import matching as M
 from ..operators import reduce as P
-from ..operators import tracks as T
 from ..sources import exchange as E
-from ..sources.lenses import FIX_SQL, RIDE_SQL, STEP_SQL, fix, read, ride
-from ..streaming import live
+from ..sources.lenses import FIX_SQL, LAP_SQL, RIDE_SQL, STEP_SQL, fix, lap, read, ride
+from ..streaming import best_pace, live
 
 
 def _reducer(algorithm: str):
@@ -72,6 +72,22 @@ def live_ride_totals(spark, d):
     return out.select("ride_id", "n", F.round("distance_m", 4).alias("distance_m"), F.round("max_speed", 4).alias("max_speed"), "last_ms", "silent")
 
 
+def incremental_best_pace(spark, d):
+    base = f"{(spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints/wayline').rstrip('/')}/best-{uuid.uuid4().hex}"
+    laps = lap(spark, d)
+    laps.repartition(3, "ride_id").write.parquet(f"{base}/in")
+    stream = spark.readStream.schema(laps.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    best_pace.maintain(stream, f"{base}/out", f"{base}/state")
+    return best_pace.current(spark, f"{base}/out").select("section_id", "direction", "passes", F.col("first_date").cast("string").alias("first_date"), F.col("last_date").cast("string").alias("last_date"), "best", "best_ride_id")
+
+
+def sticky_match(spark, d):
+    """Fixes against the lines of a 40 m grid."""
+    p = fix(spark, d).select("ride_id", "seq", ((F.col("lng") + 105) * 85_000).alias("x"), ((F.col("lat") - 40) * 110_540).alias("y"))
+    lines = spark.range(0, 60).selectExpr("id AS segment_id", "IF(id < 30, id * 40D - 200, -200D) AS ax", "IF(id < 30, -200D, (id - 30) * 40D - 200) AS ay", "IF(id < 30, id * 40D - 200, 1000D) AS bx", "IF(id < 30, 1000D, (id - 30) * 40D - 200) AS by")
+    return M.ridden_sections(M.match(p, lines)).select("ride_id", F.col("run").cast("long"), "segment_id", "first_seq", "last_seq")
+
+
 _GREEDY = ", k AS (SELECT ride_id, seq, t_ms, (lng - first_value(lng) OVER w) * 111320 * cos(radians(first_value(lat) OVER w)) AS x, (lat - first_value(lat) OVER w) * 110540 AS y, max(seq) OVER (PARTITION BY ride_id) AS last FROM fix WINDOW w AS (PARTITION BY ride_id ORDER BY seq)), g AS (SELECT ride_id, seq, last, t_ms AS t, x AS gx, y AS gy, true AS keep FROM k WHERE seq = 0 UNION ALL SELECT k.ride_id, k.seq, k.last, CASE WHEN {test} THEN k.t_ms ELSE g.t END, CASE WHEN {test} THEN k.x ELSE g.gx END, CASE WHEN {test} THEN k.y ELSE g.gy END, {test} FROM g JOIN k ON k.ride_id = g.ride_id AND k.seq = g.seq + 1) SELECT ride_id, seq FROM g WHERE keep OR seq = last"
 _EDGE = "e AS (SELECT c_custkey AS a, c_custkey + 1 + c_custkey % 7 AS b, 1::DOUBLE + c_custkey % 5 AS cost FROM customer WHERE c_custkey % 3 = 0 OR c_custkey % 11 = 0)"
 
@@ -87,5 +103,7 @@ QUERIES = {
     "gpx_roundtrip": (gpx_roundtrip, "WITH " + FIX_SQL + "SELECT ride_id, seq, round(lat, 6) AS lat, round(lng, 6) AS lng, round(altitude, 1) AS altitude, t_ms FROM fix"),
     "backup_roundtrip": (backup_roundtrip, "WITH " + RIDE_SQL + "SELECT id, activity, round(total_distance, 3) AS total_distance, start_ms FROM ride"),
     "share_link_roundtrip": (share_link_roundtrip, "WITH " + FIX_SQL + "SELECT ride_id, seq, round(floor(lat * 100000 + 0.5) / 100000, 5) AS lat, round(floor(lng * 100000 + 0.5) / 100000, 5) AS lng FROM fix WHERE seq < 60"),
+    "incremental_best_pace": (incremental_best_pace, "WITH " + LAP_SQL + "SELECT section_id, direction, count(*) AS passes, strftime(min(ride_date), '%Y-%m-%d %H:%M:%S') AS first_date, strftime(max(ride_date), '%Y-%m-%d %H:%M:%S') AS last_date, max(speed) AS best, first(ride_id ORDER BY speed DESC, ride_date, ride_id) AS best_ride_id FROM lap GROUP BY ALL"),
+    "sticky_match": (sticky_match, None),
     "live_ride_totals": (live_ride_totals, "WITH " + STEP_SQL + "SELECT ride_id, count(*) AS n, round(sum(step_m), 4) AS distance_m, round(max(speed), 4) AS max_speed, max(t_ms) AS last_ms, sum(coalesce((t_ms - pt > 3500)::INT, 0))::BIGINT AS silent FROM step1 GROUP BY ride_id"),
 }
