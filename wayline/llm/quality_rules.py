@@ -159,8 +159,8 @@ def ablation(df: DataFrame, policy: Policy = CURRENT, out: str = "ledger", rules
     that ever fail beside it. One aggregation over at most 2^rules distinct bit sets."""
     failed = F.col(out).getField("failed").bitwiseAND(F.lit(policy.mask(rules)).cast("long"))
     counts = df.groupBy(failed.alias("bits")).agg(F.count("*").alias("n"))
-    table = df.sparkSession.createDataFrame([(r.name, 1 << r.bit) for r in rules if r.name in policy.rules], "rule string, bit long")
-    joined = table.crossJoin(counts).where(F.col("bits").bitwiseAND(F.col("bit")) != 0)  # rules x bit sets: both bounded
+    named = F.array(*[F.struct(F.lit(r.name).alias("rule"), F.lit(1 << r.bit).cast("long").alias("bit")) for r in rules if r.name in policy.rules])
+    joined = counts.select("bits", "n", F.inline(named)).where(F.col("bits").bitwiseAND(F.col("bit")) != 0)
     return joined.groupBy("rule", "bit").agg(
         F.sum("n").alias("n_failed"),
         F.sum(F.when(F.col("bits") == F.col("bit"), F.col("n")).otherwise(0)).alias("n_failed_alone"),
