@@ -43,4 +43,26 @@ SELECT d.doc_id, coalesce(k, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(
 FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b) AS m FROM reach GROUP BY a) USING (doc_id)
 """
 
-ORACLES = {"op2_quality_rules": OP2, "op10_ngram_join": OP10}
+OP1 = r"""
+WITH c AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+t0 AS (SELECT *, len(regexp_extract_all(text, '[\p{L}\p{N}]+|[^\s\p{L}\p{N}]')) + 4 AS tokens,
+  4 + length(role) + 2 + 8 + length(text) + len(regexp_extract_all(text, '[\\#]')) + (length(text) - length(replace(text, '</turn>', ''))) // 7 AS chars,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS pos FROM c),
+sys AS (SELECT conv_id, min(pos) AS spos, first(tokens ORDER BY pos) AS stok, first(chars ORDER BY pos) AS schars FROM t0 WHERE role = 'system' GROUP BY conv_id),
+t1 AS (SELECT t0.*, spos, schars, greatest(1024 - 128 - coalesce(stok, 0), 256) AS room FROM t0 LEFT JOIN sys USING (conv_id)),
+t2 AS (SELECT *, tokens * 2 > room AS big FROM t1),
+t3 AS (SELECT *, coalesce(max(CASE WHEN NOT big THEN tokens END) OVER (PARTITION BY conv_id), 0) AS longest, sum(tokens) OVER w - tokens AS begin_at, sum(big::INT) OVER w AS n_big,
+  sum(CASE WHEN big THEN 0 ELSE tokens END) OVER w - CASE WHEN big THEN 0 ELSE tokens END AS small_begin FROM t2 WINDOW w AS (PARTITION BY conv_id ORDER BY pos ROWS UNBOUNDED PRECEDING)),
+t4 AS (SELECT *, CASE WHEN big THEN -1 ELSE small_begin // (room - longest + 1) END AS stride FROM t3),
+t5 AS (SELECT *, pos = 1 OR stride <> lag(stride) OVER w OR n_big <> lag(n_big) OVER w AS fresh FROM t4 WINDOW w AS (PARTITION BY conv_id ORDER BY pos)),
+past AS (SELECT a.conv_id, sum(b.chars) AS chars FROM t5 a JOIN t5 b ON a.conv_id = b.conv_id AND a.fresh AND b.role <> 'system' AND b.begin_at BETWEEN a.begin_at - 128 AND a.begin_at - 1 GROUP BY a.conv_id),
+sysrep AS (SELECT conv_id, sum(CASE WHEN fresh AND spos < pos THEN schars ELSE 0 END) AS chars, sum(fresh::INT) AS n_windows, sum(chars) AS own FROM t5 GROUP BY conv_id)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
+  sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY pos), '')) AS loss_sha256,
+  (min(s.own) + min(s.chars) + coalesce(min(p.chars), 0))::BIGINT AS formatted_chars, min(s.n_windows)::BIGINT AS n_windows
+FROM t0 JOIN sysrep s USING (conv_id) LEFT JOIN past p USING (conv_id) GROUP BY conv_id
+"""
+
+ORACLES = {"op1_chat_formatting": OP1, "op2_quality_rules": OP2, "op10_ngram_join": OP10}
