@@ -266,8 +266,8 @@ def verify(pairs: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
     """
     members = pairs.groupBy("a").agg(F.count("*").alias("k"))
     ways = F.ceil(F.col("k") / p.star).cast("int")
-    centres = members.withColumn("way", F.explode(F.sequence(F.lit(0), ways - 1))).join(texts, F.col("a") == F.col("node")).select("a", "way", F.lit(None).cast("long").alias("b"), "text")
-    others = pairs.join(members, "a").withColumn("way", F.pmod(F.xxhash64("b"), ways).cast("int")).join(texts, F.col("b") == F.col("node")).select("a", "way", "b", "text")
+    centres = members.withColumn("way", F.explode(F.sequence(F.lit(0), ways - 1))).join(texts.hint("merge"), F.col("a") == F.col("node")).select("a", "way", F.lit(None).cast("long").alias("b"), "text")
+    others = pairs.join(members, "a").withColumn("way", F.pmod(F.xxhash64("b"), ways).cast("int")).join(texts.hint("merge"), F.col("b") == F.col("node")).select("a", "way", "b", "text")
     low, high = p.share
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -326,6 +326,8 @@ def cross_pairs(members: DataFrame, roots: DataFrame, known: DataFrame, p: Param
         pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1) if a else np.zeros((2, 0), np.int64)
         return pa.table({"a": pairs[0], "b": pairs[1]})
 
+    # few bytes, much work: as many tasks as there are, not as many as the bytes ask for
+    rows = rows.repartition(shuffle_parts(members.sparkSession, 2), "key", "x", "y")
     return rows.groupBy("key", "x", "y").applyInArrow(compare, "a long, b long").distinct()
 
 
@@ -358,7 +360,8 @@ def _texts(df: DataFrame, pairs: DataFrame, members: DataFrame, known: DataFrame
     asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(members.select("node")).distinct()
     ids = asked.join(known.select("node", "id"), "node")
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    texts = ids.join(docs, ids["id"].eqNullSafe(docs["id"])).select("node", "text")
+    # texts are merged at every size: a broadcast of ids would change to this plan as they grow
+    texts = ids.join(docs.hint("merge"), ids["id"].eqNullSafe(docs["id"])).select("node", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of ids that repeat with other texts, only the texts that have the node's set."""
