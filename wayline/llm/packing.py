@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import materialize, slices
 
 CLOSING_ID = 1
-CACHE_WORDS = 700_000
+CACHE_WORDS = 500_000
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 _state: dict = {}
 
@@ -95,7 +95,7 @@ def cut(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_len:
     path = tokenizer or default_tokenizer()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text", 16 << 20):
+        for part in slices(batches, "text", 10 << 20):
             ids, offsets = tokenize(part.column("text"), path)
             out: list[tuple] = []
             closing = np.array([CLOSING_ID], np.uint32)
