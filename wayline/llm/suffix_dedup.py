@@ -194,7 +194,7 @@ def find(df: DataFrame, p: Params = Params(), id_col: str = "doc_id", text_col:
     docs = _keyed(df, id_col, text_col).select("key", "text")
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", 1 << 20):
             data, offsets = text_bytes(part.column("text"))
             doc, lo, hi, off, h, c = occurrences(data, offsets, p)
             key = part.column("key").to_numpy()[doc]
@@ -242,7 +242,7 @@ def find(df: DataFrame, p: Params = Params(), id_col: str = "doc_id", text_col:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Pieces (h, c, a, whole, core, w): windows a, a + 1, .. with their hashes w. Cuts lie at fixed distances
         from the minimizer, so equal windows of two contexts are in pieces of one kind."""
-        for b in batches:
+        for b in slices(batches, "bytes", 1 << 20):
             rows = []
             for h, c, span, off, text in zip(*[b.column(k).to_pylist() for k in ("h", "c", "span", "off", "bytes")]):
                 prefix = prefix_hashes(np.frombuffer(text, np.uint8))
