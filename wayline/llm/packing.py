@@ -129,11 +129,29 @@ def _knapsack(value: np.ndarray, room: int) -> tuple[float, np.ndarray]:
     return best[room], used
 
 
-def column_generation(demand: np.ndarray, room: int, rounds: int = 2000) -> tuple[np.ndarray, np.ndarray]:
+def greedy(demand: np.ndarray, room: int) -> list[tuple[np.ndarray, int]]:
+    """Patterns and how often each is used, filled with the largest classes first until the demand is met."""
+    left, out = demand.copy(), []
+    while left.any():
+        pattern, space = np.zeros(len(demand), np.int64), room
+        for c in np.flatnonzero(left)[::-1]:
+            k = min(int(left[c]), space // (int(c) + 1))
+            pattern[c], space = k, space - k * (int(c) + 1)
+            if not space:
+                break
+        used = np.flatnonzero(pattern)
+        times = int((left[used] // pattern[used]).min())
+        left[used] -= times * pattern[used]
+        out.append((pattern, times))
+    return out
+
+
+def column_generation(demand: np.ndarray, room: int, rounds: int = 600) -> tuple[np.ndarray, np.ndarray]:
     """Patterns (classes x patterns) and their amounts of the linear program min sum x, patterns x = demand.
 
-    Revised simplex on the classes with demand: it starts from one-class patterns; the duals price the knapsack,
-    whose answer enters, and the ratio test names the pattern that leaves.
+    Revised simplex on the classes with demand. It starts from one-class patterns; the greedy patterns are priced
+    first, then the knapsack's answers to the duals; the ratio test names the pattern that leaves. Every amount
+    along the way is feasible, so a stop after `rounds` costs sequences, never demand.
     """
     live = np.flatnonzero(demand)
     m = len(live)
@@ -141,14 +159,20 @@ def column_generation(demand: np.ndarray, room: int, rounds: int = 2000) -> tupl
     basis[live, np.arange(m)] = room // (live + 1)
     inverse = np.diag(1 / basis[live, np.arange(m)].astype(float))
     amount = inverse @ demand[live]
+    pool = np.stack([p for p, _ in greedy(demand, room)], axis=1)
     for _ in range(rounds):
         dual = np.zeros(len(demand))
         dual[live] = np.ones(m) @ inverse
-        gain, pattern = _knapsack(np.maximum(dual, 0), room)
-        if gain <= 1 + 1e-9:
-            break
+        gains = dual @ pool
+        best = int(np.argmax(gains))
+        if gains[best] > 1 + 1e-9:
+            pattern = pool[:, best]
+        else:
+            gain, pattern = _knapsack(np.maximum(dual, 0), room)
+            if gain <= 1 + 1e-9:
+                break
         way = inverse @ pattern[live]
-        steps = np.where(way > 1e-12, amount / np.where(way > 1e-12, way, 1), np.inf)
+        steps = np.where(way > 1e-9, amount / np.where(way > 1e-9, way, 1), np.inf)
         out = int(np.argmin(steps))
         step = steps[out]
         amount = np.maximum(amount - step * way, 0)
@@ -187,22 +211,19 @@ def plan(demand: np.ndarray, room: int) -> Plan:
 
     if demand.sum():
         patterns, amount = column_generation(demand, room)
-        for pattern, x in zip(patterns.T, np.floor(amount + 1e-9).astype(np.int64)):
+        full = (patterns * np.arange(1, len(demand) + 1)[:, None]).sum(0) * 64 >= room * 63  # wasteful ones wait for the rest
+        for pattern, x in zip(patterns.T[full], np.floor(amount[full] + 1e-9).astype(np.int64)):
+            used = np.flatnonzero(pattern)
+            x = min(int(x), int(((demand[used] - taken[used]) // pattern[used]).min()))
             if x > 0:
-                x = min(x, *((demand[c] - taken[c]) // pattern[c] for c in np.flatnonzero(pattern)))
-                if x > 0:
-                    use(pattern, int(x))
-    while (left := demand - taken).any():  # at most a few more sequences than classes: fill largest first
-        pattern, space = np.zeros(len(demand), np.int64), room
-        for c in np.flatnonzero(left)[::-1]:
-            k = min(int(left[c]), space // (int(c) + 1))
-            pattern[c], space = k, space - k * (int(c) + 1)
-        use(pattern, int(min(left[c] // pattern[c] for c in np.flatnonzero(pattern))))
+                use(pattern, x)
+    for pattern, times in greedy(demand - taken, room):  # what rounding left over
+        use(pattern, times)
     cols = np.array(rows, np.int64).reshape(-1, 5).T
     return Plan(*cols, base)
 
 
-def assign(pieces: DataFrame, max_len: int = 2048, grain: int = 8, blocks: int = 1024) -> DataFrame:
+def assign(pieces: DataFrame, max_len: int = 2048, grain: int = 4, blocks: int = 1024) -> DataFrame:
     """Pieces with sequence_id and offset. `pieces` must give the same rows each time it is read (a table)."""
     spark = pieces.sparkSession
     if max_len % grain:
@@ -248,5 +269,5 @@ def assign(pieces: DataFrame, max_len: int = 2048, grain: int = 8, blocks: int =
     return placed.unionByName(full)
 
 
-def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_len: int = 2048, grain: int = 8, tokenizer: str | None = None) -> DataFrame:
+def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_len: int = 2048, grain: int = 4, tokenizer: str | None = None) -> DataFrame:
     return assign(materialize(cut(df, id_col, text_col, max_len, tokenizer), "packing-pieces"), max_len, grain)
