@@ -236,6 +236,33 @@ def test_decontamination(spark):
     assert decontamination.leaks(empty(spark), b).count() == decontamination.leaks(d, b.limit(0)).count() == 0
 
 
+def test_decontamination_by_alignment(spark):
+    twice = "A train travels 60 km in 2 hours. Another train travels 80 km in 3 hours. How far apart are both of them then?"
+    once = "A train with 12 cars leaves Paris at noon and needs 3 hours for the 240 km to Lyon every day."
+    other = "A train with 13 cars leaves Rome at noon and needs 4 hours for the 241 km to Nice every day."
+    third = "A train with 15 cars leaves Oslo at noon and needs 6 hours for the 301 km to Bergen every day."
+    same = "Each of 3 boxes holds 3 red pens and 3 blue pens, so how many pens of any colour are there?"
+    docs = [
+        (0, twice),  # the item repeats a template with other values
+        (1, "Intro. " + twice + " More."),
+        (2, once + " " + other),  # a variant beside the copy
+        (3, other + " Filler between them. " + third),  # two variants, no copy
+        (4, other + " " + once.replace("at noon", "right at noon") + " " + third),  # a word put in
+        (5, once + " In other news, the cat with 7 cars leaves Rome at noon and needs rest."),
+        (6, same.replace("3 boxes", "4 boxes").replace("3 blue", "5 blue")),  # one slot, three values in one alignment
+        (7, "filler words " * 500 + twice + " filler words" * 500 + " " + twice.replace("60", "61")),
+        (None, once),
+        (None, other),  # the same shift in another text of the same id
+    ]
+    d = spark.createDataFrame(docs, DOCS)
+    b = spark.createDataFrame([(0, twice), (1, once), (2, same)], "item_id long, text string")
+    for p in (decontamination.Params(), decontamination.Params(broadcast_bytes=0)):
+        got = {(r.doc_id, r.item_id): (r.exact, r.n_found, r.n_windows) for r in decontamination.leaks(d, b, p).collect()}
+        assert {k: v[0] for k, v in got.items()} == {(0, 0): True, (1, 0): True, (2, 1): True, (3, 1): False, (4, 1): True, (5, 1): True, (7, 0): True, (None, 1): True}
+        assert all(found == windows for k, (_, found, windows) in got.items() if k != (4, 1))
+    assert [r.doc_id for r in decontamination.keep_clean(d, b).collect()] == [6]
+
+
 # 8
 
 

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 NAME_MARK, UNIT_MARK = "\x01", "\x02"
+EQUAL, WHOLE = 0, -1  # what stands for a band's width
 # Units that follow a number.
 UNITS = ("km", "m", "cm", "mm", "kg", "g", "mg", "lb", "oz", "miles", "mile", "feet", "ft", "inches", "hours", "hour", "minutes", "minute", "seconds", "days", "day", "weeks", "years", "year", "dollars", "euros", "cents", "percent", "litres", "liters", "ml", "degrees", "mph", "kmh")
 
@@ -30,6 +31,7 @@ class Params:
     span: int = 5
     share: float = 0.6  # of an item's windows that a leak holds
     plain: int = 2  # plain words that a window needs
+    drift: int = 64  # widest band of shifts that is one alignment; bands double from one shift on
     broadcast_bytes: int = 16 << 20
 
 
@@ -61,6 +63,17 @@ def _slots(words: Column, at: Column, p: Params) -> Column:
     return F.transform(F.slice(words, at + 1, p.span), lambda w: F.when((w < "\x03") | ((w >= "0") & (w < ":")), w).otherwise(""))
 
 
+def _bands(p: Params) -> Column:
+    """The alignments that a met window may belong to, as (width, place): bands of shifts, from one shift to `drift`,
+    each width but the first laid twice, by half a width apart; windows with equal slots; all windows."""
+    lay = lambda width, by: F.struct(F.lit(2 * width + (by > 0)).alias("width"), F.floor((F.col("shift") + by) / width).alias("place"))
+    widths = [1 << k for k in range(1, p.drift.bit_length())]
+    bands = [lay(1, 0), *[lay(w, by) for w in widths for by in (0, w // 2)]]
+    alone = lambda width: F.struct(F.lit(width).alias("width"), F.lit(0).cast("long").alias("place"))
+    same = F.array(alone(EQUAL))
+    return F.concat(F.array(*bands, alone(WHOLE)), F.when(F.col("item_slots") == F.col("doc_slots"), same).otherwise(F.slice(same, 1, 0)))
+
+
 def leaks(documents: DataFrame, benchmark: DataFrame, p: Params = Params(), id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(id, item, n_windows, n_found, share, n_slots, exact): one row per document and item that it leaks."""
     items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text"))
@@ -73,21 +86,26 @@ def leaks(documents: DataFrame, benchmark: DataFrame, p: Params = Params(), id_c
     w = w.join(totals, "item")
     if size <= p.broadcast_bytes:
         w = F.broadcast(w)
-    docs = _windows(documents.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")), F.col("text"), p, ["doc"])
-    met = docs.join(w, "key").select("doc", "item", "n_windows", "key", "item_slots", _slots(F.col("words"), F.col("at"), p).alias("doc_slots"))
-    per_window = met.groupBy("doc", "item", "n_windows", "key", "item_slots", "doc_slots").agg(F.count("*").alias("n"))
-    found = per_window.groupBy("doc", "item", "n_windows").agg(
+    docs = documents.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("body"))
+    docs = _windows(docs, F.col("text"), p, ["doc", "body"])
+    met = docs.join(w, "key").select("doc", "item", "n_windows", "body", "key", (F.col("at") - F.col("item_at")).alias("shift"), "item_slots", _slots(F.col("words"), F.col("at"), p).alias("doc_slots"))
+    hits = met.groupBy("doc", "item", "n_windows").agg(F.collect_set(F.struct("body", "shift", "key", "item_slots", "doc_slots")).alias("hits"))  # bounded by the document's windows and the item's repeats
+    hits = hits.where(F.size(F.array_distinct(F.col("hits.key"))) >= F.col("n_windows") * p.share)
+    hits = hits.select("doc", "item", "n_windows", F.explode("hits").alias("hit")).select("doc", "item", "n_windows", "hit.*")
+    aligned = hits.withColumn("band", F.explode(_bands(p))).withColumn("body", F.when(F.col("band.width") >= 0, F.col("body")))
+    found = aligned.groupBy("doc", "item", "n_windows", "body", "band").agg(
         F.countDistinct("key").alias("n_found"),
-        F.array_distinct(F.flatten(F.collect_set(F.arrays_zip("item_slots", "doc_slots")))).alias("pairs"),  # bounded by the item's slots, if consistent
+        F.array_distinct(F.flatten(F.collect_set(F.arrays_zip("item_slots", "doc_slots")))).alias("pairs"),
     )
     found = found.where(F.col("n_found") >= F.col("n_windows") * p.share)
-    pairs = F.filter("pairs", lambda x: x.item_slots != "")
-    found = found.withColumn("pairs", pairs)
+    found = found.withColumn("pairs", F.filter("pairs", lambda x: x.item_slots != ""))
     asked = F.size(F.array_distinct(F.transform("pairs", lambda x: x.item_slots)))
     consistent = asked == F.size("pairs")
-    return found.where(consistent).select(
-        F.col("doc").alias(id_col), F.col("item").alias(item_col), "n_windows", "n_found", (F.col("n_found") / F.col("n_windows")).alias("share"),
-        asked.cast("long").alias("n_slots"), F.forall("pairs", lambda x: x.item_slots == x.doc_slots).alias("exact"),
+    exact = F.forall("pairs", lambda x: x.item_slots == x.doc_slots)
+    best = F.struct((F.col("band.width") != EQUAL).alias("aligned"), exact.alias("exact"), F.col("n_found"), asked.cast("long").alias("n_slots"))
+    found = found.where(consistent).groupBy("doc", "item", "n_windows").agg(F.max(best).alias("best"))
+    return found.select(
+        F.col("doc").alias(id_col), F.col("item").alias(item_col), "n_windows", "best.n_found", (F.col("best.n_found") / F.col("n_windows")).alias("share"), "best.n_slots", "best.exact",
     )
 
 
