@@ -136,20 +136,34 @@ def _sections(spark, d):
     return S.sections_from(T.steps(fix(spark, d)))
 
 
+def _all_points(spark, d):
+    return T.steps(fix(spark, d)).select((F.col("ride_id") * 100_000 + F.col("seq")).alias("id"), "lat", "lng", C.flat_bearing(F.col("plat"), F.col("plng"), F.col("lat"), F.col("lng")).alias("heading"))
+
+
 def _points(spark, d):
-    return T.steps(fix(spark, d)).where("seq % 10 = 3").select((F.col("ride_id") * 100_000 + F.col("seq")).alias("id"), "lat", "lng", C.flat_bearing(F.col("plat"), F.col("plng"), F.col("lat"), F.col("lng")).alias("heading"))
+    return _all_points(spark, d).where("id % 10 = 3")
 
 
 def section_nearest(spark, d):
+    """A sample, for the oracle's unindexed join: every tenth fix and ride. section_nearest_all is the whole job."""
     s = _sections(spark, d).where("ride_id % 10 = 1")
     return S.nearest_section(_points(spark, d), S.samples(s)).select("id", F.round("distance", 3).alias("distance"))
 
 
+def section_nearest_all(spark, d):
+    return S.nearest_section(_all_points(spark, d), S.samples(_sections(spark, d))).select("id", F.round("distance", 3).alias("distance"))
+
+
 def sections_ahead(spark, d):
+    """A sample, for the oracle's unindexed join: every tenth fix and 25th ride. sections_ahead_all is the whole job."""
     s = _sections(spark, d).where("ride_id % 25 = 1")
     return S.within(_points(spark, d), S.samples(s)).select("id", "section_id", F.round("distance", 3).alias("distance"))
 
 
+def sections_ahead_all(spark, d):
+    return S.within(_all_points(spark, d), S.samples(_sections(spark, d))).select("id", "section_id", F.round("distance", 3).alias("distance"))
+
+
 def section_samples(spark, d):
     return S.samples(_sections(spark, d)).groupBy("section_id").agg(F.count("*").alias("n"), F.round(F.avg("lat"), 6).alias("lat"))
 
@@ -225,6 +239,8 @@ QUERIES = {
     "section_passes_by_ride": (section_passes_by_ride, _L + ", " + RIDE_SQL + ", b AS (SELECT section_id, first(ride_id ORDER BY speed DESC, ride_date, ride_id) AS best_ride_id FROM lap GROUP BY section_id) SELECT section_id, best_ride_id, activity, route_id FROM b LEFT JOIN (SELECT id, activity, route_id FROM ride WHERE pace_mapped) r ON r.id = b.best_ride_id"),
     "section_nearest": (section_nearest, "WITH " + STEP_SQL + _SEC + f", m AS (SELECT p.id, {_D} AS d FROM pts p JOIN smp s ON s.ride_id % 10 = 1 WHERE least(abs(h - b) % 360, 360 - abs(h - b) % 360) <= 45 OR h IS NULL) SELECT id, round(min(d), 3) AS distance FROM m WHERE d <= 25 GROUP BY id"),
     "sections_ahead": (sections_ahead, "WITH " + STEP_SQL + _SEC + f", m AS (SELECT p.id, s.section_id, {_D} AS d FROM pts p JOIN smp s ON s.ride_id % 25 = 1) SELECT id, section_id, round(min(d), 3) AS distance FROM m WHERE d <= 150 GROUP BY ALL"),
+    "section_nearest_all": (section_nearest_all, None),
+    "sections_ahead_all": (sections_ahead_all, None),
     "section_samples": (section_samples, "WITH " + STEP_SQL + _SEC + "SELECT section_id, count(*) AS n, round(avg(lat), 6) AS lat FROM smp GROUP BY section_id"),
     "nearest_segment": (nearest_segment, _SEG + ", p AS (SELECT c_custkey AS id, (c_custkey % 101) * 6.5::DOUBLE AS x, (c_custkey % 83) * 7.5::DOUBLE AS y FROM customer), u AS (SELECT *, CASE WHEN ax = bx AND ay = dy THEN 0 ELSE greatest(0, least(1, ((x - ax) * (bx - ax) + (y - ay) * (dy - ay)) / (pow(bx - ax, 2) + pow(dy - ay, 2)))) END AS u FROM p, seg), d AS (SELECT id, sqrt(pow(x - ax - u * (bx - ax), 2) + pow(y - ay - u * (dy - ay), 2)) AS d FROM u) SELECT id, round(min(d), 4) AS distance FROM d WHERE d <= 20 GROUP BY id"),
     "segment_crossings": (segment_crossings, _SEG + ", j AS (SELECT a.segment_id, b.segment_id AS other, a.ax, a.ay, a.bx - a.ax AS rx, a.dy - a.ay AS ry, b.bx - b.ax AS sx, b.dy - b.ay AS sy, b.ax - a.ax AS qx, b.ay - a.ay AS qy FROM seg a JOIN seg b ON a.level = b.level AND a.segment_id < b.segment_id), k AS (SELECT *, (qx * sy - qy * sx) / (rx * sy - ry * sx) AS u, (qx * ry - qy * rx) / (rx * sy - ry * sx) AS v FROM j WHERE rx * sy - ry * sx <> 0) SELECT segment_id, other, round(ax + u * rx, 4) AS x, round(ay + u * ry, 4) AS y FROM k WHERE u > 0 AND u < 1 AND v > 0 AND v < 1"),
