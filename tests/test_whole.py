@@ -48,6 +48,36 @@ def test_all_fixes_meet_all_sections(spark):
     assert all(abs(got[k] - want[k]) < 0.00051 for k in want)
 
 
+@here
+def test_all_segments_are_searched_and_crossed(spark):
+    q = catalog.queries()
+    seg = ride_queries._all_segments(spark, SF)
+    assert seg.count() == spark.read.parquet(f"{SF}/lineitem.parquet").select("l_orderkey", "l_linenumber").distinct().count()
+    s = seg.orderBy("segment_id").toPandas()
+    a, r = s[["ax", "ay"]].values, s[["bx", "by"]].values - s[["ax", "ay"]].values
+    c = spark.read.parquet(f"{SF}/customer.parquet").toPandas().c_custkey.values
+    x, y = (c % 101) * 6.5, (c % 83) * 7.5
+    qx, qy, long = x[:, None] - a[None, :, 0], y[:, None] - a[None, :, 1], (r**2).sum(1)
+    u = np.clip((qx * r[:, 0] + qy * r[:, 1]) / np.where(long > 0, long, 1), 0, 1)
+    near = np.sqrt((qx - u * r[:, 0]) ** 2 + (qy - u * r[:, 1]) ** 2).min(axis=1)
+    got = {z.id: z.distance for z in q["nearest_segment_all"](spark, SF).collect()}
+    assert got.keys() == {int(i) for i, d in zip(c, near) if d <= 20}
+    assert all(abs(got[int(i)] - d) < 0.000051 for i, d in zip(c, near) if d <= 20)
+
+    want = set()
+    for _, at in s.groupby("level").indices.items():
+        p, v = a[at], r[at]
+        cross = v[:, None, 0] * v[None, :, 1] - v[:, None, 1] * v[None, :, 0]
+        dx, dy = p[None, :, 0] - p[:, None, 0], p[None, :, 1] - p[:, None, 1]
+        safe = np.where(cross == 0, np.nan, cross)
+        f, g = (dx * v[None, :, 1] - dy * v[None, :, 0]) / safe, (dx * v[:, None, 1] - dy * v[:, None, 0]) / safe
+        i, j = np.nonzero((f > 0) & (f < 1) & (g > 0) & (g < 1))
+        ids = s.segment_id.values[at]
+        want |= {(int(ids[k]), int(ids[m])) for k, m in zip(i, j) if ids[k] < ids[m]}
+    got = [(z.segment_id, z.other) for z in q["segment_crossings_all"](spark, SF).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 1000
+
+
 def test_nearest_section_looks_on_and_keeps_ties(spark):
     m = 1 / 110574.0
     points = spark.createDataFrame([(1, 0.0, 0.0, 0.0), (2, 20 * m, 0.0, 90.0), (None, 0.0, 0.0, None), (3, 500 * m, 0.0, None)], "id long, lat double, lng double, heading double")
