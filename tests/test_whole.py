@@ -1,5 +1,6 @@
 """Whole jobs that have no SQL, against brute force over all pairs at the smallest size."""
 
+import heapq
 import os
 
 import numpy as np
@@ -7,8 +8,8 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from wayline.operators import spatial
-from wayline.plans import catalog, ride_queries
+from wayline.operators import graph, spatial
+from wayline.plans import catalog, kernel_queries, ride_queries
 
 SF = "/root/testdata/sf0.001"
 here = pytest.mark.skipif(not os.path.isdir(SF), reason="the test tables are not here")
@@ -84,3 +85,32 @@ def test_nearest_section_looks_on_and_keeps_ties(spark):
     index = spark.createDataFrame([(7, 0, m, 0.0, 0.0, 1.0), (8, 0, -m, 0.0, 0.0, 1.0), (9, 0, 0.0, 0.0, 90.0, 1.0)], "section_id long, i int, lat double, lng double, bearing double, speed double")
     got = {r.id: (round(r.distance, 3), r.section_id) for r in spatial.nearest_section(points, index).collect()}
     assert got == {1: (1.0, 8), 2: (20.0, 9), None: (0.0, 9)}
+
+
+def _dijkstra(edges, source):
+    out, done, queue = {}, {}, [(0.0, source)]
+    for a, b, cost in edges:
+        out.setdefault(a, []).append((b, cost))
+    while queue:
+        cost, node = heapq.heappop(queue)
+        if node not in done:
+            done[node] = cost
+            for b, step in out.get(node, []):
+                heapq.heappush(queue, (cost + step, b))
+    return done
+
+
+def test_shortest_paths_reach_every_node(spark, monkeypatch):
+    keys = sorted({1, 2, 3, *range(11, 300, 10), *range(290, 341)})
+    far = spark.createDataFrame([(k,) for k in keys], "c_custkey long").coalesce(1)
+    monkeypatch.setattr(kernel_queries, "read", lambda *a: far)
+    edges = [tuple(r) for r in kernel_queries._path_edges(spark, "").select("a", "b", "cost").collect()]
+    want = {(s, n): c for s in (1, 2, 3) for n, c in _dijkstra(edges, s).items()}
+    got = {(r.source, r.node): r.cost for r in kernel_queries.shortest_path_all(spark, "").collect()}
+    assert got == want and max(n for _, n in want) > 300
+
+
+def test_shortest_paths_raise_at_their_bound(spark):
+    chain = spark.range(5).selectExpr("id AS a", "id + 1 AS b", "1.0D AS cost")
+    with pytest.raises(RuntimeError):
+        graph.shortest_paths(chain, spark.createDataFrame([(0,)], "source long"), rounds=2)

@@ -34,7 +34,8 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def shortest_paths(edges: DataFrame, sources: DataFrame, rounds: int = 10_000) -> DataFrame:
-    """(source, node, cost) over directed edges (a, b, cost). Only nodes that improved are extended."""
+    """(source, node, cost) over directed edges (a, b, cost). Only nodes that improved are extended; raises if
+    some still improve after `rounds`."""
     best = _written(sources.select("source", F.col("source").alias("node"), F.lit(0.0).alias("cost")))
     front = best
     edges = edges.select("a", "b", F.col("cost").alias("step"))
@@ -44,8 +45,8 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, rounds: int = 10_000) -
         best = merged.select("source", "node", "cost")
         front = merged.where("better").select("source", "node", "cost")
         if front.isEmpty():
-            break
-    return best
+            return best
+    raise RuntimeError(f"paths still improve after {rounds} rounds")
 
 
 def junctions(edges: DataFrame, least: int = 3) -> DataFrame:
