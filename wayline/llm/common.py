@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -18,8 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a default where it is unset (tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/wayline"
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a default, but only if
+    driver and executors are one process (tests): machines of a cluster do not share a temporary folder."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.match(r"local(\[|$)", spark.conf.get("spark.master", "")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return named or "/tmp/checkpoints/wayline"
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
@@ -79,5 +84,38 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+_BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def hash_words(values: pa.Array) -> np.ndarray:
+    """64-bit polynomial hashes of strings, over all their bytes; equal strings have equal hashes."""
+    data, offsets = text_bytes(values)
+    size = np.diff(offsets)
+    if not len(size):
+        return np.zeros(0, np.uint64)
+    power = np.cumprod(np.full(int(size.max()) + 1, ODD, np.uint64))
+    within = np.arange(len(data)) - np.repeat(offsets[:-1], size)
+    full = np.flatnonzero(size)  # reduceat wants no empty stretch
+    total = np.zeros(len(size), np.uint64)
+    if len(full):
+        total[full] = np.add.reduceat(_BYTE[data] * power[within], offsets[:-1][full])
+    return mix64(total + size.astype(np.uint64))
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The distinct values of an integer array, ascending (by sorting: numpy's hashing is slow on packed pairs)."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
+def free_name(df: DataFrame, wish: str) -> str:
+    """A column name that the frame does not have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while wish.lower() in taken:
+        wish += "_"
+    return wish
+
+
 def sha256_of(col) -> "F.Column":
     return F.sha2(col.cast("binary"), 256)

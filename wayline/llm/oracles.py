@@ -26,7 +26,7 @@ m AS (SELECT d.doc_id, len(w)::BIGINT AS n_words,
 f AS (SELECT *, ((n_words < 10)::BIGINT + 2 * (100 * n_repeat_words > 20 * n_words)::BIGINT
         + 4 * (10 * n_symbols > n_words)::BIGINT + 8 * (100 * n_dup_lines > 30 * n_lines)::BIGINT
         + 16 * (word_chars < 2 * n_words OR word_chars > 15 * n_words)::BIGINT
-        + 32 * (100 * n_upper_words > 50 * n_words)::BIGINT + 64 * (n_blocked > 0)::BIGINT)::BIGINT AS failed_bits FROM m)
+        + 32 * (100 * n_upper_words > 50 * n_words)::BIGINT + 64 * (200 * n_blocked > n_words)::BIGINT)::BIGINT AS failed_bits FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        (failed_bits & 3) <> 0 AS base_failed, failed_bits = 0 AS kept, failed_bits FROM f
 """

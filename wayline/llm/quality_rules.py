@@ -21,9 +21,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, text_bytes, words_of
+from .common import distinct, free_name, slices, text_bytes, words_of
 
-# Words that mark abuse. A document with one of them fails `blocked_words`.
+# Words that mark abuse, English only (another list can be given). `blocked_words` judges their rate:
+# one such word fails a short text and passes a long one. Toxicity beyond such words is the classifier's work.
 BLOCKED = ("clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless")
 SYMBOLS = "#*$%&|<>"
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper_words", "n_blocked")
@@ -45,7 +46,7 @@ RULES = (
     Rule(3, "repeated_lines", lambda m: m.n_dup_lines * 100 > m.n_lines * 30),
     Rule(4, "word_length", lambda m: (m.word_chars < m.n_words * 2) | (m.word_chars > m.n_words * 15)),
     Rule(5, "upper_case", lambda m: m.n_upper_words * 100 > m.n_words * 50),
-    Rule(6, "blocked_words", lambda m: m.n_blocked > 0),
+    Rule(6, "blocked_words", lambda m: m.n_blocked * 200 > m.n_words),
 )
 BASE_RULES = ("few_words", "repeated_windows")
 
@@ -109,13 +110,13 @@ def measures(text: pa.Array, blocked: tuple[str, ...] = BLOCKED) -> dict[str, np
     full = pc.greater(pc.binary_length(pc.ascii_trim_whitespace(lines)), 0).to_numpy(zero_copy_only=False)
     line_codes = lines.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)[full]
     n_lines = np.bincount(line_rows[full], minlength=n)
-    distinct = np.unique(line_codes * max(n, 1) + line_rows[full]) % max(n, 1)
+    first_lines = distinct(line_codes * max(n, 1) + line_rows[full]) % max(n, 1)
     return {
         "n_words": np.bincount(rows, minlength=n),
         "word_chars": per_row(of_kind(pc.utf8_length(kinds))),
         "n_symbols": marked[offsets[1:]] - marked[offsets[:-1]],
         "n_lines": n_lines,
-        "n_dup_lines": n_lines - np.bincount(distinct, minlength=n),
+        "n_dup_lines": n_lines - np.bincount(first_lines, minlength=n),
         "n_repeat_words": _repeat_words(codes, rows, n),
         "n_upper_words": per_row(of_kind(pc.match_substring_regex(kinds, "^[A-Z][A-Z]"))),
         "n_blocked": per_row(of_kind(pc.is_in(letters, pa.array(list(blocked))))),
@@ -124,6 +125,8 @@ def measures(text: pa.Array, blocked: tuple[str, ...] = BLOCKED) -> dict[str, np
 
 def ledger(df: DataFrame, text_col: str = "text", out: str = "ledger", rules: tuple[Rule, ...] = RULES, blocked: tuple[str, ...] = BLOCKED) -> DataFrame:
     """The input with a struct column `out`: every measurement and `failed`, the bits of the rules that failed."""
+    if out.lower() in (c.lower() for c in df.columns):
+        raise ValueError(f"the input has a column {out}: choose another name for the ledger")
     inner = T.StructType([T.StructField(m, T.LongType(), False) for m in MEASURES])
     schema = T.StructType([*df.schema.fields, T.StructField(out, inner, False)])
 
@@ -170,5 +173,6 @@ def ablation(df: DataFrame, policy: Policy = CURRENT, out: str = "ledger", rules
 
 def filter_documents(df: DataFrame, policy: Policy = CURRENT, text_col: str = "text") -> DataFrame:
     """The input's rows that the policy keeps, with the input's columns."""
-    judged = ledger(df, text_col, "_ledger")
-    return judged.where(kept_by(policy, F.col("_ledger.failed"))).drop("_ledger")
+    out = free_name(df, "_ledger")
+    judged = ledger(df, text_col, out)
+    return judged.where(kept_by(policy, F.col(out).getField("failed"))).drop(out)
