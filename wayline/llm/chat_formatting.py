@@ -121,7 +121,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
     lines = F.filter(F.split("formatted", "</turn>\n", -1), lambda x, i: i >= F.col("n_repeated"))
     lines = F.slice(lines, 1, F.size(lines) - 1)
     # a role holds no bare colon
-    turns = F.transform(lines, lambda x: F.struct(_untitle(unescape(F.regexp_extract(x, r"(?s)^### ((?:[^\\:]|\\.)*): ", 1))).alias("role"), unescape(F.regexp_replace(x, r"(?s)^### (?:[^\\:]|\\.)*: ", "")).alias("text")))
+    turns = F.transform(lines, lambda x: F.struct(_untitle(unescape(F.regexp_extract(x, r"(?s)^### ([^\\:]*+(?:\\.[^\\:]*+)*+): ", 1))).alias("role"), unescape(F.regexp_replace(x, r"(?s)^### [^\\:]*+(?:\\.[^\\:]*+)*+: ", "")).alias("text")))
     targets = F.transform("loss", lambda m: unescape(F.col("formatted").substr(m.start + 1, m.stop - m.start)))
     return formatted.select("conv_id", "window", turns.alias("turns"), targets.alias("targets"), F.length("formatted").alias("chars"))
 

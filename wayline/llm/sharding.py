@@ -7,8 +7,8 @@ a shard joins or leaves, few slots change hands.
 
 Defined results: a null key is placed as the empty string; equal keys share a shard, unless a key holds more
 than one shard's fair share of the rows and `spread` is asked for: then its rows are dealt over as many salted
-keys as it has shares. Other columns pass through; the two added columns may be renamed if they clash; an empty
-table gives an empty result.
+keys as it has shares. Other columns pass through; where the input has a column named like one of the two added
+ones, place() refuses and other names must be given; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import free_name
+
 TABLE_SIZE = 65_537  # a prime; the bound of what is broadcast
 
 
@@ -57,17 +59,20 @@ def table_frame(spark: SparkSession, shards: list[str], size: int = TABLE_SIZE)
 
 def place(df: DataFrame, key: str, shards: list[str], size: int = TABLE_SIZE, spread: str | None = None, slot_col: str = "slot", shard_col: str = "shard") -> DataFrame:
     """The input with its slot and shard. spread: a column whose hash deals out the rows of overfull keys."""
+    if {slot_col.lower(), shard_col.lower()} & {c.lower() for c in df.columns}:
+        raise ValueError(f"the input has a column {slot_col} or {shard_col}: choose other names")
     on = F.coalesce(F.col(key).cast("string"), F.lit(""))
+    salt = F.lit("")
     if spread is not None:
-        counts = df.groupBy(on.alias("_key")).agg(F.count("*").alias("_n"))
-        total = counts.agg(F.sum("_n").alias("_total"))
+        own, n, ways = (free_name(df, x) for x in ("_key", "_n", "_ways"))
+        counts = df.groupBy(on.alias(own)).agg(F.count("*").alias(n))
+        total = counts.agg(F.sum(n).alias("_total"))
         # fewer keys than shards can hold more than a fair share, so this side is bounded
-        hot = counts.crossJoin(F.broadcast(total)).where(F.col("_n") * len(shards) > F.col("_total")).select("_key", F.ceil(F.col("_n") * len(shards) / F.col("_total")).alias("_ways"))
-        salt = F.when(F.col("_ways").isNotNull(), F.concat(F.lit("#"), F.pmod(F.xxhash64(spread), F.col("_ways")))).otherwise("")
-        df = df.join(F.broadcast(hot), on == F.col("_key"), "left").withColumn("_on", F.concat(on, salt)).drop("_key", "_ways")
-    else:
-        df = df.withColumn("_on", on)
-    placed = df.withColumn(slot_col, slot_of(F.col("_on"), size)).drop("_on")
+        hot = counts.crossJoin(F.broadcast(total)).where(F.col(n) * len(shards) > F.col("_total")).select(own, F.ceil(F.col(n) * len(shards) / F.col("_total")).alias(ways))
+        df = df.join(F.broadcast(hot), on == F.col(own), "left")
+        salt = F.when(F.col(ways).isNotNull(), F.concat(F.lit("#"), F.pmod(F.xxhash64(spread), F.col(ways)))).otherwise("")
+    placed = df.withColumn(slot_col, slot_of(F.concat(on, salt), size))
+    placed = placed.drop(own, ways) if spread is not None else placed
     lookup = table_frame(df.sparkSession, shards, size).select(F.col("slot").alias(slot_col), F.col("shard").alias(shard_col))
     return placed.join(F.broadcast(lookup), slot_col)
 
@@ -75,4 +80,5 @@ def place(df: DataFrame, key: str, shards: list[str], size: int = TABLE_SIZE, sp
 def write_shards(placed: DataFrame, path: str, shard_col: str = "shard", files_per_shard: int = 1) -> None:
     """One folder per shard; rows of a shard are dealt over files_per_shard files."""
     deal = F.pmod(F.hash(*[c for c in placed.columns if c != shard_col]), F.lit(files_per_shard))
-    placed.withColumn("_deal", deal).repartition(F.col(shard_col), F.col("_deal")).drop("_deal").write.partitionBy(shard_col).parquet(path)
+    name = free_name(placed, "_deal")
+    placed.withColumn(name, deal).repartition(F.col(shard_col), F.col(name)).drop(name).write.partitionBy(shard_col).parquet(path)
