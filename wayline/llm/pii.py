@@ -27,11 +27,13 @@ BASE_KINDS = ("email", "ip", "card", "phone")
 ADDED_KINDS = ("email_spelled", "ipv6", "card_unchecked", "phone_local", "iban", "ssn")
 KINDS = BASE_KINDS + ADDED_KINDS
 
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._+-"
+DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+NUMBERS = re.compile(r"[0-9]+(?:\.[0-9]+)*+")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-EMAIL_SPELLED = re.compile(r"[A-Za-z0-9._+-]+\x20?[\[(](?:at|AT|@)[\])]\x20?[A-Za-z0-9-]+(?:\x20?(?:\.|[\[(](?:dot|DOT)[\])])\x20?[A-Za-z0-9-]+)+")
+SPELLED_AT = re.compile(r"\x20?[\[(](?:at|AT|@)[\])]\x20?")
+SPELLED_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\x20?(?:\.|[\[(](?:dot|DOT)[\])])\x20?[A-Za-z0-9-]+)+")
 IPV6 = re.compile(r"(?<![0-9A-Za-z:])(?:[0-9a-fA-F]{1,4}:){4,7}[0-9a-fA-F]{1,4}(?![0-9A-Za-z:])")
 PHONE_LOCAL = re.compile(r"(?<![0-9+.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9.-])")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?![A-Za-z0-9])")
@@ -60,13 +62,43 @@ def iban_ok(text: str) -> bool:
     return int("".join(str(int(c, 36)) for c in text[4:] + text[:4])) % 97 == 1
 
 
+def addresses(text: str, marks: Iterator[tuple[int, int]], local: str, domain: re.Pattern) -> Iterator[tuple[int, int]]:
+    """Leftmost non-overlapping spans of local part, mark, domain. Every mark is looked around once, to the left as
+    far as the mark before it: what holds no mark is not read from each of its characters on."""
+    free = 0
+    for a, b in marks:
+        if a < free:
+            continue
+        before = text[free:a]
+        start = len(before.rstrip(local)) + free
+        if start < a and (m := domain.match(text, b)):
+            yield start, m.end()
+            free = m.end()
+        else:
+            free = b
+
+
+def quads(text: str) -> Iterator[tuple[int, int]]:
+    """Leftmost non-overlapping spans of four dotted numbers, parts at most 255: a run of dotted numbers holds one
+    for every four, counted from its start."""
+    for run in NUMBERS.finditer(text):
+        parts = run[0].split(".")
+        at = run.start()
+        for i in range(0, len(parts) - 3, 4):
+            four = parts[i : i + 4]
+            end = at + sum(map(len, four)) + 3
+            if all(len(x := y.lstrip("0")) <= 3 and int(x or "0") <= 255 for y in four):
+                yield at, end
+            at = end + 1
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """Spans of the base kinds: by kind, then start."""
     out = []
     if "@" in text:
-        out += [("email", *m.span()) for m in EMAIL.finditer(text)]
+        out += [("email", *x) for x in addresses(text, (m.span() for m in re.finditer("@", text)), LOCAL + "%", DOMAIN)]
     if "." in text:
-        out += [("ip", *m.span()) for m in IP.finditer(text) if all(len(x.lstrip("0")) <= 3 and int(x.lstrip("0") or "0") <= 255 for x in m[0].split("."))]
+        out += [("ip", *x) for x in quads(text)]
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 16 and 16 <= len(digits := re.sub(r"[ -]", "", m[0])) <= 19 and luhn(digits):
             out.append(("card", *m.span()))
@@ -75,22 +107,35 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def _apart(found: list[tuple[int, int]], taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Of spans in order that do not overlap, those that touch none of the taken ones, by one sweep over both."""
+    out, k, far = [], 0, 0
+    taken = sorted(taken)
+    for a, b in found:
+        while k < len(taken) and taken[k][0] < b:
+            far = max(far, taken[k][1])
+            k += 1
+        if far <= a:
+            out.append((a, b))
+    return out
+
+
 def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Looser spans that touch no base span nor an earlier candidate."""
-    found = []
+    """Looser spans that touch no base span nor a candidate of a kind before theirs."""
+    found: dict[str, list[tuple[int, int]]] = {}
     if "[" in text or "(" in text:
-        found += [("email_spelled", *m.span()) for m in EMAIL_SPELLED.finditer(text)]
+        found["email_spelled"] = list(addresses(text, (m.span() for m in SPELLED_AT.finditer(text)), LOCAL, SPELLED_DOMAIN))
     if ":" in text:
-        found += [("ipv6", *m.span()) for m in IPV6.finditer(text)]
-    found += [("iban", *m.span()) for m in IBAN.finditer(text)]
-    found += [("ssn", *m.span()) for m in SSN.finditer(text)]
-    found += [("phone_local", *m.span()) for m in PHONE_LOCAL.finditer(text)]
-    found += [("card_unchecked", *m.span()) for m in CARD.finditer(text) if m.end() - m.start() >= 13 and 13 <= len(re.sub(r"[ -]", "", m[0])) <= 19]
+        found["ipv6"] = [m.span() for m in IPV6.finditer(text)]
+    found["iban"] = [m.span() for m in IBAN.finditer(text)]
+    found["ssn"] = [m.span() for m in SSN.finditer(text)]
+    found["phone_local"] = [m.span() for m in PHONE_LOCAL.finditer(text)]
+    found["card_unchecked"] = [m.span() for m in CARD.finditer(text) if m.end() - m.start() >= 13 and 13 <= len(re.sub(r"[ -]", "", m[0])) <= 19]
     taken, out = [(a, b) for _, a, b in base], []
-    for kind, a, b in found:
-        if all(b <= x or y <= a for x, y in taken):
-            taken.append((a, b))
-            out.append((kind, a, b))
+    for kind, spans in found.items():
+        spans = _apart(spans, taken)
+        taken += spans
+        out += [(kind, *x) for x in spans]
     return sorted(out, key=lambda s: (KINDS.index(s[0]), s[1]))
 
 

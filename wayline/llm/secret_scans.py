@@ -10,9 +10,10 @@ histogram, so that no ranking of all tokens is needed).
 Everything is a projection of built-in functions over the text's row: no Python on executors, no shuffle but
 the histogram's. Positions are code points, ends exclusive.
 
-Defined results: a null or empty text has no spans; repeated rows are judged each by themselves; only the id
-and text columns are read; an empty table gives an empty result. Tokens of letters of one case only are natural
-text to this operator and not tested.
+Defined results: a null or empty text has no spans, and redaction leaves it as it is; repeated rows are judged each
+by themselves; only the id and text columns are read; an empty table gives an empty result. Tokens of letters of one
+case only are natural text to this operator and not tested, nor are tokens that hold a base span. Work is near
+linear in a text's length and in its number of spans.
 """
 
 from __future__ import annotations
@@ -41,18 +42,26 @@ class Params:
     lengths: tuple[int, ...] = (24, 32, 48, 64)
 
 
+BLOCK = 256  # spans that are put together at once
 _NONE = "cast(array() AS array<struct<start:int,stop:int,x:string>>)"
 
 
-def _positions(pattern: str, when: str) -> str:
-    """SQL: (start, stop, x) of every leftmost, non-overlapping match of a pattern in `text`."""
+def _positions(pattern: str, text: str = "text") -> str:
+    """SQL: (start, stop, x) of every leftmost, non-overlapping match of a pattern in an SQL expression.
+
+    Starts are running sums of lengths, taken in blocks and then over the blocks: appending to one array match by
+    match would copy it each time.
+    """
     p = _literal(pattern)
-    return f"""if({when}, aggregate(
-        filter(zip_with(split(text, {p}, -1), regexp_extract_all(text, {p}, 0), (g, x) -> named_struct('gap', g, 'x', x)), z -> z.x IS NOT NULL),
-        named_struct('at', 0, 'out', {_NONE}),
-        (acc, z) -> named_struct('at', acc.at + length(z.gap) + length(z.x), 'out', array_append(acc.out,
-            named_struct('start', acc.at + length(z.gap), 'stop', acc.at + length(z.gap) + length(z.x), 'x', z.x))),
-        acc -> acc.out), {_NONE})"""
+    return f"""if({text} RLIKE {p}, aggregate(
+        transform(
+            transform(array(filter(zip_with(split({text}, {p}, -1), regexp_extract_all({text}, {p}, 0), (g, x) -> named_struct('gap', length(g), 'x', x)), z -> z.x IS NOT NULL)),
+                all_z -> transform(sequence(0, (size(all_z) - 1) div {BLOCK}), i -> slice(all_z, i * {BLOCK} + 1, {BLOCK})))[0],
+            some -> aggregate(some, named_struct('at', 0, 'out', {_NONE}),
+                (acc, z) -> named_struct('at', acc.at + z.gap + length(z.x), 'out', array_append(acc.out, named_struct('start', acc.at + z.gap, 'stop', acc.at + z.gap + length(z.x), 'x', z.x))))),
+        named_struct('at', 0, 'out', cast(array() AS array<array<struct<start:int,stop:int,x:string>>>)),
+        (acc, part) -> named_struct('at', acc.at + part.at, 'out', array_append(acc.out, transform(part.out, m -> named_struct('start', acc.at + m.start, 'stop', acc.at + m.stop, 'x', m.x)))),
+        acc -> flatten(acc.out)), {_NONE})"""
 
 
 def _literal(pattern: str) -> str:
@@ -66,11 +75,11 @@ def _tests(p: Params) -> list[str]:
         # the inferred encoding's alphabet size and middle, and the token's codes in the alphabet's order
         """transform(c0, c -> named_struct('start', c.start, 'stop', c.stop, 'n', double(length(c.x)),
             'k', CASE WHEN c.x RLIKE '^[0-9]+$' THEN 10D WHEN c.x RLIKE '^([0-9a-f]+|[0-9A-F]+)$' THEN 16D WHEN c.x RLIKE '^[A-Z2-7]+=*$' THEN 32D WHEN c.x RLIKE '^[a-z0-9]+$' THEN 36D ELSE 64D END,
-            'u', transform(sequence(1, length(c.x)), i -> ascii(substr(c.x, i, 1)))))""",
+            'u', transform(split(c.x, ''), v -> ascii(v))))""",
         f"""transform(c1, c -> named_struct('start', c.start, 'stop', c.stop, 'n', c.n, 'k', c.k, 'u', c.u,
             'g', transform(c.u, v -> {by_class}),
             'y', transform(c.u, v -> CASE WHEN v BETWEEN 48 AND 57 THEN v - 48D WHEN v BETWEEN 65 AND 90 THEN v - 55D WHEN v BETWEEN 97 AND 122 THEN v - IF(c.k = 64D, 61D, 87D) ELSE 62D END),
-            'sq', aggregate(array_distinct(c.u), 0D, (acc, d) -> acc + pow(size(filter(c.u, v -> v = d)), 2))))""",
+            'sq', aggregate(array_distinct(c.u), 0D, (acc, d) -> acc + pow(c.n - size(array_remove(c.u, d)), 2))))""",
         """transform(c2, c -> named_struct('start', c.start, 'stop', c.stop, 'n', c.n, 'k', c.k, 'g', c.g,
             'chi', c.k * c.sq / c.n - c.n, 'y', c.y, 'mean', aggregate(c.y, 0D, (acc, v) -> acc + v) / c.n,
             'hi', transform(c.y, v -> IF(v >= IF(c.k = 32D, 20D, c.k / 2), 1, 0))))""",
@@ -103,14 +112,18 @@ def scan(df: DataFrame, p: Params = Params(), id_col: str = "doc_id", text_col:
 
 def _scan(out: DataFrame, p: Params, carry: str) -> DataFrame:
     found = {
-        "assign": f"filter({_positions(ASSIGN, 'text RLIKE ' + _literal(ASSIGN))}, m -> length(regexp_extract(m.x, {_literal(ASSIGN)}, 2)) >= 6)",
-        "access": _positions(ACCESS, "contains(text, 'AKIA')"),
-        "hex": _positions(HEX, "text RLIKE " + _literal(HEX)),
+        "assign": f"filter(given, m -> length(regexp_extract(m.x, {_literal(ASSIGN)}, 2)) >= 6)",
+        "access": _positions(ACCESS),
+        "hex": _positions(HEX),
     }
     base = "array_sort(concat(" + ", ".join(f"transform({found[k]}, m -> named_struct('start', m.start, 'kind', {i}, 'stop', m.stop))" for i, k in enumerate(BASE_KINDS)) + "))"
-    token = f"filter({_positions(TOKEN, 'text RLIKE ' + _literal(TOKEN))}, m -> m.x RLIKE '[0-9]' OR m.x RLIKE '[a-z].*[A-Z]')"
-    out = out.select(carry, F.expr(base).alias("base"), F.expr(token).alias("all"))
-    out = out.select(carry, "base", F.expr("filter(all, c -> NOT exists(base, b -> b.start < c.stop AND c.start < b.stop))").alias("c0"))
+    # tokens are looked for in what assignments leave; those that hold another base span are none
+    gaps = f"zip_with(split(text, {_literal(ASSIGN)}, -1), concat(array(0), transform(given, m -> m.stop)), (g, o) -> named_struct('g', g, 'o', o))"
+    tokens = f"flatten(transform({gaps}, z -> transform({_positions(TOKEN, 'z.g')}, m -> named_struct('start', m.start + z.o, 'stop', m.stop + z.o, 'x', m.x))))"
+    mixed = "m.x RLIKE '[0-9]' OR m.x RLIKE '^[^a-z]*+[a-z][^A-Z]*+[A-Z]'"
+    token = f"if(text RLIKE {_literal(TOKEN)}, filter({tokens}, m -> ({mixed}) AND NOT m.x RLIKE {_literal(HEX)} AND NOT m.x RLIKE {_literal(ACCESS)}), {_NONE})"
+    out = out.withColumn("given", F.expr(_positions(ASSIGN)))
+    out = out.select(carry, F.expr(base).alias("base"), F.expr(token).alias("c0"))
     for i, step in enumerate(_tests(p)):
         out = out.select(carry, "base", F.expr(step).alias(f"c{i + 1}"))
     return out.withColumnRenamed(f"c{len(_tests(p))}", "tested")
@@ -150,15 +163,17 @@ def redact(df: DataFrame, p: Params = Params(), text_col: str = "text", length_c
     rows = df.select(F.struct(*df.columns).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     tested = materialize(_scan(rows, p, "row"), "secret-rows")
     found = tested.select("row", _accepted(tested, p).alias("spans"))
-    text = F.col("row").getField(text_col)
-    cut = F.aggregate(
-        "spans",
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda acc, s: F.struct(F.greatest(acc.at, s.stop).alias("at"), F.when(s.start >= acc.at, F.concat(acc.out, text.substr(acc.at + 1, s.start - acc.at), F.lit(mark))).otherwise(acc.out).alias("out")),
-        lambda acc: F.concat(acc.out, text.substr(acc.at + 1, F.length(text))),
-    )
+    # block by block, each over its own stretch of the text: reaching a place in a text costs the way to it
+    blocks = f"transform(sequence(0, (size(spans) - 1) div {BLOCK}), i -> slice(spans, i * {BLOCK} + 1, {BLOCK}))"
+    whole = f"element_at(array(row), 1).`{text_col}`"
+    inner = """aggregate(some, named_struct('at', acc.at, 'out', ''), (one, s) -> named_struct('at', greatest(one.at, s.stop),
+        'out', if(s.start >= one.at, concat(one.out, substr(stretch, one.at - acc.at + 1, s.start - one.at), {mark}), one.out)))""".format(mark=_literal(mark))
+    step = f"""transform(array(substr({whole}, acc.at + 1, greatest(0, array_max(transform(some, s -> s.stop)) - acc.at))), stretch -> {inner})[0]"""
+    cut = F.expr(f"""aggregate({blocks}, named_struct('at', 0, 'out', cast(array() AS array<string>)),
+        (acc, some) -> transform(array({step}), x -> named_struct('at', x.at, 'out', array_append(acc.out, x.out)))[0],
+        acc -> concat(array_join(acc.out, ''), substr({whole}, acc.at + 1)))""")
     changed = F.size("spans") > 0
-    new = {text_col: F.when(changed, cut).otherwise(text)}
+    new = {text_col: F.when(changed, cut).otherwise(F.col("row").getField(text_col))}
     found = found.select("row", "spans", new[text_col].alias("_new"))
     cols = [F.col("_new").alias(c) if c == text_col else F.when(changed, F.length("_new").cast(df.schema[c].dataType)).otherwise(F.col("row").getField(c)).alias(c) if c == length_col else F.col("row").getField(c).alias(c) for c in df.columns]
     return found.select(*cols)
