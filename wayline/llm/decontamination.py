@@ -20,6 +20,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_name
+
 NAME_MARK, UNIT_MARK = "\x01", "\x02"
 EQUAL, WHOLE = 0, -1  # what stands for a band's width
 # Units that follow a number.
@@ -48,14 +50,18 @@ def canonical(word: Column) -> Column:
     return F.when(word < "\x02", "<name>").when(word < "\x03", "<unit>").when((word >= "0") & (word < ":"), "<number>").otherwise(word)
 
 
-def _windows(df: DataFrame, text: Column, p: Params, keep: list[str]) -> DataFrame:
-    """(keep.., at, key, words): every window's position and hash; words: the whole text's words."""
+def _windows(df: DataFrame, text: Column, p: Params, keep: list[str], slots: str | None = None) -> DataFrame:
+    """(keep.., at, key, words): every window's position and hash; words: the whole text's words, which no exchange
+    may carry. With `slots`, a column of that name has the window's own slots instead."""
     split = df.select(*keep, template_words(text).alias("words"))
     hashed = split.select(*keep, "words", F.transform("words", lambda w: F.xxhash64(canonical(w))).alias("h"))
     last = F.size("h") - (p.span - 1)
     places = F.when(last >= 1, F.sequence(F.lit(1), F.greatest(last, F.lit(1)))).otherwise(F.expr("cast(array() AS array<int>)"))
-    keys = F.transform(places, lambda i: F.xxhash64(*[F.element_at("h", i + k) for k in range(p.span)]))
-    return hashed.select(*keep, "words", F.posexplode(keys).alias("at", "key"))
+    key = lambda i: F.xxhash64(*[F.element_at("h", i + k) for k in range(p.span)])
+    if slots is None:
+        return hashed.select(*keep, "words", F.posexplode(F.transform(places, key)).alias("at", "key"))
+    both = F.transform(places, lambda i: F.struct(key(i).alias("key"), _slots(F.col("words"), i - 1, p).alias(slots)))
+    return hashed.select(*keep, F.posexplode(both).alias("at", "window")).select(*keep, "at", "window.*")
 
 
 def _slots(words: Column, at: Column, p: Params) -> Column:
@@ -84,11 +90,13 @@ def leaks(documents: DataFrame, benchmark: DataFrame, p: Params = Params(), id_c
     w = w.where(plain >= p.plain)
     totals = w.groupBy("item").agg(F.countDistinct("key").alias("n_windows"))
     w = w.join(totals, "item")
-    if size <= p.broadcast_bytes:
-        w = F.broadcast(w)
     docs = documents.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("body"))
-    docs = _windows(docs, F.col("text"), p, ["doc", "body"])
-    met = docs.join(w, "key").select("doc", "item", "n_windows", "body", "key", (F.col("at") - F.col("item_at")).alias("shift"), "item_slots", _slots(F.col("words"), F.col("at"), p).alias("doc_slots"))
+    if size <= p.broadcast_bytes:
+        # few windows meet an item's, so slots are read from the words where they do
+        met = _windows(docs, F.col("text"), p, ["doc", "body"]).join(F.broadcast(w), "key").withColumn("doc_slots", _slots(F.col("words"), F.col("at"), p))
+    else:
+        met = _windows(docs, F.col("text"), p, ["doc", "body"], "doc_slots").join(w.hint("merge"), "key")
+    met = met.select("doc", "item", "n_windows", "body", "key", (F.col("at") - F.col("item_at")).alias("shift"), "item_slots", "doc_slots")
     hits = met.groupBy("doc", "item", "n_windows").agg(F.collect_set(F.struct("body", "shift", "key", "item_slots", "doc_slots")).alias("hits"))  # bounded by the document's windows and the item's repeats
     hits = hits.where(F.size(F.array_distinct(F.col("hits.key"))) >= F.col("n_windows") * p.share)
     hits = hits.select("doc", "item", "n_windows", F.explode("hits").alias("hit")).select("doc", "item", "n_windows", "hit.*")
@@ -111,5 +119,5 @@ def leaks(documents: DataFrame, benchmark: DataFrame, p: Params = Params(), id_c
 
 def keep_clean(documents: DataFrame, benchmark: DataFrame, p: Params = Params(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The input without the documents that leak an item."""
-    gone = leaks(documents, benchmark, p, id_col, text_col).select(F.col(id_col).alias("_gone")).distinct()
-    return documents.join(gone, documents[id_col].eqNullSafe(gone["_gone"]), "left_anti")
+    gone = leaks(documents, benchmark, p, id_col, text_col).select(F.col(id_col).alias(free_name(documents, "_gone"))).distinct()
+    return documents.join(gone, documents[id_col].eqNullSafe(gone[gone.columns[0]]), "left_anti")

@@ -9,12 +9,13 @@ their class, take the patterns' places by arithmetic on their rank.
 Only the histogram (at most max_len / grain rows) reaches the driver. Ranks come from per-block counts, so that
 one very common length is not one task's work. Defined results: a null or empty text is its closing id alone;
 repeated rows are packed each by themselves (rows that share an id are told apart by nothing in the output);
-only the id and text columns are read; an empty table gives an empty result.
+only the id and text columns are read, and ids keep their type; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import struct
+import warnings
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,7 +30,7 @@ from .common import materialize, slices
 
 CLOSING_ID = 1
 CACHE_WORDS = 500_000
-_PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+_PIECES = "start long, length long, ids_crc32 long, doc_tokens long"
 _state: dict = {}
 
 
@@ -46,10 +47,23 @@ def _tokenizer(path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _state.update(path=path, tokenizer=Tokenizer.from_file(path), cache={})
+        tokenizer = Tokenizer.from_file(path)
+        _refuse_others(tokenizer, path)
+        _state.update(path=path, tokenizer=tokenizer, cache={})
     return _state["tokenizer"], _state["cache"]
 
 
+def _refuse_others(tokenizer, path: str) -> None:
+    """Raise if a vocabulary does not do what tokenize() relies on: 16-bit ids, nothing joined across blanks and line
+    ends, no case, a comma or full stop after a word apart from it."""
+    ids = lambda x: tokenizer.encode(x, add_special_tokens=False).ids
+    words = ["Hello", "WORLD", "Straße", "ÉTÉ", "x9_", "don't"]
+    parts = [i for w in words for i in ids(w.lower() if w[0].isalpha() and w.isalpha() else w)]
+    apart = all(ids(w.lower() + c) == ids(w.lower()) + ids(c) for w in words[:4] for c in ".,")
+    if tokenizer.get_vocab_size() > 1 << 16 or not apart or any(ids(j.join(words)) != parts for j in (" ", "\n", "  ")):
+        raise ValueError(f"{path}: packing needs a vocabulary of at most 65,536 ids that ignores case and joins nothing across blanks")
+
+
 def tokenize(text: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """All ids of a column of texts, one after the other, and n + 1 offsets.
 
@@ -99,12 +113,14 @@ def cut(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_len:
             ids, offsets = tokenize(part.column("text"), path)
             out: list[tuple] = []
             closing = np.array([CLOSING_ID], np.uint32)
-            for doc, a, b in zip(part.column("id").to_pylist(), offsets[:-1], offsets[1:]):
+            for row, (a, b) in enumerate(zip(offsets[:-1], offsets[1:])):
                 own = np.concatenate([ids[a:b].astype("<u4"), closing])
-                out += [(doc, s, len(x := own[s : s + max_len]), zlib.crc32(x.tobytes()), len(own)) for s in range(0, len(own), max_len)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+                out += [(row, s, len(x := own[s : s + max_len]), zlib.crc32(x.tobytes()), len(own)) for s in range(0, len(own), max_len)]
+            of, *rest = (pa.array(c, pa.int64()) for c in zip(*out))
+            yield pa.RecordBatch.from_arrays([part.column("id").take(of), *rest], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, _PIECES)
+    kind = df.schema[id_col].dataType.simpleString()
+    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, {_PIECES}")
 
 
 def _knapsack(value: np.ndarray, room: int) -> tuple[float, np.ndarray]:
@@ -151,7 +167,7 @@ def column_generation(demand: np.ndarray, room: int, rounds: int = 600) -> tuple
 
     Revised simplex on the classes with demand. It starts from one-class patterns; the greedy patterns are priced
     first, then the knapsack's answers to the duals; the ratio test names the pattern that leaves. Every amount
-    along the way is feasible, so a stop after `rounds` costs sequences, never demand.
+    along the way is feasible, so a stop after `rounds` costs sequences, never demand, and says so.
     """
     live = np.flatnonzero(demand)
     m = len(live)
@@ -181,6 +197,8 @@ def column_generation(demand: np.ndarray, room: int, rounds: int = 600) -> tuple
         inverse = inverse - np.outer(way, pivot)
         inverse[out] = pivot
         basis[:, out] = pattern
+    else:
+        warnings.warn(f"packing stopped after {rounds} columns: a better plan may exist", stacklevel=2)
     return basis, amount
 
 
@@ -256,7 +274,7 @@ def assign(pieces: DataFrame, max_len: int = 2048, grain: int = 4, blocks: int =
             seq = table["sequence"][at] + within // table["places"][at]
             yield pa.RecordBatch.from_arrays([*[b.column(n) for n in names], pa.array(seq)], names=[*names, "sequence_id"])
 
-    placed = ranked.select(*names, "_cls", "_rank").mapInArrow(run, _PIECES + ", sequence_id long")
+    placed = ranked.select(*names, "_cls", "_rank").mapInArrow(run, f"doc_id {pieces.schema['doc_id'].dataType.simpleString()}, {_PIECES}, sequence_id long")
     inside = Window.partitionBy("sequence_id").orderBy(F.desc("length"), "doc_id", "start", "ids_crc32")  # <= max_len pieces
     placed = placed.withColumn("offset", (F.sum("length").over(inside) - F.col("length")).cast("long"))
     # full sequences: numbered after the others by block counts
