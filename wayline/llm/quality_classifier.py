@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, slices, words_of
+from .common import distinct, hash_words, mix64, slices, words_of
 
 
 @dataclass(frozen=True)
@@ -40,17 +40,37 @@ class Params:
     threshold: float = 0.5
 
 
-def _hash_strings(values: pa.Array, salt: int) -> np.ndarray:
-    """64-bit hashes of strings: FNV over at most 24 bytes, plus the length."""
-    values = pc.fill_null(values, "").cast(pa.large_binary())
-    offsets = np.frombuffer(values.buffers()[1], np.int64)[values.offset : values.offset + len(values) + 1]
-    data = np.frombuffer(values.buffers()[2], np.uint8) if values.buffers()[2] is not None else np.zeros(0, np.uint8)
-    size = np.diff(offsets)
-    h = np.full(len(values), 0xCBF29CE484222325, np.uint64) ^ np.uint64(salt)
-    for k in range(min(24, int(size.max()) if len(size) else 0)):
-        on = np.flatnonzero(size > k)
-        h[on] = (h[on] ^ data[offsets[on] + k].astype(np.uint64)) * np.uint64(0x100000001B3)
-    return mix64(h ^ (size.astype(np.uint64) << np.uint64(40)))
+CACHE_BYTES = 48 << 20  # of remembered words and their features, in a worker
+_cache: dict = {"bits": None, "of": {}, "table": np.zeros((0, 5), np.int32), "bytes": 0}
+
+
+def _word_features(kinds: pa.Array, bits: int) -> np.ndarray:
+    """Per distinct word five hashed features: itself, its beginnings of 4, 5 and 6 letters, its shape."""
+    mask = np.uint64((1 << bits) - 1)
+    bare = pc.utf8_lower(pc.replace_substring_regex(kinds, r"[^\p{L}]+", ""))
+    shape = kinds
+    for pattern, into in ((r"\p{Lu}+", "A"), (r"[\p{Ll}]+", "a"), (r"[0-9]+", "9"), (r"([^Aa9])[^Aa9]+", r"\1\1")):
+        shape = pc.replace_substring_regex(shape, pattern, into)
+    parts = [(1, bare), *((k, pc.utf8_slice_codeunits(bare, 0, k)) for k in (4, 5, 6)), (99, pc.utf8_slice_codeunits(shape, 0, 8))]
+    return np.stack([(mix64(hash_words(x) + np.uint64(salt)) & mask).astype(np.int32) for salt, x in parts], axis=1)
+
+
+def _features_of(kinds: pa.Array, bits: int) -> np.ndarray:
+    """As _word_features, each word once a worker while it is remembered. The cache is emptied when it is full, so
+    its size is bounded and what it holds does not change a result."""
+    if _cache["bits"] != bits or _cache["bytes"] > CACHE_BYTES:
+        _cache.update(bits=bits, of={}, table=np.zeros((0, 5), np.int32), bytes=0)
+    known, words = _cache["of"], kinds.to_pylist()
+    at = [known.get(w, -1) for w in words]
+    new = np.flatnonzero(np.array(at, np.int64) < 0)
+    if len(new):
+        found = _word_features(kinds.take(pa.array(new)), bits)
+        first = len(_cache["table"])
+        _cache["table"] = np.concatenate([_cache["table"], found])
+        for i, k in enumerate(new.tolist()):
+            at[k] = known[words[k]] = first + i
+            _cache["bytes"] += 200 + 4 * len(words[k])
+    return _cache["table"][np.array(at, np.int64)] if words else np.zeros((0, 5), np.int32)
 
 
 def features(text: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -59,19 +79,15 @@ def features(text: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray]:
     words, rows = words_of(text)
     coded = words.dictionary_encode()
     kinds, codes = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    bare = pc.utf8_lower(pc.replace_substring_regex(kinds, r"[^\p{L}]+", ""))
-    shape = kinds
-    for pattern, into in ((r"\p{Lu}+", "A"), (r"[\p{Ll}]+", "a"), (r"[0-9]+", "9"), (r"([^Aa9])[^Aa9]+", r"\1\1")):
-        shape = pc.replace_substring_regex(shape, pattern, into)
-    per_kind = [_hash_strings(bare, 1)] + [_hash_strings(pc.utf8_slice_codeunits(bare, 0, k), k) for k in (4, 5, 6)] + [_hash_strings(pc.utf8_slice_codeunits(shape, 0, 8), 99)]
     n_words = np.bincount(rows, minlength=n)
-    pairs = np.unique(rows * (1 << 32) + codes) if len(rows) else np.zeros(0, np.int64)
+    pairs = distinct(rows * (1 << 32) + codes)
     of, kind = pairs >> 32, pairs & 0xFFFFFFFF
     variety = np.bincount(of, minlength=n) * 16 // np.maximum(n_words, 1)
     dense = [np.log2(n_words + 1).astype(np.int64) + 1000, variety + 2000]
-    out_rows = np.concatenate([of] * len(per_kind) + [np.arange(n)] * len(dense))
-    out = np.concatenate([*[(h & mask)[kind].astype(np.int64) for h in per_kind], *[(mix64(d.astype(np.uint64)) & mask).astype(np.int64) for d in dense]])
-    pairs = np.unique(out_rows * (1 << bits) + out)
+    per_word = _features_of(kinds, bits)[kind].astype(np.int64)
+    own = np.repeat(of, 5) * (1 << bits) + per_word.ravel()
+    extra = [np.arange(n) * (1 << bits) + (mix64(d.astype(np.uint64)) & mask).astype(np.int64) for d in dense]
+    pairs = distinct(np.concatenate([own, *extra]))
     return pairs >> bits, pairs & int(mask)
 
 
