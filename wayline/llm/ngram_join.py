@@ -4,8 +4,10 @@ A document is the set of its distinct word shingles. Shingles are XOR-hashed int
 bit, so the Hamming distance of two sketches never exceeds the sets' symmetric difference. At a similarity of J
 that difference is at most (a + b)(1 - J)/(1 + J) for sizes a and b, so if a size band's sketch has more parts
 than that, two linked documents agree on a whole part (pigeonhole). Parts are joined by their content; of a
-document's parts that hold anything only as many are joined as the bound needs, plus one. Pairs that met are
-filtered by the Hamming distance of a narrow sketch and verified on whole sets.
+document's parts that hold anything only as many are joined as the bound needs, plus one: those with the most
+shingles, whose content is the rarest. (Any order by content does: before the first part that both agree on, either
+has only parts that differ.) A set with too few parts joins single shingles as well, by the same rule. Pairs that
+met are filtered by the Hamming distance of a second sketch, as wide as the set is large, and verified on whole sets.
 
 Equal sets become one node first. A group that shares a part never emits all its pairs: small groups (at most
 `small` nodes) do, larger ones emit a star, and once its links are known only pairs of nodes that are still in
@@ -27,13 +29,14 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64, shuffle_parts, slices, text_bytes, words_of
+from .common import ODD, free_name, hash_words, materialize, mix64, shuffle_parts, slices, text_bytes, words_of
 from .components import components
 
-NARROW_BITS = 1024
+LEAST_BITS = 256  # of the second sketch
+KEY_BYTES = 14  # of a packed key
 
 
 @dataclass(frozen=True)
@@ -44,21 +47,8 @@ class Params:
     small: int = 8
     block: int = 1024  # nodes of a large group that are compared with as many others at once
     star: int = 512  # members of a star that are verified together
-
-
-_BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_ODD = np.uint64(0x9E3779B97F4A7C15)
-
-
-def hash_words(values: pa.Array) -> np.ndarray:
-    """64-bit polynomial hashes of non-empty strings, over all their bytes."""
-    data, offsets = text_bytes(values)
-    size = np.diff(offsets)
-    if not len(size):
-        return np.zeros(0, np.uint64)
-    power = np.cumprod(np.full(int(size.max()), _ODD, np.uint64))
-    within = np.arange(len(data)) - np.repeat(offsets[:-1], size)
-    return mix64(np.add.reduceat(_BYTE[data] * power[within], offsets[:-1]) + size.astype(np.uint64))
+    forest_keys: int = 3  # large groups of a node (those with the least keys) that are searched for spanning pairs first
+    range_bytes: int = 32 << 20  # packed keys that one task sorts
 
 
 def shingle_sets(text: pa.Array, span: int = 5) -> list[np.ndarray]:
@@ -70,7 +60,7 @@ def shingle_sets(text: pa.Array, span: int = 5) -> list[np.ndarray]:
     windows = h.copy()
     n = max(0, len(h) - span + 1)
     for k in range(1, span):
-        windows[:n] = mix64(windows[:n] * _ODD + h[k : n + k])
+        windows[:n] = mix64(windows[:n] * ODD + h[k : n + k])
     out = []
     for a, b in zip(at[:-1], at[1:]):
         if b - a >= span:
@@ -79,7 +69,7 @@ def shingle_sets(text: pa.Array, span: int = 5) -> list[np.ndarray]:
         elif b > a:
             x = h[a : a + 1] + np.uint64(b - a)
             for k in range(a + 1, b):
-                x = mix64(x * _ODD + h[k : k + 1])
+                x = mix64(x * ODD + h[k : k + 1])
             out.append(x)
         else:
             out.append(np.zeros(0, np.uint64))
@@ -91,11 +81,24 @@ def node_of(s: np.ndarray) -> int:
     return int(mix64(np.array([mix64(s).sum(dtype=np.uint64) + np.uint64(len(s))]))[0].astype(np.int64))
 
 
-def narrow_sketch(s: np.ndarray) -> bytes:
-    bits = np.bincount((s & np.uint64(NARROW_BITS - 1)).astype(np.int64), minlength=NARROW_BITS) & 1
+def sketch_bits(n: int) -> int:
+    """The second sketch's width for a set of n: the power of two from 4 n on, so that few of the shingles in which two
+    sets differ fall on one bit and the distance stays near the true one."""
+    return max(LEAST_BITS, 1 << max(0, 4 * n - 1).bit_length())
+
+
+def parity_sketch(s: np.ndarray) -> bytes:
+    width = sketch_bits(len(s))
+    bits = np.bincount((s & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
     return np.packbits(bits.astype(np.uint8)).tobytes()
 
 
+def folded(bits: np.ndarray) -> np.ndarray:
+    """Sketches (rows of 64-bit words) of half the width."""
+    half = bits.shape[1] // 2
+    return bits[:, :half] ^ bits[:, half:]
+
+
 def hamming_bound(a, b, share: tuple[int, int]):
     """The largest symmetric difference of linked sets of sizes a and b (scalars or arrays)."""
     low, high = share
@@ -145,9 +148,10 @@ def part_keys(s: np.ndarray, bands: Bands) -> np.ndarray:
         first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
         content = np.bitwise_xor.reduceat(mix64(s & np.uint64((1 << 48) - 1)), first)  # the toggled bits of a part 2^48 wide
         salt = mix64(part[first] + np.uint64(tag << 40))
-        keys = mix64(content ^ salt)[:need]
-        if len(first) < need:  # too few parts hold anything for the bound: such sets of a band also meet each other
-            keys = np.append(keys, mix64(np.array([(tag << 40) + (1 << 39)], np.uint64)))
+        held = np.diff(np.append(first, len(s)))
+        keys = mix64(content ^ salt)[np.argsort(-held, kind="stable")[:need]]
+        if len(first) < need:  # two such sets of a band may differ in all their parts
+            keys = np.append(keys, mix64(mix64(s[:need]) ^ mix64(np.array([(tag << 40) + (1 << 39)], np.uint64))))
         out.append(keys)
     return np.concatenate(out)
 
@@ -156,13 +160,13 @@ _ENTRY = np.dtype([("key", "<u4"), ("more", "<u2"), ("node", "<i8")])
 
 
 def nodes(df: DataFrame, p: Params, id_col: str, text_col: str) -> DataFrame:
-    """Per row: id, n_shingles, node (null for the empty set) and its narrow sketch."""
+    """Per row: id, n_shingles, node (null for the empty set) and its second sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             sets = shingle_sets(part.column("text"), p.span)
             yield pa.RecordBatch.from_arrays(
-                [part.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()), pa.array([narrow_sketch(s) if len(s) else None for s in sets], pa.binary())],
+                [part.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()), pa.array([parity_sketch(s) if len(s) else None for s in sets], pa.binary())],
                 names=["id", "n_shingles", "node", "sketch"],
             )
 
@@ -170,13 +174,14 @@ def nodes(df: DataFrame, p: Params, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n_shingles long, node long, sketch binary")
 
 
-def meetings(df: DataFrame, p: Params, text_col: str) -> DataFrame:
-    """(key, a, b): pairs of nodes that share a part. key is null but for members a of large groups, whose pairs
-    are not all listed.
+def meetings(df: DataFrame, p: Params, text_col: str, n_shingles: int) -> DataFrame:
+    """(key, a, b, n): pairs of nodes that share a part. key is null but for members a of large groups (of n nodes),
+    whose pairs are not all listed.
 
-    Keys are dealt out by range, packed: one row a task and range, not one a key.
+    Keys are dealt out by range, packed: one row a task and range, not one a key. n_shingles, of the whole table,
+    gives the ranges' number: about every third shingle makes a key.
     """
-    ranges = shuffle_parts(df.sparkSession, 2)
+    ranges = max(shuffle_parts(df.sparkSession, 2), -(-n_shingles * KEY_BYTES // (3 * p.range_bytes)))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, held, amount = Bands(p), [], 0
@@ -230,14 +235,15 @@ def meetings(df: DataFrame, p: Params, text_col: str) -> DataFrame:
             "key": pa.array(np.concatenate([np.zeros(n, np.int64), key[mine] + 1]), mask=np.arange(n + m) < n),
             "a": pa.array(np.concatenate([pairs[0], node[mine]])),
             "b": pa.array(np.concatenate([pairs[1], np.zeros(m, np.int64)]), mask=np.arange(n + m) >= n),
+            "n": pa.array(np.concatenate([np.zeros(n, np.int64), np.repeat(size, size)[mine]]), mask=np.arange(n + m) < n),
         })
 
     packed = df.select(F.col(text_col).alias("text")).mapInArrow(pack, "r int, packed binary")
-    return packed.groupBy("r").applyInArrow(meet, "key long, a long, b long")
+    return packed.groupBy("r").applyInArrow(meet, "key long, a long, b long, n long")
 
 
 def _near(pairs: DataFrame, known: DataFrame, p: Params) -> DataFrame:
-    """Pairs whose sizes and narrow sketches allow a link."""
+    """Pairs whose sizes and second sketches allow a link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
@@ -248,15 +254,35 @@ def _near(pairs: DataFrame, known: DataFrame, p: Params) -> DataFrame:
     return pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(run, "a long, b long")
 
 
-def _bits(column: pa.Array) -> np.ndarray:
-    return text_bytes(column)[0].reshape(len(column), NARROW_BITS // 8).view(np.uint64)
+def _by_width(column: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Rows and their sketches (64-bit words) by width in bits."""
+    data, offsets = text_bytes(column)
+    size = np.diff(offsets)
+    out = {}
+    for n in np.unique(size):
+        rows = np.flatnonzero(size == n)
+        out[int(n) * 8] = rows, data[offsets[rows][:, None] + np.arange(n)].view(np.uint64)
+    return out
 
 
 def _may_link(na, sa, nb, sb, p: Params) -> np.ndarray:
+    """Linked sets' sizes are within a quarter, so their widths are equal or neighbours; a wider sketch is folded."""
     na, nb = na.to_numpy(), nb.to_numpy()
-    far = np.bitwise_count(_bits(sa) ^ _bits(sb)).sum(1, dtype=np.int64)
     low, high = p.share
-    return (far <= hamming_bound(na, nb, p.share)) & (high * np.minimum(na, nb) >= low * np.maximum(na, nb))
+    close = high * np.minimum(na, nb) >= low * np.maximum(na, nb)
+    out = np.zeros(len(na), bool)
+    left, right = _by_width(sa), _by_width(sb)
+    for width, (rows, bits) in left.items():
+        for other in (width // 2, width, width * 2):
+            if other in right:
+                both, i, j = np.intersect1d(rows, right[other][0], assume_unique=True, return_indices=True)
+                for k in range(0, len(both), max(1, (8 << 20) // width)):
+                    part = slice(k, k + max(1, (8 << 20) // width))
+                    x, y = bits[i[part]], right[other][1][j[part]]
+                    x, y = (folded(x), y) if other < width else (x, folded(y)) if other > width else (x, y)
+                    at = both[part]
+                    out[at] = close[at] & (np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= hamming_bound(na[at], nb[at], p.share))
+    return out
 
 
 def verify(pairs: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
@@ -292,37 +318,54 @@ def verify(pairs: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
 def cross_pairs(members: DataFrame, roots: DataFrame, known: DataFrame, p: Params, forest: bool) -> DataFrame:
     """Pairs of a large group's members that are in different components and near by sketch.
 
-    members: (key, node). Groups of one component are done with. The others are cut into blocks, and each two
-    blocks are compared in a task of their own. With `forest` only pairs that would connect what the pairs
-    before them do not are returned, fewer than there are members; else all.
+    members: (key, node, n), n nodes in the group. Groups of one component are done with. The others are cut into
+    blocks, and each two blocks are compared in a task of their own. With `forest` only pairs that would connect what
+    the pairs before them do not are returned, fewer than there are members; else all.
     """
-    rooted = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    open_keys = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("key", F.ceil(F.col("n") / p.block).cast("int").alias("ways"))
-    rows = rooted.join(open_keys, "key").join(known.select("node", "n_shingles", "sketch"), "node")
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("ways")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("ways") - 1)))
+    ways = F.ceil(F.col("n") / p.block).cast("int")
+    rooted = members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"), ways.alias("ways"), F.pmod(F.xxhash64("node"), ways).cast("int").alias("own"))
+    open_keys = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("ways").alias("ways")).where("lo <> hi")
+    # joined by block, so that one busy key is not one task's work
+    open_blocks = open_keys.select("key", F.explode(F.sequence(F.lit(0), F.col("ways") - 1)).alias("own"))
+    rows = rooted.join(open_blocks, ["key", "own"]).join(known.select("node", "n_shingles", "sketch"), "node")
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("ways") - 1)))
     rows = rows.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "node", "root", "n_shingles", "sketch")
 
     def compare(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
         n, root, node, own = (t.column(c).to_numpy() for c in ("n_shingles", "root", "node", "own"))
         x, y = t.column("x")[0].as_py(), t.column("y")[0].as_py()
-        left, right = np.flatnonzero(own == x), np.flatnonzero(own == y)
-        bits = _bits(t.column("sketch").combine_chunks() if isinstance(t.column("sketch"), pa.ChunkedArray) else t.column("sketch"))
+        sketch = t.column("sketch").combine_chunks()
+        own_width = _by_width(sketch.chunk(0) if isinstance(sketch, pa.ChunkedArray) else sketch)
         low, high = p.share
+        # at each width: the sets of that width, and those of twice the width, folded
+        at_width = {}
+        for width in own_width:
+            parts = [own_width[width]] + ([(own_width[2 * width][0], folded(own_width[2 * width][1]))] if 2 * width in own_width else [])
+            rows_here, bits_here = np.concatenate([r for r, _ in parts]), np.concatenate([b for _, b in parts])
+            mine = own[rows_here] == y
+            at_width[width] = rows_here, bits_here, rows_here[mine], bits_here[mine]
         root = root.copy()
         a, b = [], []
-        for i in left:
-            other = right[root[i] != root[right]]
-            if not len(other):
-                continue
-            far = np.bitwise_count(bits[i] ^ bits[other]).sum(1, dtype=np.int64)
-            hit = other[(far <= hamming_bound(n[i], n[other], p.share)) & (high * np.minimum(n[i], n[other]) >= low * np.maximum(n[i], n[other]))]
-            if forest and len(hit):
-                joined, first = np.unique(root[hit], return_index=True)
-                hit = hit[first]
-                root[np.isin(root, joined)] = root[i]
-            a.append(np.minimum(node[i], node[hit]))
-            b.append(np.maximum(node[i], node[hit]))
+        for width, (rows_here, bits_here, right, right_bits) in at_width.items():
+            narrow = len(own_width[width][0])  # these come first; two folded sets meet at their own width
+            right_narrow = np.isin(right, own_width[width][0])
+            for k in np.flatnonzero(own[rows_here] == x):
+                i = rows_here[k]
+                can = (root[i] != root[right]) & (high * np.minimum(n[i], n[right]) >= low * np.maximum(n[i], n[right]))
+                if k >= narrow:
+                    can &= right_narrow
+                other = np.flatnonzero(can)
+                if not len(other):
+                    continue
+                far = np.bitwise_count(bits_here[k] ^ right_bits[other]).sum(1, dtype=np.int64)
+                hit = right[other[far <= hamming_bound(n[i], n[right[other]], p.share)]]
+                if forest and len(hit):
+                    joined, first = np.unique(root[hit], return_index=True)
+                    hit = hit[first]
+                    root[np.isin(root, joined)] = root[i]
+                a.append(np.minimum(node[i], node[hit]))
+                b.append(np.maximum(node[i], node[hit]))
         pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1) if a else np.zeros((2, 0), np.int64)
         return pa.table({"a": pairs[0], "b": pairs[1]})
 
@@ -336,8 +379,9 @@ def join(df: DataFrame, p: Params = Params(), id_col: str = "doc_id", text_col:
     connect all that links connect; and (node, root) of the nodes that are linked."""
     rows = materialize(nodes(df, p, id_col, text_col), "ngram-nodes")
     known = rows.where("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("id", "n_shingles", "sketch")).alias("x")).select("node", F.col("x.id").alias("id"), "x.n_shingles", "x.sketch")
-    met = materialize(meetings(df, p, text_col), "ngram-met")
-    members = met.where("key IS NOT NULL").select("key", F.col("a").alias("node"))
+    total = rows.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
+    met = materialize(meetings(df, p, text_col, total), "ngram-met")
+    members = met.where("key IS NOT NULL").select("key", F.col("a").alias("node"), "n")
     tested = materialize(_near(met.where("key IS NULL").select("a", "b").distinct(), known, p), "ngram-pairs")
     texts = materialize(_texts(df, tested, members, known, p, id_col, text_col), "ngram-texts")
     links = materialize(verify(tested, texts, p), "ngram-links")
@@ -345,8 +389,9 @@ def join(df: DataFrame, p: Params = Params(), id_col: str = "doc_id", text_col:
     same_id = least.join(rows, "id").select("a", F.col("node").alias("b")).where("a <> b")  # rows of one id are one node
     roots = materialize(components(links.unionByName(same_id)), "ngram-roots")
     # first the pairs that would connect most, then whatever is still apart
+    few = members.withColumn("_k", F.row_number().over(Window.partitionBy("node").orderBy("key"))).where(F.col("_k") <= p.forest_keys).drop("_k")
     for forest in (True, False):
-        more = cross_pairs(members, roots, known, p, forest)
+        more = cross_pairs(few if forest else members, roots, known, p, forest)
         more = materialize(more.join(tested, ["a", "b"], "left_anti"), "ngram-pairs")
         if not more.isEmpty():
             tested = tested.unionByName(more)
@@ -382,5 +427,5 @@ def group_ids(rows: DataFrame, roots: DataFrame, id_col: str = "doc_id") -> Data
 def keep_one(df: DataFrame, p: Params = Params(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The input without all but the first document (by id) of each component; rows without id stay."""
     rows, _, roots = join(df, p, id_col, text_col)
-    gone = group_ids(rows, roots, "_id").where("_id <> component_id").select("_id").distinct()
-    return df.join(gone, F.col(id_col) == F.col("_id"), "left_anti")
+    gone = group_ids(rows, roots, "id").where("id <> component_id").select(F.col("id").alias(free_name(df, "_id"))).distinct()
+    return df.join(gone, F.col(id_col) == gone[gone.columns[0]], "left_anti")
