@@ -100,16 +100,68 @@ def clock(ms: Column) -> Column:
     return F.when(h > 0, F.concat(two(h), F.lit(":"), tail)).otherwise(tail)
 
 
-def guidance_distance(m: Column) -> Column:
-    """Metric guidance text: to 10 m below 100, to 50 m below 1000, then kilometres."""
-    km = m / 1000
-    tenth = half_up(km * 10)
-    return (
-        F.when(m < 100, F.concat((half_up(m / 10) * 10).cast("string"), F.lit(" m")))
-        .when(m < 1000, F.concat((half_up(m / 50) * 50).cast("string"), F.lit(" m")))
-        .when(km < 10, F.concat(F.floor(tenth / 10), F.lit("."), tenth % 10, F.lit(" km")))
-        .otherwise(F.concat(half_up(km), F.lit(" km")))
-    )
+def one_decimal(x: Column) -> Column:
+    """A text with one decimal, rounded from the exact binary value, ties up: ten times x as a sum of two exact terms
+    and what their sum lost."""
+    big, small = x * 8, x * 2
+    total = big + small
+    lost = (big - (total - (total - big))) + (small - (total - big))
+    part = total - F.floor(total)
+    tenth = F.floor(total) + F.when((part > 0.5) | ((part == 0.5) & (lost >= 0)), 1).otherwise(0)
+    return F.concat(F.floor(tenth / 10).cast("string"), F.lit("."), F.pmod(tenth, F.lit(10)).cast("string"))
+
+
+def guidance_distance(m: Column, imperial: bool = False) -> Column:
+    """Guidance text: to 10 when close (below 100 ft or 200 m), to 50 up to 1000 as rounded, then miles or kilometres
+    to a tenth below ten."""
+    m = F.greatest(dbl(0), m)
+    unit, fine, short, long, per_long = (m * 3.28084, 100, " ft", " mi", M_PER_MILE) if imperial else (m, 200, " m", " km", M_PER_KM)
+    near = F.when(unit < fine, half_up(unit / 10) * 10).otherwise(half_up(unit / 50) * 50)
+    far = m / per_long
+    return F.when(near < 1000, F.concat(near.cast("long").cast("string"), F.lit(short))).when(far < 10, F.concat(one_decimal(far), F.lit(long))).otherwise(F.concat(half_up(far).cast("long").cast("string"), F.lit(long)))
+
+
+#: fixed values: the slow-to-fast ramp, and the bands of a grade with their colours
+PACE_STOPS = ("e05a3a", "e07a3a", "e0a63a", "c9d63a", "8fc93a", "2f9c4f")
+GRADE_COLOURS = ((0.02, "#2f9c4f"), (0.05, "#a3c23a"), (0.08, "#e0a63a"), (0.12, "#e05a3a"), (float("inf"), "#8e2a5e"))
+
+
+def pace_colour(t: Column) -> Column:
+    """The ramp's colour at 0 (slow) .. 1 (fast), blended between two stops; what is no number is the middle."""
+    t = F.when(t.isNull() | F.isnan(t) | (F.abs(t) == float("inf")), dbl(0.5)).otherwise(F.greatest(dbl(0), F.least(dbl(1), t)))
+    at = t * (len(PACE_STOPS) - 1)
+    i = F.least(F.lit(len(PACE_STOPS) - 2), F.floor(at)).cast("int")
+    channel = lambda k: F.array(*[F.lit(int(c[2 * k : 2 * k + 2], 16)) for c in PACE_STOPS])
+    blend = lambda k: half_up(F.element_at(channel(k), i + 1) + (F.element_at(channel(k), i + 2) - F.element_at(channel(k), i + 1)) * (at - i)).cast("long").cast("string")
+    return F.concat(F.lit("rgb("), blend(0), F.lit(", "), blend(1), F.lit(", "), blend(2), F.lit(")"))
+
+
+def grade_colour(grade: Column) -> Column:
+    out = F.when(F.abs(grade) < GRADE_COLOURS[0][0], GRADE_COLOURS[0][1])
+    for top, colour in GRADE_COLOURS[1:]:
+        out = out.when(F.abs(grade) < top, colour)
+    return out
+
+
+#: fixed values: what a ride of an activity is called
+NOUNS = {"bike": "ride", "walk": "walk", "hike": "hike", "kayak": "paddle"}
+
+
+def ride_title(part: Column, activity: Column) -> Column:
+    """"Morning walk", "All-day hike", "Ride" without a part of the day."""
+    kind = F.coalesce(F.nullif(activity, F.lit("")), F.lit("bike"))
+    noun = F.lit("ride")
+    for k, n in NOUNS.items():
+        noun = F.when(kind == k, n).otherwise(noun)
+    word = F.when(part == "All day", "All-day").otherwise(part)
+    return F.when(F.coalesce(word, F.lit("")) == "", F.initcap(noun)).otherwise(F.concat(word, F.lit(" "), noun))
+
+
+def ride_row_title(day: Column, part: Column, activity: Column) -> Column:
+    """"Aug 26 · Morning walk"; a bike ride's part of the day stands alone."""
+    kind = F.coalesce(F.nullif(activity, F.lit("")), F.lit("bike"))
+    tail = F.when(kind == "bike", part).otherwise(ride_title(part, kind))
+    return F.concat(F.coalesce(F.date_format(day, "MMM d"), F.lit("Unknown date")), F.when(F.coalesce(tail, F.lit("")) == "", "").otherwise(F.concat(F.lit(" · "), tail)))
 
 
 def escape_html(c: Column) -> Column:

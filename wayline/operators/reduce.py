@@ -29,7 +29,7 @@ class Ride:
         lat, lng, t, v = (pdf[c].to_numpy(float) for c in ("lat", "lng", "t_ms", "speed"))
         dt = np.diff(t, prepend=t[:1])
         mean = (v + np.concatenate([v[:1], v[:-1]])) / 2
-        k = PER_LNG * np.cos(np.radians(lat[0])) if len(lat) else 1.0
+        k = PER_LNG * np.cos(np.radians(lat.mean())) if len(lat) else 1.0
         return Ride((lng - lng[:1]) * k, (lat - lat[:1]) * PER_LAT, t, v, np.cumsum(dt), np.cumsum(mean * dt))
 
     def off_line(self, a: int, b: int, i: np.ndarray) -> np.ndarray:
@@ -136,8 +136,8 @@ def data_saver(ride: Ride, meters: float) -> list[int]:
 
 
 REGISTRY: dict[str, tuple[Callable[..., list[int]], float]] = {
-    "data_saver": (data_saver, 2.0), "farthest_point": (farthest_point, 5.0), "farthest_point_or_speed": (farthest_point_or_speed, 5.0), "least_area": (least_area, 40.0),
-    "corridor": (corridor, 5.0), "spacing": (spacing, 25.0), "interval": (interval, 15.0),
+    "data_saver": (data_saver, 1.0), "farthest_point": (farthest_point, 3.0), "farthest_point_or_speed": (farthest_point_or_speed, 3.0), "least_area": (least_area, 10.0),
+    "corridor": (corridor, 3.0), "spacing": (spacing, 10.0), "interval": (interval, 5.0),
 }
 
 

@@ -11,6 +11,7 @@ from ..operators import matching as M
 from ..operators import reduce as P
 from ..sources import exchange as E
 from ..sources.lenses import FIX_SQL, LAP_SQL, RIDE_SQL, STEP_SQL, fix, lap, read, ride
+from ..sources.shared import shared_dir
 from ..streaming import best_pace, live
 
 
@@ -75,14 +76,14 @@ def share_link_roundtrip(spark, d):
 
 
 def live_ride_totals(spark, d):
-    base = f"{(spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints/wayline').rstrip('/')}/live-{uuid.uuid4().hex}"
+    base = f"{shared_dir(spark)}/live-{uuid.uuid4().hex}"
     f = fix(spark, d).select("ride_id", "seq", "lat", "lng", "t_ms", "speed")
     out = live.run_to_table(live.live_totals(live.replay(spark, f, f"{base}/in")), f"{base}/out", f"{base}/state")
     return out.select("ride_id", "n", F.round("distance_m", 4).alias("distance_m"), F.round("max_speed", 4).alias("max_speed"), "last_ms", "silent")
 
 
 def incremental_best_pace(spark, d):
-    base = f"{(spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints/wayline').rstrip('/')}/best-{uuid.uuid4().hex}"
+    base = f"{shared_dir(spark)}/best-{uuid.uuid4().hex}"
     laps = lap(spark, d)
     laps.repartition(3, "ride_id").write.parquet(f"{base}/in")
     stream = spark.readStream.schema(laps.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
@@ -97,13 +98,13 @@ def sticky_match(spark, d):
     return M.ridden_sections(M.match(p, lines)).select("ride_id", F.col("run").cast("long"), "segment_id", "first_seq", "last_seq")
 
 
-_GREEDY = ", k AS (SELECT ride_id, seq, t_ms, (lng - first_value(lng) OVER w) * 111320 * cos(radians(first_value(lat) OVER w)) AS x, (lat - first_value(lat) OVER w) * 110540 AS y, max(seq) OVER (PARTITION BY ride_id) AS last FROM fix WINDOW w AS (PARTITION BY ride_id ORDER BY seq)), g AS (SELECT ride_id, seq, last, t_ms AS t, x AS gx, y AS gy, true AS keep FROM k WHERE seq = 0 UNION ALL SELECT k.ride_id, k.seq, k.last, CASE WHEN {test} THEN k.t_ms ELSE g.t END, CASE WHEN {test} THEN k.x ELSE g.gx END, CASE WHEN {test} THEN k.y ELSE g.gy END, {test} FROM g JOIN k ON k.ride_id = g.ride_id AND k.seq = g.seq + 1) SELECT ride_id, seq FROM g WHERE keep OR seq = last"
+_GREEDY = ", k AS (SELECT ride_id, seq, t_ms, (lng - first_value(lng) OVER w) * 111320 * cos(radians(avg(lat) OVER (PARTITION BY ride_id))) AS x, (lat - first_value(lat) OVER w) * 110540 AS y, max(seq) OVER (PARTITION BY ride_id) AS last FROM fix WINDOW w AS (PARTITION BY ride_id ORDER BY seq)), g AS (SELECT ride_id, seq, last, t_ms AS t, x AS gx, y AS gy, true AS keep FROM k WHERE seq = 0 UNION ALL SELECT k.ride_id, k.seq, k.last, CASE WHEN {test} THEN k.t_ms ELSE g.t END, CASE WHEN {test} THEN k.x ELSE g.gx END, CASE WHEN {test} THEN k.y ELSE g.gy END, {test} FROM g JOIN k ON k.ride_id = g.ride_id AND k.seq = g.seq + 1) SELECT ride_id, seq FROM g WHERE keep OR seq = last"
 _EDGE = "e AS (SELECT c_custkey AS a, c_custkey + 1 + c_custkey % 7 AS b, 1::DOUBLE + c_custkey % 5 AS cost FROM customer WHERE c_custkey % 3 = 0 OR c_custkey % 11 = 0)"
 
 QUERIES = {
     **{f"reduce_{a}": (_reducer(a), None) for a in P.REGISTRY},
-    "reduce_spacing": (_reducer("spacing"), "WITH RECURSIVE " + FIX_SQL + _GREEDY.format(test="sqrt(pow(k.x - g.gx, 2) + pow(k.y - g.gy, 2)) >= 25")),
-    "reduce_interval": (_reducer("interval"), "WITH RECURSIVE " + FIX_SQL + _GREEDY.format(test="k.t_ms - g.t >= 15000")),
+    "reduce_spacing": (_reducer("spacing"), "WITH RECURSIVE " + FIX_SQL + _GREEDY.format(test="sqrt(pow(k.x - g.gx, 2) + pow(k.y - g.gy, 2)) >= 10")),
+    "reduce_interval": (_reducer("interval"), "WITH RECURSIVE " + FIX_SQL + _GREEDY.format(test="k.t_ms - g.t >= 5000")),
     "reduce_compare": (reduce_compare, None),
     "connected_components": (connected_components, "WITH RECURSIVE " + _EDGE + ", n AS (SELECT c_custkey AS id FROM customer), u AS (SELECT a, b FROM e WHERE b IN (SELECT id FROM n) UNION SELECT b, a FROM e WHERE b IN (SELECT id FROM n)), r(a, b) AS (SELECT id, id FROM n UNION SELECT r.a, u.b FROM r JOIN u ON r.b = u.a) SELECT a AS id, min(b) AS component FROM r GROUP BY a"),
     "shortest_path": (shortest_path, "WITH RECURSIVE " + _EDGE + ", f AS (SELECT * FROM e WHERE a <= 300 AND b <= 300 UNION ALL SELECT c_custkey, c_custkey + 10, 7 FROM customer WHERE c_custkey + 10 <= 300), r(source, node, cost) AS (SELECT i, i, 0::DOUBLE FROM range(1, 4) t(i) UNION SELECT r.source, f.b, r.cost + f.cost FROM r JOIN f ON f.a = r.node) SELECT source, node, min(cost) AS cost FROM r GROUP BY ALL"),

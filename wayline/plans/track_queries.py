@@ -121,7 +121,8 @@ def first_last(spark, d):
 
 
 def guidance_text(spark, d):
-    return _ran(spark, d).select("ride_id", "seq", guidance_distance(F.floor(F.col("cum_m") * 10) / 10).alias("text"))
+    m = F.floor(F.col("cum_m") * 10) / 10 * (1 + F.col("seq") % 40)
+    return _ran(spark, d).select("ride_id", "seq", guidance_distance(m).alias("text"), guidance_distance(m, imperial=True).alias("imperial"))
 
 
 def running_max_speed(spark, d):
@@ -164,7 +165,7 @@ QUERIES = {
     "step_bearings": (step_bearings, _RUN + f", b AS (SELECT ride_id, seq, {_BEARING} - 360 * floor({_BEARING} / 360) AS b, degrees(atan2((lng - plng) * 111320 * cos(radians((plat + lat) / 2)), (lat - plat) * 110574)) AS f FROM step1 WHERE pt IS NOT NULL) SELECT ride_id, seq, round(b, 3) AS bearing, round(least(abs(b - f) % 360, 360 - abs(b - f) % 360), 2) AS apart FROM b"),
     "grid_cells": (grid_cells, _FIX + "SELECT floor(lat * 110574 / 50)::BIGINT AS cell_lat, floor(lng * 111320 * cos(radians(lat)) / 50)::BIGINT AS cell_lng, floor((lng + 180) / 360 * 67108864 / 4096)::BIGINT AS tile_x, floor((1 - ln(tan(radians(lat)) + 1 / cos(radians(lat))) / pi()) / 2 * 67108864 / 4096)::BIGINT AS tile_y, count(*) AS n, count(DISTINCT ride_id) AS n_rides FROM fix GROUP BY 1, 2, 3, 4"),
     "first_last": (first_last, _FIX + "SELECT ride_id, arg_min(t_ms, seq) AS first_ms, arg_max(t_ms, seq) AS last_ms, count(*) AS n FROM fix GROUP BY ride_id"),
-    "guidance_text": (guidance_text, _RUN + ", m AS (SELECT ride_id, seq, floor(cum_m * 10) / 10 AS m FROM run) SELECT ride_id, seq, CASE WHEN m < 100 THEN (floor(m / 10 + 0.5) * 10)::BIGINT || ' m' WHEN m < 1000 THEN (floor(m / 50 + 0.5) * 50)::BIGINT || ' m' WHEN m < 10000 THEN (floor(floor(m / 100 + 0.5) / 10))::BIGINT || '.' || (floor(m / 100 + 0.5) % 10)::BIGINT || ' km' ELSE floor(m / 1000 + 0.5)::BIGINT || ' km' END AS text FROM m"),
+    "guidance_text": (guidance_text, _RUN + ", m AS (SELECT ride_id, seq, floor(cum_m * 10) / 10 * (1 + seq % 40) AS m FROM run), f AS (SELECT *, m * 3.28084::DOUBLE AS ft, m / 1609.344::DOUBLE AS mi, m / 1000 AS km FROM m), n AS (SELECT *, (floor(ft / CASE WHEN ft < 100 THEN 10 ELSE 50 END + 0.5) * CASE WHEN ft < 100 THEN 10 ELSE 50 END)::BIGINT AS rf, (floor(m / CASE WHEN m < 200 THEN 10 ELSE 50 END + 0.5) * CASE WHEN m < 200 THEN 10 ELSE 50 END)::BIGINT AS rm FROM f) SELECT ride_id, seq, CASE WHEN rm < 1000 THEN rm || ' m' WHEN km < 10 THEN printf('%.1f', km + CASE WHEN km * 20 = floor(km * 20) AND (km * 20) % 2 = 1 AND km * 4 = floor(km * 4) THEN 0.01 ELSE 0 END) || ' km' ELSE floor(km + 0.5)::BIGINT || ' km' END AS text, CASE WHEN rf < 1000 THEN rf || ' ft' WHEN mi < 10 THEN printf('%.1f', mi) || ' mi' ELSE floor(mi + 0.5)::BIGINT || ' mi' END AS imperial FROM n"),
     "running_max_speed": (running_max_speed, _FIX + f"SELECT ride_id, seq, round(max(speed) OVER ({_W} ROWS UNBOUNDED PRECEDING), 4) AS furthest FROM fix"),
     "heading_changes": (heading_changes, _RUN + f", b AS (SELECT ride_id, seq, CASE WHEN speed >= 0.894 THEN {_BEARING} - 360 * floor({_BEARING} / 360) END AS own FROM step1) SELECT ride_id, seq, round(last_value(own IGNORE NULLS) OVER ({_W} ROWS UNBOUNDED PRECEDING), 3) AS heading FROM b"),
 }

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import escape_html
+
 #: fixed values: the alphabet of base64url
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"
 _GPX_SCHEMA = "trk struct<name:string, type:string, trkseg:struct<trkpt:array<struct<_lat:string,_lon:string,ele:string,time:string>>>>"
@@ -84,3 +86,51 @@ def read_share_text(links: DataFrame) -> DataFrame:
     total = lambda off: F.expr(f"aggregate(filter(slice(n, 1, 2 * seq + 2), (v, i) -> i % 2 = {off}), 0L, (s, v) -> s + v)")
     p = pairs.select("ride_id", F.col("seq").cast("long").alias("seq"), (total(0) / 1e5).alias("lat"), (total(1) / 1e5).alias("lng"))
     return p.where("lat BETWEEN -90 AND 90 AND lng BETWEEN -180 AND 180")
+
+
+def band_features(fixes: DataFrame, band: Column) -> DataFrame:
+    """(ride_id, band, feature): per ride and band one GeoJSON feature of lines, one line for each run of fixes of that
+    band with the fix before it. A ride's lines are one row, as they are one layer."""
+    w = Window.partitionBy("ride_id").orderBy("seq")
+    f = fixes.withColumns({"band": band, "plng": F.lag("lng").over(w), "plat": F.lag("lat").over(w)}).where("plng IS NOT NULL")
+    new = F.coalesce((~F.col("band").eqNullSafe(F.lag("band").over(w))).cast("int"), F.lit(1))
+    f = f.withColumn("run", F.sum(new).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    at = lambda lng, lat: F.concat(F.lit("["), lng, F.lit(","), lat, F.lit("]"))
+    rows = f.groupBy("ride_id", "band", "run").agg(F.array_sort(F.collect_list(F.struct("seq", at(F.col("plng"), F.col("plat")).alias("before"), at(F.col("lng"), F.col("lat")).alias("here")))).alias("x"))
+    line = F.concat(F.lit("["), F.element_at("x", 1).before, F.lit(","), F.array_join(F.transform("x", lambda x: x.here), ","), F.lit("]"))
+    lines = rows.groupBy("ride_id", "band").agg(F.array_sort(F.collect_list(F.struct("run", line.alias("line")))).alias("x"))
+    body = F.array_join(F.transform("x", lambda x: x.line), ",")
+    return lines.select("ride_id", "band", F.concat(F.lit('{"type":"Feature","properties":{"band":'), "band", F.lit('},"geometry":{"type":"MultiLineString","coordinates":['), body, F.lit("]}}")).alias("feature"))
+
+
+#: fixed values: the types of turn cues in GPX texts
+TURN_TYPES = ("left", "right", "slight left", "slight right", "sharp left", "sharp right", "u turn")
+_ROUTE_SCHEMA = "wpt array<struct<_lat:string,_lon:string,name:string,type:string>>, rte struct<rtept:array<struct<_lat:string,_lon:string,name:string>>>, trk struct<trkseg:struct<trkpt:array<struct<_lat:string,_lon:string>>>>"
+
+
+def route_gpx(points: DataFrame, marks: DataFrame) -> DataFrame:
+    """(route_id, gpx): routes' points (route_id, seq, lat, lng) as one track, marks (route_id, i, lat, lng, name, type)
+    as waypoints before it; six decimals. A route's text is one row."""
+    place = F.concat(F.lit(' lat="'), F.format_string("%.6f", "lat"), F.lit('" lon="'), F.format_string("%.6f", "lng"), F.lit('"'))
+    text = lambda tag, c: F.when(F.col(c).isNotNull(), F.concat(F.lit(f"<{tag}>"), escape_html(F.col(c)), F.lit(f"</{tag}>"))).otherwise("")
+    wpt = marks.select("route_id", F.lit(0).alias("o"), F.col("i").cast("long").alias("k"), F.concat(F.lit("<wpt"), place, F.lit(">"), text("name", "name"), text("type", "type"), F.lit("</wpt>")).alias("t"))
+    trk = points.select("route_id", F.lit(1).alias("o"), F.col("seq").cast("long").alias("k"), F.concat(F.lit("<trkpt"), place, F.lit("></trkpt>")).alias("t"))
+    rows = wpt.unionByName(trk).groupBy("route_id").agg(F.array_sort(F.collect_list(F.struct("o", "k", "t"))).alias("x"))
+    part = lambda o: F.array_join(F.transform(F.filter("x", lambda x: x.o == o), lambda x: x.t), "\n")
+    return rows.select("route_id", F.concat(F.lit('<gpx version="1.1" creator="wayline" xmlns="http://www.topografix.com/GPX/1/1">\n'), part(0), F.lit("\n<trk><trkseg>\n"), part(1), F.lit("\n</trkseg></trk></gpx>")).alias("gpx"))
+
+
+def read_route_gpx(texts: DataFrame, id_col: str = "route_id", text_col: str = "gpx") -> DataFrame:
+    """(route_id, what, i, lat, lng, name) of GPX texts: `track` points where there are two or more; `point`s of the
+    route element where there are two or more, else, without a track, waypoints; `place`s, with a track: waypoints.
+    Turn cues are neither. Points without a position go; text that is no XML gives no row."""
+    g = texts.select(F.col(id_col).alias("route_id"), F.from_xml(F.col(text_col), _ROUTE_SCHEMA, {"mode": "PERMISSIVE"}).alias("g"))
+    at = lambda c, name: F.expr(f"transform(filter(coalesce({c}, array()), x -> try_cast(x._lat AS double) BETWEEN -90 AND 90 AND try_cast(x._lon AS double) BETWEEN -180 AND 180), x -> named_struct('lat', try_cast(x._lat AS double), 'lng', try_cast(x._lon AS double), 'name', {name}))")
+    cues = ", ".join(f"'{t}'" for t in TURN_TYPES)
+    own = f"filter(coalesce(g.wpt, array()), x -> NOT coalesce(lower(trim(x.type)) IN ({cues}), false))"
+    g = g.select("route_id", at("g.trk.trkseg.trkpt", "string(NULL)").alias("track"), at("g.rte.rtept", "x.name").alias("rte"), at(own, "x.name").alias("wpt"))
+    drawn = F.size("track") >= 2
+    none = F.slice("wpt", 1, 0)
+    parts = {"track": F.when(drawn, F.col("track")).otherwise(none), "point": F.when(F.size("rte") >= 2, F.col("rte")).when(~drawn, F.col("wpt")).otherwise(none), "place": F.when(drawn, F.col("wpt")).otherwise(none)}
+    rows = [g.select("route_id", F.lit(what).alias("what"), F.posexplode(c).alias("i", "p")).select("route_id", "what", "i", "p.*") for what, c in parts.items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
