@@ -6,8 +6,6 @@ import os
 import numpy as np
 import pytest
 
-from pyspark.sql import functions as F
-
 from wayline.operators import graph, spatial
 from wayline.plans import catalog, kernel_queries, ride_queries
 
@@ -23,19 +21,14 @@ def _distances(p, s):
 
 @here
 def test_all_fixes_meet_all_sections(spark):
-    from wayline.operators import tracks
-    from wayline.functions import columns as C
-    from wayline.sources.lenses import fix
-
-    f = tracks.steps(fix(spark, SF)).select((F.col("ride_id") * 100_000 + F.col("seq")).alias("id"), "lat", "lng", C.flat_bearing(F.col("plat"), F.col("plng"), F.col("lat"), F.col("lng")).alias("heading"))
-    p = f.toPandas()
+    p = ride_queries._points(spark, SF).toPandas()
     s = spatial.samples(ride_queries._sections(spark, SF)).toPandas()
     d = _distances(p, s)
     off = np.abs(p.heading.values[:, None] - s.bearing.values[None]) % 360
     turned = np.minimum(off, 360 - off) > 45
     near = np.where(turned, np.inf, d).min(axis=1)
     want = {int(i): x for i, x in zip(p.id, near) if x <= 25}
-    got = {r.id: r.distance for r in catalog.queries()["section_nearest_all"](spark, SF).collect()}
+    got = {r.id: r.distance for r in catalog.queries()["section_nearest"](spark, SF).collect()}
     assert len(want) > 500 and got.keys() == want.keys()
     assert all(abs(got[i] - want[i]) < 0.00051 for i in want)
 
@@ -44,7 +37,7 @@ def test_all_fixes_meet_all_sections(spark):
     np.minimum.at(least.T, at, d.T)
     i, j = np.nonzero(least <= 150)
     want = {(int(p.id[a]), int(ids[b])): least[a, b] for a, b in zip(i, j)}
-    got = {(r.id, r.section_id): r.distance for r in catalog.queries()["sections_ahead_all"](spark, SF).collect()}
+    got = {(r.id, r.section_id): r.distance for r in catalog.queries()["sections_ahead"](spark, SF).collect()}
     assert got.keys() == want.keys()
     assert all(abs(got[k] - want[k]) < 0.00051 for k in want)
 
@@ -52,7 +45,7 @@ def test_all_fixes_meet_all_sections(spark):
 @here
 def test_all_segments_are_searched_and_crossed(spark):
     q = catalog.queries()
-    seg = ride_queries._all_segments(spark, SF)
+    seg = ride_queries._segments(spark, SF)
     assert seg.count() == spark.read.parquet(f"{SF}/lineitem.parquet").select("l_orderkey", "l_linenumber").distinct().count()
     s = seg.orderBy("segment_id").toPandas()
     a, r = s[["ax", "ay"]].values, s[["bx", "by"]].values - s[["ax", "ay"]].values
@@ -61,7 +54,7 @@ def test_all_segments_are_searched_and_crossed(spark):
     qx, qy, long = x[:, None] - a[None, :, 0], y[:, None] - a[None, :, 1], (r**2).sum(1)
     u = np.clip((qx * r[:, 0] + qy * r[:, 1]) / np.where(long > 0, long, 1), 0, 1)
     near = np.sqrt((qx - u * r[:, 0]) ** 2 + (qy - u * r[:, 1]) ** 2).min(axis=1)
-    got = {z.id: z.distance for z in q["nearest_segment_all"](spark, SF).collect()}
+    got = {z.id: z.distance for z in q["nearest_segment"](spark, SF).collect()}
     assert got.keys() == {int(i) for i, d in zip(c, near) if d <= 20}
     assert all(abs(got[int(i)] - d) < 0.000051 for i, d in zip(c, near) if d <= 20)
 
@@ -75,7 +68,7 @@ def test_all_segments_are_searched_and_crossed(spark):
         i, j = np.nonzero((f > 0) & (f < 1) & (g > 0) & (g < 1))
         ids = s.segment_id.values[at]
         want |= {(int(ids[k]), int(ids[m])) for k, m in zip(i, j) if ids[k] < ids[m]}
-    got = [(z.segment_id, z.other) for z in q["segment_crossings_all"](spark, SF).collect()]
+    got = [(z.segment_id, z.other) for z in q["segment_crossings"](spark, SF).collect()]
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 1000
 
 

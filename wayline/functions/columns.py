@@ -171,7 +171,9 @@ def escape_html(c: Column) -> Column:
 
 
 def slug(c: Column) -> Column:
-    return F.regexp_replace(F.lower(c), "[^a-z0-9]+", "-")
+    """A file name's slug: whatever is no letter or digit of ASCII is a hyphen, none at the ends; "route" for nothing."""
+    s = F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "-"), "^-|-$", "")
+    return F.coalesce(F.nullif(s, F.lit("")), F.lit("route"))
 
 
 def infer_activity(c: Column) -> Column:

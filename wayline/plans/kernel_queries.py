@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import graph as G
@@ -71,8 +72,13 @@ def backup_roundtrip(spark, d):
 
 
 def share_link_roundtrip(spark, d):
-    back = E.read_share_text(E.share_text(fix(spark, d).where("seq < 60")))
-    return back.select("ride_id", "seq", F.round("lat", 5).alias("lat"), F.round("lng", 5).alias("lng"))
+    """Rides as links of at most 100 points, of near the same number each, put together again."""
+    n, w = F.count("*").over(Window.partitionBy("ride_id")), Window.partitionBy("ride_id", "part").orderBy("seq")
+    f = fix(spark, d).withColumn("n", n).withColumn("part", F.floor(F.col("seq") * F.ceil(F.col("n") / 100) / F.col("n")))
+    f = f.where("n > 1").select("lat", "lng", "seq", (F.col("ride_id") * 100_000 + F.col("part")).alias("link_id"), (F.col("seq") - F.min("seq").over(w)).alias("at"), F.min("seq").over(w).alias("first"))
+    links = E.share_text(f.select(F.col("link_id").alias("ride_id"), F.col("at").alias("seq"), "lat", "lng"))
+    back = E.read_share_text(links).join(f.select(F.col("link_id").alias("ride_id"), "first").distinct(), "ride_id")
+    return back.select(F.floor(F.col("ride_id") / 100_000).alias("ride_id"), (F.col("seq") + F.col("first")).alias("seq"), F.round("lat", 5).alias("lat"), F.round("lng", 5).alias("lng"))
 
 
 def live_ride_totals(spark, d):
@@ -113,7 +119,7 @@ QUERIES = {
     "way_costs": (way_costs, "WITH w AS (SELECT p_partkey AS way_id, split_part(p_type, ' ', 1) AS class, p_size FROM part), x AS (SELECT way_id, CASE WHEN length(class) > 5 AND p_size % 10 <> 0 THEN length(class) / 10 * CASE WHEN p_size % 4 = 0 THEN 1.5::DOUBLE ELSE 1::DOUBLE END END AS f, p_size FROM w) SELECT way_id, round(f, 4) AS forward, round(f * CASE WHEN p_size % 3 = 0 THEN 5 ELSE 1 END, 4) AS backward FROM x"),
     "gpx_roundtrip": (gpx_roundtrip, "WITH " + FIX_SQL + "SELECT ride_id, seq, round(lat, 6) AS lat, round(lng, 6) AS lng, round(altitude, 1) AS altitude, t_ms FROM fix"),
     "backup_roundtrip": (backup_roundtrip, "WITH " + RIDE_SQL + "SELECT id, activity, round(total_distance, 3) AS total_distance, start_ms FROM ride"),
-    "share_link_roundtrip": (share_link_roundtrip, "WITH " + FIX_SQL + "SELECT ride_id, seq, round(floor(lat * 100000 + 0.5) / 100000, 5) AS lat, round(floor(lng * 100000 + 0.5) / 100000, 5) AS lng FROM fix WHERE seq < 60"),
+    "share_link_roundtrip": (share_link_roundtrip, "WITH " + FIX_SQL + "SELECT ride_id, seq, round(floor(lat * 100000 + 0.5) / 100000, 5) AS lat, round(floor(lng * 100000 + 0.5) / 100000, 5) AS lng FROM fix QUALIFY count(*) OVER (PARTITION BY ride_id) > 1"),
     "incremental_best_pace": (incremental_best_pace, "WITH " + LAP_SQL + "SELECT section_id, direction, count(*) AS passes, strftime(min(ride_date), '%Y-%m-%d %H:%M:%S') AS first_date, strftime(max(ride_date), '%Y-%m-%d %H:%M:%S') AS last_date, max(speed) AS best, first(ride_id ORDER BY speed DESC, ride_date, ride_id) AS best_ride_id FROM lap GROUP BY ALL"),
     "sticky_match": (sticky_match, None),
     "live_ride_totals": (live_ride_totals, "WITH " + STEP_SQL + "SELECT ride_id, count(*) AS n, round(sum(step_m), 4) AS distance_m, round(max(speed), 4) AS max_speed, max(t_ms) AS last_ms, sum(coalesce((t_ms - pt > 3500)::INT, 0))::BIGINT AS silent FROM step1 GROUP BY ride_id"),

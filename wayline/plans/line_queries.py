@@ -24,7 +24,7 @@ def resample_line(spark, d):
 
 def value_at_distance(spark, d):
     ran = _ran(spark, d)
-    asked = ran.where("seq % 7 = 3").select("ride_id", F.col("seq").alias("id"), (F.col("cum_m") + 3.5).alias("d"))
+    asked = ran.select("ride_id", F.col("seq").alias("id"), (F.col("cum_m") + 3.5).alias("d"))
     return L.value_along(ran, asked, "t_ms").select("ride_id", "id", F.round("value", 2).alias("value"))
 
 
@@ -121,7 +121,7 @@ _CAT = "c AS (SELECT DISTINCT page_id % 20 AS x, page_id % 15 AS y, 'https://til
 
 QUERIES = {
     "resample_line": (resample_line, _RUN + _RS.format(src="run") + "SELECT ride_id, k, round(lat + 1e-9, 6) AS lat, round(lng + 1e-9, 6) AS lng, round(altitude + 1e-9, 3) AS altitude FROM rs"),
-    "value_at_distance": (value_at_distance, _RUN + ", q AS (SELECT ride_id, seq AS id, cum_m + 3.5 AS d FROM run WHERE seq % 7 = 3), ab AS (SELECT q.ride_id, q.id, q.d, max(CASE WHEN r.cum_m <= q.d THEN r.seq END) AS a, min(CASE WHEN r.cum_m > q.d THEN r.seq END) AS b FROM q JOIN run r USING (ride_id) GROUP BY ALL) SELECT ab.ride_id, ab.id, round(CASE WHEN y.t_ms IS NULL THEN x.t_ms ELSE x.t_ms + (y.t_ms - x.t_ms) * ((d - x.cum_m) / (y.cum_m - x.cum_m)) END, 2) AS value FROM ab JOIN run x ON x.ride_id = ab.ride_id AND x.seq = ab.a LEFT JOIN run y ON y.ride_id = ab.ride_id AND y.seq = ab.b"),
+    "value_at_distance": (value_at_distance, _RUN + ", q AS (SELECT ride_id, seq AS id, cum_m + 3.5 AS d FROM run), ab AS (SELECT q.ride_id, q.id, q.d, max(CASE WHEN r.cum_m <= q.d THEN r.seq END) AS a, min(CASE WHEN r.cum_m > q.d THEN r.seq END) AS b FROM q JOIN run r USING (ride_id) GROUP BY ALL) SELECT ab.ride_id, ab.id, round(CASE WHEN y.t_ms IS NULL THEN x.t_ms ELSE x.t_ms + (y.t_ms - x.t_ms) * ((d - x.cum_m) / (y.cum_m - x.cum_m)) END, 2) AS value FROM ab JOIN run x ON x.ride_id = ab.ride_id AND x.seq = ab.a LEFT JOIN run y ON y.ride_id = ab.ride_id AND y.seq = ab.b"),
     "nearest_on_chart": (nearest_on_chart, _RUN + "SELECT ride_id, first(seq ORDER BY round(abs(cum_m - 333.3::DOUBLE), 6), seq) AS seq FROM run GROUP BY ride_id"),
     "span_mean_speed": (span_mean_speed, _FIX + f", s AS (SELECT ride_id, (seq - 1) // 10 AS block, t_ms - lag(t_ms) OVER w AS dt, (speed + lag(speed) OVER w) / 2 AS m FROM fix WINDOW w AS ({_W})) SELECT ride_id, block, round(CASE WHEN sum(dt) > 0 THEN sum(m * dt) / sum(dt) ELSE avg(m) END + 1e-9, 4) AS mean_speed FROM s WHERE dt IS NOT NULL GROUP BY ALL"),
     "kept_half_windows": (kept_half_windows, _FIX + f", k AS (SELECT ride_id, seq FROM fix WHERE seq % 4 = 0 OR stopped) SELECT ride_id, seq, (coalesce(lag(seq) OVER w, seq) + seq) // 2 AS lo, (seq + coalesce(lead(seq) OVER w, seq)) // 2 AS hi FROM k WINDOW w AS ({_W})"),

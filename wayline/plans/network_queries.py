@@ -10,7 +10,7 @@ from ..sources.lenses import FIX_SQL, RIDE_SQL, fix, read, ride
 
 
 def display_texts(spark, d):
-    r = ride(spark, d).where("id % 10 = 0")
+    r = ride(spark, d)
     return r.select("id", D.distance_text(F.col("total_distance"), True).alias("miles"), D.speed_text(F.col("total_distance") / 1000, False).alias("speed"), D.elevation_text(F.col("total_distance") / 100, True).alias("height"), D.plural(F.col("id") % 3, "ride").alias("rides"))
 
 
@@ -38,7 +38,7 @@ def marker_placement(spark, d):
 _SEG = "WITH s AS (SELECT o_orderkey AS id, ((o_orderkey * 7919) % 9000 - 2000)::DOUBLE AS ax, ((o_orderkey * 104729) % 9000 - 2000)::DOUBLE AS ay, ((o_custkey * 7907) % 9000 - 2000)::DOUBLE AS bx, ((o_orderkey * 31 + o_custkey) % 9000 - 2000)::DOUBLE AS dy FROM orders)"
 
 QUERIES = {
-    "display_texts": (display_texts, "WITH " + RIDE_SQL + "SELECT id, printf('%.2f', total_distance / 1609.344::DOUBLE) || ' mi' AS miles, printf('%.1f', total_distance / 1000 * 3.6::DOUBLE) || ' km/h' AS speed, printf('%.0f', total_distance / 100 * 3.28084::DOUBLE) || ' ft' AS height, (id % 3) || ' ride' || CASE WHEN id % 3 = 1 THEN '' ELSE 's' END AS rides FROM ride WHERE id % 10 = 0"),
+    "display_texts": (display_texts, "WITH " + RIDE_SQL + "SELECT id, printf('%.2f', total_distance / 1609.344::DOUBLE) || ' mi' AS miles, printf('%.1f', total_distance / 1000 * 3.6::DOUBLE) || ' km/h' AS speed, printf('%.0f', total_distance / 100 * 3.28084::DOUBLE) || ' ft' AS height, (id % 3) || ' ride' || CASE WHEN id % 3 = 1 THEN '' ELSE 's' END AS rides FROM ride"),
     "tile_clip": (tile_clip, _SEG + ", t AS (SELECT *, greatest(0, CASE WHEN bx = ax THEN CASE WHEN ax BETWEEN 0 AND 4096 THEN 0 ELSE 2 END ELSE least(-ax / (bx - ax), (4096 - ax) / (bx - ax)) END, CASE WHEN dy = ay THEN CASE WHEN ay BETWEEN 0 AND 4096 THEN 0 ELSE 2 END ELSE least(-ay / (dy - ay), (4096 - ay) / (dy - ay)) END) AS t0, least(1, CASE WHEN bx = ax THEN CASE WHEN ax BETWEEN 0 AND 4096 THEN 1 ELSE -1 END ELSE greatest(-ax / (bx - ax), (4096 - ax) / (bx - ax)) END, CASE WHEN dy = ay THEN CASE WHEN ay BETWEEN 0 AND 4096 THEN 1 ELSE -1 END ELSE greatest(-ay / (dy - ay), (4096 - ay) / (dy - ay)) END) AS t1 FROM s) SELECT id AS segment_id, round(ax + (bx - ax) * t0 + 1e-9, 4) AS ax, round(ay + (dy - ay) * t0 + 1e-9, 4) AS ay, round(ax + (bx - ax) * t1 + 1e-9, 4) AS bx, round(ay + (dy - ay) * t1 + 1e-9, 4) AS \"by\" FROM t WHERE t1 - t0 > 1e-9"),
     "retraced_edges": (retraced_edges, _SEG + ", e AS (SELECT id, ax + (bx % 40) / 2 AS mx, ay + (dy % 40) / 2 AS my, bx % 40 AS ex, dy % 40 AS ey FROM s WHERE id % 2 = 0), t AS (SELECT ax, ay, bx % 60 AS tx, dy % 60 AS ty FROM s WHERE id % 2 = 1), j AS (SELECT e.*, t.*, CASE WHEN tx * tx + ty * ty = 0 THEN 0 ELSE greatest(0, least(1, ((mx - ax) * tx + (my - ay) * ty) / (tx * tx + ty * ty))) END AS u FROM e JOIN t ON abs(mx - ax) <= 100 AND abs(my - ay) <= 100), c AS (SELECT id, (tx * ex + ty * ey) / (sqrt(tx * tx + ty * ty) * sqrt(ex * ex + ey * ey)) AS c FROM j WHERE sqrt(pow(mx - ax - u * tx, 2) + pow(my - ay - u * ty, 2)) <= 20 AND tx * tx + ty * ty > 0 AND ex * ex + ey * ey > 0) SELECT id AS segment_id, bit_or(CASE WHEN c >= 0.8 THEN 1 ELSE 2 END)::BIGINT AS ways FROM c WHERE abs(c) >= 0.8 GROUP BY id"),
     "marker_placement": (marker_placement, None),

@@ -122,7 +122,7 @@ def infer_activity(spark, d):
 
 
 def escape_html(spark, d):
-    return read(spark, d, "documents").select("doc_id", F.sha2(C.escape_html(F.col("text")).cast("binary"), 256).alias("escaped"), C.slug(F.substring("text", 1, 40)).alias("slug"))
+    return read(spark, d, "documents").select("doc_id", F.sha2(C.escape_html(F.col("text")).cast("binary"), 256).alias("escaped"), F.sha2(C.slug(F.col("text")).cast("binary"), 256).alias("slug"))
 
 
 def section_passes_by_ride(spark, d):
@@ -132,36 +132,26 @@ def section_passes_by_ride(spark, d):
     return b.join(r, "best_ride_id", "left").select("section_id", "best_ride_id", "activity", "route_id")
 
 
-def _sections(spark, d):
-    return S.sections_from(T.steps(fix(spark, d)))
+def _spread(spark, d):
+    """Fixes with rides dealt over 53 strips, 2.2 km apart, so that a place is met by the rides of its strip."""
+    f = fix(spark, d)
+    return T.steps(f.withColumn("lat", F.col("lat") + F.col("ride_id") % 53 * C.dbl(0.02)))
 
 
-def _all_points(spark, d):
-    return T.steps(fix(spark, d)).select((F.col("ride_id") * 100_000 + F.col("seq")).alias("id"), "lat", "lng", C.flat_bearing(F.col("plat"), F.col("plng"), F.col("lat"), F.col("lng")).alias("heading"))
+def _sections(spark, d):
+    return S.sections_from(_spread(spark, d))
 
 
 def _points(spark, d):
-    return _all_points(spark, d).where("id % 10 = 3")
+    return _spread(spark, d).select((F.col("ride_id") * 100_000 + F.col("seq")).alias("id"), "lat", "lng", C.flat_bearing(F.col("plat"), F.col("plng"), F.col("lat"), F.col("lng")).alias("heading"))
 
 
 def section_nearest(spark, d):
-    """A sample, for the oracle's unindexed join: every tenth fix and ride. section_nearest_all is the whole job."""
-    s = _sections(spark, d).where("ride_id % 10 = 1")
-    return S.nearest_section(_points(spark, d), S.samples(s)).select("id", F.round("distance", 3).alias("distance"))
-
-
-def section_nearest_all(spark, d):
-    return S.nearest_section(_all_points(spark, d), S.samples(_sections(spark, d))).select("id", F.round("distance", 3).alias("distance"))
+    return S.nearest_section(_points(spark, d), S.samples(_sections(spark, d))).select("id", "section_id", F.round("distance", 3).alias("distance"))
 
 
 def sections_ahead(spark, d):
-    """A sample, for the oracle's unindexed join: every tenth fix and 25th ride. sections_ahead_all is the whole job."""
-    s = _sections(spark, d).where("ride_id % 25 = 1")
-    return S.within(_points(spark, d), S.samples(s)).select("id", "section_id", F.round("distance", 3).alias("distance"))
-
-
-def sections_ahead_all(spark, d):
-    return S.within(_all_points(spark, d), S.samples(_sections(spark, d))).select("id", "section_id", F.round("distance", 3).alias("distance"))
+    return S.within(_points(spark, d), S.samples(_sections(spark, d))).select("id", "section_id", F.round("distance", 3).alias("distance"))
 
 
 def section_samples(spark, d):
@@ -171,38 +161,17 @@ def section_samples(spark, d):
 _SEGMENT = "l_orderkey * 10 + l_linenumber AS segment_id, (l_partkey % 97) * 7.0D AS ax, (l_suppkey % 89) * 7.0D + l_orderkey % 5 AS ay, (l_partkey % 97) * 7.0D + l_quantity - 25 AS bx, (l_suppkey % 89) * 7.0D + l_orderkey % 5 + l_discount * 500 - 25 AS by, CAST(l_linenumber AS BIGINT) AS level"
 
 
-def _all_segments(spark, d):
-    return read(spark, d, "lineitem").selectExpr(*[x.strip() for x in _SEGMENT.split(", ")]).groupBy("segment_id").agg(*[F.min(c).alias(c) for c in ("ax", "ay", "bx", "by", "level")])
-
-
 def _segments(spark, d):
-    """A sample, for the oracles' unindexed joins: every 20th order. The queries named _all take every segment."""
-    return _all_segments(spark, d).where("segment_id div 10 % 20 = 0")
-
-
-def _nearest_segment(spark, d, segments, **cells):
-    p = read(spark, d, "customer").selectExpr("c_custkey AS id", "(c_custkey % 101) * 6.5D AS x", "(c_custkey % 83) * 7.5D AS y")
-    return S.to_segments(p, segments, **cells).select("id", F.round("distance", 4).alias("distance"))
-
-
-def _crossings(segments, **cells):
-    return S.crossings(segments, **cells).select("segment_id", "other", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
+    return read(spark, d, "lineitem").selectExpr(*[x.strip() for x in _SEGMENT.split(", ")]).groupBy("segment_id").agg(*[F.min(c).alias(c) for c in ("ax", "ay", "bx", "by", "level")])
 
 
 def nearest_segment(spark, d):
-    return _nearest_segment(spark, d, _segments(spark, d))
-
-
-def nearest_segment_all(spark, d):
-    return _nearest_segment(spark, d, _all_segments(spark, d), side=20.0)
+    p = read(spark, d, "customer").selectExpr("c_custkey AS id", "(c_custkey % 101) * 6.5D AS x", "(c_custkey % 83) * 7.5D AS y")
+    return S.to_segments(p, _segments(spark, d), side=20.0).select("id", "segment_id", F.round("distance", 4).alias("distance"))
 
 
 def segment_crossings(spark, d):
-    return _crossings(_segments(spark, d))
-
-
-def segment_crossings_all(spark, d):
-    return _crossings(_all_segments(spark, d), side=16.0)
+    return S.crossings(_segments(spark, d), side=16.0).select("segment_id", "other", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
 
 
 def raster_heights(spark, d):
@@ -228,9 +197,9 @@ _R = "WITH " + RIDE_SQL
 _L = "WITH " + LAP_SQL
 _FR = ", fr AS (SELECT *, min(CASE WHEN speed > 0 THEN speed END) OVER (PARTITION BY kind) AS lo, max(CASE WHEN speed > 0 THEN speed END) OVER (PARTITION BY kind) AS hi FROM rides), f AS (SELECT *, CASE WHEN hi - lo >= 0.05 THEN (speed - lo) / (hi - lo) ELSE 0.5 END AS fraction FROM fr)"
 _N = "TIMESTAMP '2001-07-15 12:00:00'"
-_SEC = ", e AS (SELECT ride_id, seq // 5 AS k, lat, lng, speed FROM fix WHERE seq % 5 = 0), s0 AS (SELECT *, lead(lat) OVER (PARTITION BY ride_id ORDER BY k) AS lat2, lead(lng) OVER (PARTITION BY ride_id ORDER BY k) AS lng2 FROM e), sec AS (SELECT ride_id, ride_id * 100000 + k AS section_id, lat, lng, lat2, lng2, degrees(atan2((lng2 - lng) * 111320 * cos(radians((lat + lat2) / 2)), (lat2 - lat) * 110574)) AS b, greatest(1, ceil(sqrt(pow((lat2 - lat) * 110574, 2) + pow((lng2 - lng) * 111320 * cos(radians((lat + lat2) / 2)), 2)) / 8))::BIGINT AS n FROM s0 WHERE lat2 IS NOT NULL), smp0 AS (SELECT *, unnest(range(0, n + 1)) AS i FROM sec), smp AS (SELECT ride_id, section_id, b, lat + (lat2 - lat) * (i / n) AS lat, lng + (lng2 - lng) * (i / n) AS lng FROM smp0), pts AS (SELECT ride_id * 100000 + seq AS id, lat, lng, degrees(atan2((lng - plng) * 111320 * cos(radians((plat + lat) / 2)), (lat - plat) * 110574)) AS h FROM step0 WHERE seq % 10 = 3)"
+_SEC = ", e AS (SELECT ride_id, seq // 5 AS k, lat + ride_id % 53 * 0.02::DOUBLE AS lat, lng, speed FROM fix WHERE seq % 5 = 0), s0 AS (SELECT *, lead(lat) OVER (PARTITION BY ride_id ORDER BY k) AS lat2, lead(lng) OVER (PARTITION BY ride_id ORDER BY k) AS lng2 FROM e), sec AS (SELECT ride_id, ride_id * 100000 + k AS section_id, lat, lng, lat2, lng2, degrees(atan2((lng2 - lng) * 111320 * cos(radians((lat + lat2) / 2)), (lat2 - lat) * 110574)) AS b, greatest(1, ceil(sqrt(pow((lat2 - lat) * 110574, 2) + pow((lng2 - lng) * 111320 * cos(radians((lat + lat2) / 2)), 2)) / 8))::BIGINT AS n FROM s0 WHERE lat2 IS NOT NULL), smp0 AS (SELECT *, unnest(range(0, n + 1)) AS i FROM sec), smp AS (SELECT ride_id % 53 AS strip, section_id, b, lat + (lat2 - lat) * (i / n) AS lat, lng + (lng2 - lng) * (i / n) AS lng FROM smp0), moved AS (SELECT ride_id, seq, lat + ride_id % 53 * 0.02::DOUBLE AS lat, plat + ride_id % 53 * 0.02::DOUBLE AS plat, lng, plng FROM step0), pts AS (SELECT ride_id * 100000 + seq AS id, ride_id % 53 AS strip, lat, lng, degrees(atan2((lng - plng) * 111320 * cos(radians((plat + lat) / 2)), (lat - plat) * 110574)) AS h FROM moved)"
 _D = "sqrt(pow((s.lat - p.lat) * 110574, 2) + pow((s.lng - p.lng) * 111320 * cos(radians((p.lat + s.lat) / 2)), 2))"
-_SEG = "WITH seg0 AS (SELECT " + _SEGMENT.replace("7.0D", "7.0::DOUBLE").replace(" AS by", " AS dy") + " FROM lineitem WHERE l_orderkey % 20 = 0), seg AS (SELECT segment_id, min(ax) AS ax, min(ay) AS ay, min(bx) AS bx, min(dy) AS dy, min(level) AS level FROM seg0 GROUP BY segment_id)"
+_SEG = "WITH seg0 AS (SELECT " + _SEGMENT.replace("7.0D", "7.0::DOUBLE").replace(" AS by", " AS dy") + " FROM lineitem), seg AS (SELECT segment_id, min(ax) AS ax, min(ay) AS ay, min(bx) AS bx, min(dy) AS dy, min(level) AS level FROM seg0 GROUP BY segment_id)"
 
 QUERIES = {
     "month_week_totals": (month_week_totals, _R + f", x AS (SELECT *, date >= date_trunc('month', {_N}) AS m, date >= date_trunc('day', {_N}) - INTERVAL 6 DAY AS w FROM ride) SELECT round(sum(CASE WHEN m THEN total_distance ELSE 0 END), 3) AS month_distance, round(sum(CASE WHEN w THEN total_distance ELSE 0 END), 3) AS week_distance, round(CASE WHEN sum(CASE WHEN m THEN moving_time_ms ELSE 0 END) = 0 THEN 0 ELSE sum(CASE WHEN m THEN total_distance ELSE 0 END) / (sum(CASE WHEN m THEN moving_time_ms ELSE 0 END) / 1000) END, 3) AS month_speed, sum(CASE WHEN m THEN moving_time_ms ELSE 0 END)::BIGINT AS month_ms, sum(m::INT)::BIGINT AS month_rides, sum(CASE WHEN w THEN moving_time_ms ELSE 0 END)::BIGINT AS week_ms, sum(w::INT)::BIGINT AS week_rides FROM x"),
@@ -256,17 +225,13 @@ QUERIES = {
     "activity_mode": (activity_mode, _R + ", c AS (SELECT kind, count(*) AS n FROM rides GROUP BY kind) SELECT kind, n, kind = (SELECT kind FROM c ORDER BY n DESC, kind LIMIT 1) AS most_common FROM c"),
     "segment_bars": (segment_bars, _L + ", s AS (SELECT section_id AS ride_id, direction AS segment, avg(speed) AS v FROM lap GROUP BY ALL), w AS (SELECT *, greatest(max(v) OVER (PARTITION BY ride_id), 0.0001) AS f, min(v) OVER (PARTITION BY ride_id) AS l FROM s) SELECT ride_id, segment, round(greatest(2, v / f * 100) + 1e-9, 4) AS width, round(CASE WHEN f - l > 0.01 THEN (v - l) / (f - l) ELSE 1 END + 1e-9, 4) AS colour FROM w"),
     "infer_activity": (infer_activity, "WITH t AS (SELECT p_partkey, lower(p_name || ' ' || p_type) AS t FROM part) SELECT p_partkey, CASE WHEN contains(t, 'hik') THEN 'hike' WHEN regexp_matches(t, 'kayak|paddle|canoe') THEN 'kayak' WHEN regexp_matches(t, 'run|walk') THEN 'walk' ELSE 'bike' END AS kind FROM t"),
-    "escape_html": (escape_html, "SELECT doc_id, sha256(replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;')) AS escaped, regexp_replace(lower(left(text, 40)), '[^a-z0-9]+', '-', 'g') AS slug FROM documents"),
+    "escape_html": (escape_html, "SELECT doc_id, sha256(replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;')) AS escaped, sha256(coalesce(nullif(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g'), ''), 'route')) AS slug FROM documents"),
     "section_passes_by_ride": (section_passes_by_ride, _L + ", " + RIDE_SQL + ", b AS (SELECT section_id, first(ride_id ORDER BY speed DESC, ride_date, ride_id) AS best_ride_id FROM lap GROUP BY section_id) SELECT section_id, best_ride_id, activity, route_id FROM b LEFT JOIN (SELECT id, activity, route_id FROM ride WHERE pace_mapped) r ON r.id = b.best_ride_id"),
-    "section_nearest": (section_nearest, "WITH " + STEP_SQL + _SEC + f", m AS (SELECT p.id, {_D} AS d FROM pts p JOIN smp s ON s.ride_id % 10 = 1 WHERE least(abs(h - b) % 360, 360 - abs(h - b) % 360) <= 45 OR h IS NULL) SELECT id, round(min(d), 3) AS distance FROM m WHERE d <= 25 GROUP BY id"),
-    "sections_ahead": (sections_ahead, "WITH " + STEP_SQL + _SEC + f", m AS (SELECT p.id, s.section_id, {_D} AS d FROM pts p JOIN smp s ON s.ride_id % 25 = 1) SELECT id, section_id, round(min(d), 3) AS distance FROM m WHERE d <= 150 GROUP BY ALL"),
-    "section_nearest_all": (section_nearest_all, None),
-    "sections_ahead_all": (sections_ahead_all, None),
+    "section_nearest": (section_nearest, "WITH " + STEP_SQL + _SEC + f", m AS (SELECT p.id, s.section_id, {_D} AS d FROM pts p JOIN smp s ON s.strip = p.strip WHERE least(abs(h - b) % 360, 360 - abs(h - b) % 360) <= 45 OR h IS NULL) SELECT id, first(section_id ORDER BY round(d, 6), section_id DESC) AS section_id, round(min(d), 3) AS distance FROM m WHERE d <= 25 GROUP BY id"),
+    "sections_ahead": (sections_ahead, "WITH " + STEP_SQL + _SEC + f", m AS (SELECT p.id, s.section_id, {_D} AS d FROM pts p JOIN smp s ON s.strip = p.strip) SELECT id, section_id, round(min(d), 3) AS distance FROM m WHERE d <= 150 GROUP BY ALL"),
     "section_samples": (section_samples, "WITH " + STEP_SQL + _SEC + "SELECT section_id, count(*) AS n, round(avg(lat), 6) AS lat FROM smp GROUP BY section_id"),
-    "nearest_segment": (nearest_segment, _SEG + ", p AS (SELECT c_custkey AS id, (c_custkey % 101) * 6.5::DOUBLE AS x, (c_custkey % 83) * 7.5::DOUBLE AS y FROM customer), u AS (SELECT *, CASE WHEN ax = bx AND ay = dy THEN 0 ELSE greatest(0, least(1, ((x - ax) * (bx - ax) + (y - ay) * (dy - ay)) / (pow(bx - ax, 2) + pow(dy - ay, 2)))) END AS u FROM p, seg), d AS (SELECT id, sqrt(pow(x - ax - u * (bx - ax), 2) + pow(y - ay - u * (dy - ay), 2)) AS d FROM u) SELECT id, round(min(d), 4) AS distance FROM d WHERE d <= 20 GROUP BY id"),
-    "segment_crossings": (segment_crossings, _SEG + ", j AS (SELECT a.segment_id, b.segment_id AS other, a.ax, a.ay, a.bx - a.ax AS rx, a.dy - a.ay AS ry, b.bx - b.ax AS sx, b.dy - b.ay AS sy, b.ax - a.ax AS qx, b.ay - a.ay AS qy FROM seg a JOIN seg b ON a.level = b.level AND a.segment_id < b.segment_id), k AS (SELECT *, (qx * sy - qy * sx) / (rx * sy - ry * sx) AS u, (qx * ry - qy * rx) / (rx * sy - ry * sx) AS v FROM j WHERE rx * sy - ry * sx <> 0) SELECT segment_id, other, round(ax + u * rx, 4) AS x, round(ay + u * ry, 4) AS y FROM k WHERE u > 0 AND u < 1 AND v > 0 AND v < 1"),
-    "nearest_segment_all": (nearest_segment_all, None),
-    "segment_crossings_all": (segment_crossings_all, None),
+    "nearest_segment": (nearest_segment, _SEG + ", p AS (SELECT c_custkey AS id, (c_custkey % 101) * 6.5::DOUBLE AS x, (c_custkey % 83) * 7.5::DOUBLE AS y FROM customer), u AS (SELECT *, CASE WHEN ax = bx AND ay = dy THEN 0 ELSE greatest(0, least(1, ((x - ax) * (bx - ax) + (y - ay) * (dy - ay)) / (pow(bx - ax, 2) + pow(dy - ay, 2)))) END AS u FROM p JOIN seg ON x BETWEEN least(ax, bx) - 20 AND greatest(ax, bx) + 20 AND y BETWEEN least(ay, dy) - 20 AND greatest(ay, dy) + 20), d AS (SELECT id, segment_id, sqrt(pow(x - ax - u * (bx - ax), 2) + pow(y - ay - u * (dy - ay), 2)) AS d FROM u) SELECT id, first(segment_id ORDER BY round(d, 6), segment_id) AS segment_id, round(min(d), 4) AS distance FROM d WHERE d <= 20 GROUP BY id"),
+    "segment_crossings": (segment_crossings, _SEG + ", j AS (SELECT a.segment_id, b.segment_id AS other, a.ax, a.ay, a.bx - a.ax AS rx, a.dy - a.ay AS ry, b.bx - b.ax AS sx, b.dy - b.ay AS sy, b.ax - a.ax AS qx, b.ay - a.ay AS qy FROM seg a JOIN seg b ON a.level = b.level AND a.segment_id < b.segment_id AND least(a.ax, a.bx) <= greatest(b.ax, b.bx) AND least(b.ax, b.bx) <= greatest(a.ax, a.bx) AND least(a.ay, a.dy) <= greatest(b.ay, b.dy) AND least(b.ay, b.dy) <= greatest(a.ay, a.dy)), k AS (SELECT *, (qx * sy - qy * sx) / (rx * sy - ry * sx) AS u, (qx * ry - qy * rx) / (rx * sy - ry * sx) AS v FROM j WHERE rx * sy - ry * sx <> 0) SELECT segment_id, other, round(ax + u * rx, 4) AS x, round(ay + u * ry, 4) AS y FROM k WHERE u > 0 AND u < 1 AND v > 0 AND v < 1"),
     "raster_heights": (raster_heights, "WITH h AS (SELECT i % 40 AS gx, i // 40 AS gy, ((i * 37) % 101)::DOUBLE AS height FROM range(1600) r(i)), p AS (SELECT c_custkey AS id, (c_custkey * 13 % 4100) / 100::DOUBLE AS px, (c_custkey * 29 % 4100) / 100::DOUBLE AS py FROM customer), c AS (SELECT id, floor(px)::BIGINT + i AS gx, floor(py)::BIGINT + j AS gy, CASE WHEN i = 1 THEN px - floor(px) ELSE 1 - (px - floor(px)) END * CASE WHEN j = 1 THEN py - floor(py) ELSE 1 - (py - floor(py)) END AS w FROM p, range(2) a(i), range(2) b(j)) SELECT id, round(CASE WHEN count(height) = 4 THEN sum(w * height) END, 4) AS height FROM c LEFT JOIN h USING (gx, gy) GROUP BY id"),
     "checkpoint_scan": (checkpoint_scan, "WITH " + FIX_SQL + ", n AS (SELECT ride_id, seq AS idx, t_ms, seq - seq % 8 AS start FROM fix UNION ALL SELECT ride_id, seq - 1, t_ms + 1, seq - seq % 8 - 1 FROM fix WHERE (seq - seq % 8) % 16 = 8) SELECT ride_id, idx, arg_max(t_ms, start) AS t_ms FROM n GROUP BY ALL"),
     "preference_scan": (preference_scan, "WITH r AS (SELECT 'k' || c_nationkey AS key, min(c_mktsegment) AS v FROM customer GROUP BY 1) SELECT 'k' || i AS key, CASE WHEN (i % 2 = 1 AND v IN ('AUTOMOBILE', 'BUILDING')) OR (i % 2 = 0 AND v = 'MACHINERY') THEN v ELSE 'none' END AS value FROM range(30) t(i) LEFT JOIN r ON r.key = 'k' || i"),
