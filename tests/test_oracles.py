@@ -33,7 +33,7 @@ def duck():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.oracle_sql()) - {"shortest_path", "dead_reckon_fill"}))
+@pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
 def test_query_matches_its_oracle(spark, duck, name):
     df = catalog.queries()[name](spark, SF)
     want = duck.sql(catalog.oracle_sql()[name])
