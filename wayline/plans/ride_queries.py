@@ -171,7 +171,7 @@ def nearest_segment(spark, d):
 
 
 def segment_crossings(spark, d):
-    return S.crossings(_segments(spark, d), side=16.0).select("segment_id", "other", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
+    return S.crossings(_segments(spark, d), side=16.0).select("segment_id", "other", F.round(F.col("x") + 1e-9, 4).alias("x"), F.round(F.col("y") + 1e-9, 4).alias("y"))
 
 
 def raster_heights(spark, d):
@@ -231,7 +231,7 @@ QUERIES = {
     "sections_ahead": (sections_ahead, "WITH " + STEP_SQL + _SEC + f", m AS (SELECT p.id, s.section_id, {_D} AS d FROM pts p JOIN smp s ON s.strip = p.strip) SELECT id, section_id, round(min(d), 3) AS distance FROM m WHERE d <= 150 GROUP BY ALL"),
     "section_samples": (section_samples, "WITH " + STEP_SQL + _SEC + "SELECT section_id, count(*) AS n, round(avg(lat), 6) AS lat FROM smp GROUP BY section_id"),
     "nearest_segment": (nearest_segment, _SEG + ", p AS (SELECT c_custkey AS id, (c_custkey % 101) * 6.5::DOUBLE AS x, (c_custkey % 83) * 7.5::DOUBLE AS y FROM customer), u AS (SELECT *, CASE WHEN ax = bx AND ay = dy THEN 0 ELSE greatest(0, least(1, ((x - ax) * (bx - ax) + (y - ay) * (dy - ay)) / (pow(bx - ax, 2) + pow(dy - ay, 2)))) END AS u FROM p JOIN seg ON x BETWEEN least(ax, bx) - 20 AND greatest(ax, bx) + 20 AND y BETWEEN least(ay, dy) - 20 AND greatest(ay, dy) + 20), d AS (SELECT id, segment_id, sqrt(pow(x - ax - u * (bx - ax), 2) + pow(y - ay - u * (dy - ay), 2)) AS d FROM u) SELECT id, first(segment_id ORDER BY round(d, 6), segment_id) AS segment_id, round(min(d), 4) AS distance FROM d WHERE d <= 20 GROUP BY id"),
-    "segment_crossings": (segment_crossings, _SEG + ", j AS (SELECT a.segment_id, b.segment_id AS other, a.ax, a.ay, a.bx - a.ax AS rx, a.dy - a.ay AS ry, b.bx - b.ax AS sx, b.dy - b.ay AS sy, b.ax - a.ax AS qx, b.ay - a.ay AS qy FROM seg a JOIN seg b ON a.level = b.level AND a.segment_id < b.segment_id AND least(a.ax, a.bx) <= greatest(b.ax, b.bx) AND least(b.ax, b.bx) <= greatest(a.ax, a.bx) AND least(a.ay, a.dy) <= greatest(b.ay, b.dy) AND least(b.ay, b.dy) <= greatest(a.ay, a.dy)), k AS (SELECT *, (qx * sy - qy * sx) / (rx * sy - ry * sx) AS u, (qx * ry - qy * rx) / (rx * sy - ry * sx) AS v FROM j WHERE rx * sy - ry * sx <> 0) SELECT segment_id, other, round(ax + u * rx, 4) AS x, round(ay + u * ry, 4) AS y FROM k WHERE u > 0 AND u < 1 AND v > 0 AND v < 1"),
+    "segment_crossings": (segment_crossings, _SEG + ", j AS (SELECT a.segment_id, b.segment_id AS other, a.ax, a.ay, a.bx - a.ax AS rx, a.dy - a.ay AS ry, b.bx - b.ax AS sx, b.dy - b.ay AS sy, b.ax - a.ax AS qx, b.ay - a.ay AS qy FROM seg a JOIN seg b ON a.level = b.level AND a.segment_id < b.segment_id AND least(a.ax, a.bx) <= greatest(b.ax, b.bx) AND least(b.ax, b.bx) <= greatest(a.ax, a.bx) AND least(a.ay, a.dy) <= greatest(b.ay, b.dy) AND least(b.ay, b.dy) <= greatest(a.ay, a.dy)), k AS (SELECT *, (qx * sy - qy * sx) / (rx * sy - ry * sx) AS u, (qx * ry - qy * rx) / (rx * sy - ry * sx) AS v FROM j WHERE rx * sy - ry * sx <> 0) SELECT segment_id, other, round(ax + u * rx + 1e-9, 4) AS x, round(ay + u * ry + 1e-9, 4) AS y FROM k WHERE u > 0 AND u < 1 AND v > 0 AND v < 1"),
     "raster_heights": (raster_heights, "WITH h AS (SELECT i % 40 AS gx, i // 40 AS gy, ((i * 37) % 101)::DOUBLE AS height FROM range(1600) r(i)), p AS (SELECT c_custkey AS id, (c_custkey * 13 % 4100) / 100::DOUBLE AS px, (c_custkey * 29 % 4100) / 100::DOUBLE AS py FROM customer), c AS (SELECT id, floor(px)::BIGINT + i AS gx, floor(py)::BIGINT + j AS gy, CASE WHEN i = 1 THEN px - floor(px) ELSE 1 - (px - floor(px)) END * CASE WHEN j = 1 THEN py - floor(py) ELSE 1 - (py - floor(py)) END AS w FROM p, range(2) a(i), range(2) b(j)) SELECT id, round(CASE WHEN count(height) = 4 THEN sum(w * height) END, 4) AS height FROM c LEFT JOIN h USING (gx, gy) GROUP BY id"),
     "checkpoint_scan": (checkpoint_scan, "WITH " + FIX_SQL + ", n AS (SELECT ride_id, seq AS idx, t_ms, seq - seq % 8 AS start FROM fix UNION ALL SELECT ride_id, seq - 1, t_ms + 1, seq - seq % 8 - 1 FROM fix WHERE (seq - seq % 8) % 16 = 8) SELECT ride_id, idx, arg_max(t_ms, start) AS t_ms FROM n GROUP BY ALL"),
     "preference_scan": (preference_scan, "WITH r AS (SELECT 'k' || c_nationkey AS key, min(c_mktsegment) AS v FROM customer GROUP BY 1) SELECT 'k' || i AS key, CASE WHEN (i % 2 = 1 AND v IN ('AUTOMOBILE', 'BUILDING')) OR (i % 2 = 0 AND v = 'MACHINERY') THEN v ELSE 'none' END AS value FROM range(30) t(i) LEFT JOIN r ON r.key = 'k' || i"),
