@@ -12,7 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PER_LAT, PER_LNG = 110540.0, 111320.0
+from . import folds
+from .folds import PER_LAT, PER_LNG
 
 
 @dataclass
@@ -146,8 +147,11 @@ def kept_indices(ride: Ride, algorithm: str, value: float) -> list[int]:
 
 
 def reduce_rides(fixes: DataFrame, algorithm: str, value: float | None = None) -> DataFrame:
-    """(ride_id, seq) of the kept fixes. A ride is one group: its fixes fit a task, as they fit a device."""
+    """(ride_id, seq) of the kept fixes. What needs only the last kept fixes is a fold over sorted rows; for the others
+    a ride is one group: its fixes fit a task, as they fit a device."""
     value = REGISTRY[algorithm][1] if value is None else value
+    if algorithm in folds.FOLDS:
+        return folds.kept(fixes, algorithm, value)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("seq")
