@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..sources.shared import shared_dir
 
 
-def _written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame) -> DataFrame:
+    """The rows as a table in the shared folder, read again."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/graph-{uuid.uuid4().hex}"
     df.write.parquet(path)
@@ -22,13 +23,13 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
     Labels take the least label around, then that label's own label, so long chains shrink fast.
     """
-    both = _written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = _written(nodes.select("id", F.col("id").alias("component")))
+    both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = written(nodes.select("id", F.col("id").alias("component")))
     while True:
         near = both.join(labels, F.col("b") == F.col("id")).groupBy("a").agg(F.min("component").alias("near"))
         step = labels.join(near, F.col("id") == F.col("a"), "left").select("id", F.least("component", F.coalesce("near", "component")).alias("component"), F.col("component").alias("was"))
         jump = step.select(F.col("id").alias("component"), F.col("component").alias("via"))
-        new = _written(step.join(jump, "component", "left").select("id", F.least("component", F.coalesce("via", "component")).alias("component"), "was"))
+        new = written(step.join(jump, "component", "left").select("id", F.least("component", F.coalesce("via", "component")).alias("component"), "was"))
         labels = new.select("id", "component")
         if new.where("component <> was").isEmpty():
             return labels
@@ -37,12 +38,12 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def shortest_paths(edges: DataFrame, sources: DataFrame, rounds: int = 10_000) -> DataFrame:
     """(source, node, cost) over directed edges (a, b, cost). Only nodes that improved are extended; raises if
     some still improve after `rounds`."""
-    best = _written(sources.select("source", F.col("source").alias("node"), F.lit(0.0).alias("cost")))
+    best = written(sources.select("source", F.col("source").alias("node"), F.lit(0.0).alias("cost")))
     front = best
     edges = edges.select("a", "b", F.col("cost").alias("step"))
     for _ in range(rounds):
         tried = front.join(edges, F.col("node") == F.col("a")).groupBy("source", F.col("b").alias("node")).agg(F.min(F.col("cost") + F.col("step")).alias("new"))
-        merged = _written(best.join(tried, ["source", "node"], "full").select("source", "node", F.least("cost", "new").alias("cost"), (F.col("new") < F.coalesce("cost", F.lit(float("inf")))).alias("better")))
+        merged = written(best.join(tried, ["source", "node"], "full").select("source", "node", F.least("cost", "new").alias("cost"), (F.col("new") < F.coalesce("cost", F.lit(float("inf")))).alias("better")))
         best = merged.select("source", "node", "cost")
         front = merged.where("better").select("source", "node", "cost")
         if front.isEmpty():
