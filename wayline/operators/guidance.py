@@ -132,3 +132,17 @@ def imported(files: DataFrame, as_drawn: Column, thinned: Column) -> DataFrame:
         "id", F.when(drawn, "gpx").otherwise("planned").alias("source"), F.when(drawn, none).otherwise(points).alias("waypoints"),
         F.when(drawn, F.array(line)).otherwise(F.transform(F.slice(points, 2, F.greatest(F.lit(0), F.size(points) - 1)), lambda p, k: F.array(F.get(points, k), p))).alias("legs"),
     )
+
+
+def finalised(live: DataFrame, now_ms: Column) -> DataFrame:
+    """Saved rows of live rides (ride_id, activity, total_distance, moving_time_ms, pauses, pause_started_ms, n_points,
+    route_id, ..) that end at now_ms: an open pause is closed, the mean speed follows from the totals, the activity has
+    its default. Rides of fewer than two fixes are not saved. Null totals are 0."""
+    open_pause = F.col("pause_started_ms").isNotNull() & (F.col("pause_started_ms") < now_ms)
+    own = F.coalesce("pauses", F.array().cast("array<struct<start:bigint,stop:bigint>>"))
+    end = F.struct(F.col("pause_started_ms").cast("long").alias("start"), now_ms.cast("long").alias("stop"))
+    meters, ms = F.coalesce("total_distance", F.lit(0.0)), F.coalesce("moving_time_ms", F.lit(0))
+    return live.where("n_points >= 2").withColumns({
+        "activity": F.coalesce(F.nullif("activity", F.lit("")), F.lit("bike")), "total_distance": meters, "moving_time_ms": ms,
+        "avg_speed": F.when(ms > 0, meters / (ms / 1000)).otherwise(0.0), "pauses": F.when(open_pause, F.array_append(own, end)).otherwise(own),
+    }).drop("pause_started_ms")

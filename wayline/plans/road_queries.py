@@ -48,6 +48,14 @@ def section_twins(spark, d):
     return R.section_twins(o)
 
 
+def graph_build(spark, d):
+    """Orders as vertices of their customers' ways, on a grid so wide that only equal places are one node."""
+    o = read(spark, d, "orders").selectExpr("o_orderkey AS id", "o_custkey AS way", "o_orderkey AS i", "(o_orderkey * 7919) % 41 * 2D AS x", "(o_orderkey * 104729) % 43 * 2D AS y")
+    w = read(spark, d, "customer").selectExpr("c_custkey AS way", "1D + c_custkey % 3 AS forward", "1D + c_custkey % 5 AS backward", "int(c_custkey % 4) AS rank")
+    g = R.road_graph(o, w, 2.5)
+    return g.select("way", "i", "a", "b", *[F.round(c, 4).alias(c) for c in ("meters", "forward", "backward")], "rank")
+
+
 _CHAINS = """WITH RECURSIVE e AS (SELECT c_custkey AS edge, c_custkey AS a, CASE WHEN c_custkey % 58 = 0 THEN c_custkey - 28 ELSE c_custkey + 1 END AS b, CASE WHEN ((c_custkey - 1) // 29) % 3 <> 1 AND c_custkey % 11 = 0 THEN 2 ELSE 1 END AS rank, (20 + c_custkey % 60)::DOUBLE AS meters FROM customer WHERE NOT (c_custkey % 29 = 0 AND c_custkey % 58 <> 0)
   UNION ALL SELECT -c_custkey, c_custkey, -c_custkey, 3, (15 + c_custkey % 40)::DOUBLE FROM customer WHERE c_custkey % 7 = 3),
 h AS (SELECT edge, 0 AS side, a AS tail, b AS head, rank, meters FROM e UNION ALL SELECT edge, 1, b, a, rank, meters FROM e),
@@ -70,4 +78,5 @@ QUERIES = {
     "section_cuts": (section_cuts, _CUTS + " SELECT chain, n, round(pos, 6) AS \"at\" FROM cuts"),
     "section_grades": (section_grades, _CUTS + ", hh AS (SELECT chain, n, CASE WHEN (abs(chain) + n) % 13 <> 0 THEN (abs(chain) * 37 + n * 11) % 20 END AS hgt, pos FROM cuts) SELECT a.chain, a.n, round(b.pos - a.pos, 6) AS meters, round((b.hgt - a.hgt) / (b.pos - a.pos), 6) AS grade FROM hh a JOIN hh b ON b.chain = a.chain AND b.n = a.n + 1"),
     "section_twins": (section_twins, None),
+    "graph_build": (graph_build, "WITH o AS (SELECT o_orderkey AS i, o_custkey AS way, (o_orderkey * 7919) % 41 * 2 AS x, (o_orderkey * 104729) % 43 * 2 AS y FROM orders), n AS (SELECT *, min(i) OVER (PARTITION BY x, y) AS a FROM o), l AS (SELECT *, lead(a) OVER w AS b, lead(x) OVER w AS bx, lead(y) OVER w AS yy FROM n WINDOW w AS (PARTITION BY way ORDER BY i)), m AS (SELECT *, sqrt(pow(bx - x, 2) + pow(yy - y, 2)) * 2.5::DOUBLE AS meters FROM l WHERE b <> a) SELECT way, i, a, b, round(meters, 4) AS meters, round(meters * (1 + way % 3), 4) AS forward, round(meters * (1 + way % 5), 4) AS backward, (way % 4)::INT AS rank FROM m WHERE way IN (SELECT c_custkey FROM customer)"),
 }
