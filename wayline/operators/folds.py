@@ -89,6 +89,11 @@ def kept(fixes: DataFrame, algorithm: str, value: float) -> DataFrame:
         "ride_id", "seq", "t_ms", ((F.col("lng") - F.col("lng0")) * PER_LNG * F.cos(F.radians("mean"))).alias("x"),
         ((F.col("lat") - F.col("lat0")) * PER_LAT).alias("y"), (F.col("seq") == F.col("last")).alias("is_last"),
     )
+    return kept_planar(planar, algorithm, value)
+
+
+def kept_planar(planar: DataFrame, algorithm: str, value: float) -> DataFrame:
+    """(ride_id, seq) of the points (ride_id, seq, t_ms, x, y, is_last) that a fold keeps."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ride, step = None, None

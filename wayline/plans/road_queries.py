@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import roads as R
-from ..sources.lenses import read
+from ..sources.lenses import FIX_SQL, fix, read
 
 
 def _edges(spark, d):
@@ -56,6 +56,14 @@ def graph_build(spark, d):
     return g.select("way", "i", "a", "b", *[F.round(c, 4).alias(c) for c in ("meters", "forward", "backward")], "rank")
 
 
+def track_edges(spark, d):
+    """Fixes as tracks, in steps of ten metres, among roads that cross them."""
+    f = fix(spark, d).selectExpr("ride_id", "seq", "-(ride_id * 100000 + seq) - 1 AS id", "seq * 10D AS x", "double(seq * seq % 23 + ride_id % 7 * 50) AS y")
+    c = read(spark, d, "customer").selectExpr("c_custkey AS segment_id", "c_custkey AS a", "c_custkey + 1 AS b", "c_custkey % 97 * 11.25D AS ax", "c_custkey % 41 * 9.5D AS ay")
+    r = c.withColumns({"bx": F.col("ax") + 30 - F.col("segment_id") % 7 * 10, "by": F.col("ay") + 25.5})
+    return R.track_edges(f, r).select("a", "b", F.round("meters", 4).alias("meters"), F.round("cost", 4).alias("cost"), "kind")
+
+
 _CHAINS = """WITH RECURSIVE e AS (SELECT c_custkey AS edge, c_custkey AS a, CASE WHEN c_custkey % 58 = 0 THEN c_custkey - 28 ELSE c_custkey + 1 END AS b, CASE WHEN ((c_custkey - 1) // 29) % 3 <> 1 AND c_custkey % 11 = 0 THEN 2 ELSE 1 END AS rank, (20 + c_custkey % 60)::DOUBLE AS meters FROM customer WHERE NOT (c_custkey % 29 = 0 AND c_custkey % 58 <> 0)
   UNION ALL SELECT -c_custkey, c_custkey, -c_custkey, 3, (15 + c_custkey % 40)::DOUBLE FROM customer WHERE c_custkey % 7 = 3),
 h AS (SELECT edge, 0 AS side, a AS tail, b AS head, rank, meters FROM e UNION ALL SELECT edge, 1, b, a, rank, meters FROM e),
@@ -78,5 +86,13 @@ QUERIES = {
     "section_cuts": (section_cuts, _CUTS + " SELECT chain, n, round(pos, 6) AS \"at\" FROM cuts"),
     "section_grades": (section_grades, _CUTS + ", hh AS (SELECT chain, n, CASE WHEN (abs(chain) + n) % 13 <> 0 THEN (abs(chain) * 37 + n * 11) % 20 END AS hgt, pos FROM cuts) SELECT a.chain, a.n, round(b.pos - a.pos, 6) AS meters, round((b.hgt - a.hgt) / (b.pos - a.pos), 6) AS grade FROM hh a JOIN hh b ON b.chain = a.chain AND b.n = a.n + 1"),
     "section_twins": (section_twins, None),
+    "track_edges": (track_edges, "WITH RECURSIVE " + FIX_SQL + """, p AS (SELECT ride_id, seq, -(ride_id * 100000 + seq) - 1 AS id, seq * 10::DOUBLE AS x, (seq * seq % 23 + ride_id % 7 * 50)::DOUBLE AS y, max(seq) OVER (PARTITION BY ride_id) AS last FROM fix),
+g AS (SELECT ride_id, seq, id, x, y, x AS kx, y AS ky, true AS keep, last FROM p WHERE seq = 0 UNION ALL SELECT ride_id, seq, id, x, y, CASE WHEN far THEN x ELSE kx END, CASE WHEN far THEN y ELSE ky END, far OR seq = last, last FROM (SELECT p.*, g.kx, g.ky, sqrt(pow(p.x - g.kx, 2) + pow(p.y - g.ky, 2)) >= 20 AS far FROM g JOIN p ON p.ride_id = g.ride_id AND p.seq = g.seq + 1)),
+k AS (SELECT *, lead(id) OVER w AS b, lead(x) OVER w AS bx, lead(y) OVER w AS yy FROM g WHERE keep AND last > 0 WINDOW w AS (PARTITION BY ride_id ORDER BY seq)),
+r AS (SELECT s, ax, ay, ax + 30 - s % 7 * 10 AS bx, ay + 25.5 AS yy FROM (SELECT c_custkey AS s, c_custkey % 97 * 11.25::DOUBLE AS ax, c_custkey % 41 * 9.5::DOUBLE AS ay FROM customer)),
+j AS (SELECT k.id, k.x, k.y, r.*, ((k.x - ax) * (r.bx - ax) + (k.y - ay) * (r.yy - ay)) / (pow(r.bx - ax, 2) + pow(r.yy - ay, 2)) AS t FROM k JOIN r ON k.x BETWEEN least(ax, r.bx) - 15 AND greatest(ax, r.bx) + 15 AND k.y BETWEEN ay - 15 AND r.yy + 15),
+n AS (SELECT *, sqrt(pow(x - ax - greatest(0, least(1, t)) * (bx - ax), 2) + pow(y - ay - greatest(0, least(1, t)) * (yy - ay), 2)) AS d FROM j),
+l AS (SELECT * FROM n WHERE d <= 15 QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(d, 6), s) = 1),
+e AS (SELECT id AS a, b, sqrt(pow(bx - x, 2) + pow(yy - y, 2)) AS meters, 'track' AS kind FROM k WHERE b IS NOT NULL UNION ALL SELECT id, CASE WHEN t < 0.5 THEN s ELSE s + 1 END, CASE WHEN t < 0.5 THEN sqrt(pow(x - ax, 2) + pow(y - ay, 2)) ELSE sqrt(pow(x - bx, 2) + pow(y - yy, 2)) END, 'link' FROM l) SELECT a, b, round(meters, 4) AS meters, round(2 * meters, 4) AS cost, kind FROM e"""),
     "graph_build": (graph_build, "WITH o AS (SELECT o_orderkey AS i, o_custkey AS way, (o_orderkey * 7919) % 41 * 2 AS x, (o_orderkey * 104729) % 43 * 2 AS y FROM orders), n AS (SELECT *, min(i) OVER (PARTITION BY x, y) AS a FROM o), l AS (SELECT *, lead(a) OVER w AS b, lead(x) OVER w AS bx, lead(y) OVER w AS yy FROM n WINDOW w AS (PARTITION BY way ORDER BY i)), m AS (SELECT *, sqrt(pow(bx - x, 2) + pow(yy - y, 2)) * 2.5::DOUBLE AS meters FROM l WHERE b <> a) SELECT way, i, a, b, round(meters, 4) AS meters, round(meters * (1 + way % 3), 4) AS forward, round(meters * (1 + way % 5), 4) AS backward, (way % 4)::INT AS rank FROM m WHERE way IN (SELECT c_custkey FROM customer)"),
 }
