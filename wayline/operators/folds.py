@@ -77,19 +77,64 @@ def off_line(a: tuple, b: tuple, p: tuple) -> float:
     return math.hypot(px - u * dx, py - u * dy)
 
 
-FOLDS: dict[str, Callable[[float], Fold]] = {"spacing": spacing, "interval": interval, "data_saver": data_saver}
+def hull(points: list[tuple]) -> list[tuple]:
+    """The corners of the points' convex hull."""
+    def chain(ordered: list[tuple]) -> list[tuple]:
+        out: list[tuple] = []
+        for p in ordered:
+            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) <= (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]):
+                out.pop()
+            out.append(p)
+        return out
+
+    ordered = sorted(set(points))
+    return ordered if len(ordered) < 3 else chain(ordered)[:-1] + chain(ordered[::-1])[:-1]
+
+
+def corridor(meters: float, trim: int = 64) -> Fold:
+    """The line from the last kept fix is drawn on while all fixes between stay within `meters` of it. Distance from a
+    segment is convex, so the corners of the hull of those fixes stand for all of them."""
+    kept_at: tuple[float, float] | None = None
+    before: tuple[float, float, int] | None = None
+    between: list[tuple] = []
+    full = trim
 
+    def step(x: float, y: float, t: float, seq: int, last: bool) -> list[int]:
+        nonlocal kept_at, before, between, full
+        out = []
+        if kept_at is None:
+            kept_at = (x, y)
+            return [seq]
+        if any(off_line(kept_at, (x, y), p) > meters for p in between):
+            kept_at, between, full = before[:2], [], trim
+            out.append(before[2])
+        before = (x, y, seq)
+        between.append((x, y))
+        if len(between) >= full:
+            between = hull(between)
+            full = max(trim, 2 * len(between))
+        return [*out, seq] if last else out
 
-def kept(fixes: DataFrame, algorithm: str, value: float) -> DataFrame:
-    """(ride_id, seq) of the fixes (ride_id, seq, lat, lng, t_ms) that a fold keeps, in metres from the ride's first
-    fix at the scale of its mean latitude. Null positions and times are no fixes and go first."""
-    f = fixes.select("ride_id", "seq", "lat", "lng", "t_ms").dropna()
+    return step
+
+
+FOLDS: dict[str, Callable[[float], Fold]] = {"spacing": spacing, "interval": interval, "data_saver": data_saver, "corridor": corridor}
+
+
+def planar(fixes: DataFrame, *more: str) -> DataFrame:
+    """(ride_id, seq, t_ms, x, y, is_last, *more) of the fixes (ride_id, seq, lat, lng, t_ms, *more): metres from the
+    ride's first fix at the scale of its mean latitude. Fixes with a null in one of these are no fixes and go first."""
+    f = fixes.select("ride_id", "seq", "lat", "lng", "t_ms", *more).dropna()
     per = f.groupBy(F.col("ride_id").alias("_r")).agg(F.avg("lat").alias("mean"), F.min_by("lat", "seq").alias("lat0"), F.min_by("lng", "seq").alias("lng0"), F.max("seq").alias("last"))
-    planar = f.join(per, F.col("ride_id") == F.col("_r")).select(
+    return f.join(per, F.col("ride_id") == F.col("_r")).select(
         "ride_id", "seq", "t_ms", ((F.col("lng") - F.col("lng0")) * PER_LNG * F.cos(F.radians("mean"))).alias("x"),
-        ((F.col("lat") - F.col("lat0")) * PER_LAT).alias("y"), (F.col("seq") == F.col("last")).alias("is_last"),
+        ((F.col("lat") - F.col("lat0")) * PER_LAT).alias("y"), (F.col("seq") == F.col("last")).alias("is_last"), *more,
     )
-    return kept_planar(planar, algorithm, value)
+
+
+def kept(fixes: DataFrame, algorithm: str, value: float) -> DataFrame:
+    """(ride_id, seq) of the fixes (ride_id, seq, lat, lng, t_ms) that a fold keeps."""
+    return kept_planar(planar(fixes), algorithm, value)
 
 
 def kept_planar(planar: DataFrame, algorithm: str, value: float) -> DataFrame:

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import itertools
+import math
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import dbl, segment_distance
+from .folds import in_order
 
 
 def _limits(p: Column, d: Column, size: float) -> tuple[Column, Column]:
@@ -44,14 +49,25 @@ def retraced(edges: DataFrame, track: DataFrame, reach: float = 20.0, along: flo
 
 def placed_markers(markers: DataFrame, apart: float) -> DataFrame:
     """Markers (group_id, n, x, y) that fit: every tenth first, then every fifth, then the rest, each unless it would
-    lie closer than `apart` to one placed before."""
+    lie closer than `apart` on both axes to one placed before. A cell of side `apart` takes one marker at most, so a
+    task carries only what the drawing area has room for, and each marker is held against nine cells. Markers with a
+    null are not placed."""
+    tier = F.when(F.col("n") % 10 == 0, 0).when(F.col("n") % 5 == 0, 1).otherwise(2)
+    m = markers.select("group_id", "n", F.col("x").cast("double"), F.col("y").cast("double")).dropna().withColumn("tier", tier)
 
-    def place(pdf: pd.DataFrame) -> pd.DataFrame:
-        tier = pdf["n"].map(lambda n: 0 if n % 10 == 0 else 1 if n % 5 == 0 else 2)
-        kept: list[tuple[int, float, float]] = []
-        for n, x, y in pdf.assign(tier=tier).sort_values(["tier", "n"])[["n", "x", "y"]].itertuples(index=False):
-            if all(abs(x - a) >= apart or abs(y - b) >= apart for _, a, b in kept):
-                kept.append((n, x, y))
-        return pd.DataFrame({"group_id": pdf["group_id"].iloc[0], "n": [k[0] for k in kept]})
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, taken = None, {}
+        for batch in batches:
+            groups, placed = [], []
+            for g, n, x, y in zip(*[batch.column(c).to_pylist() for c in ("group_id", "n", "x", "y")]):
+                if g != group:
+                    group, taken = g, {}
+                cx, cy = math.floor(x / apart), math.floor(y / apart)
+                near = [taken[c] for c in itertools.product((cx - 1, cx, cx + 1), (cy - 1, cy, cy + 1)) if c in taken]
+                if all(abs(x - a) >= apart or abs(y - b) >= apart for a, b in near):
+                    taken[cx, cy] = (x, y)
+                    groups.append(g)
+                    placed.append(n)
+            yield pa.RecordBatch.from_arrays([pa.array(groups, pa.int64()), pa.array(placed, pa.int64())], names=["group_id", "n"])
 
-    return markers.select("group_id", "n", "x", "y").groupBy("group_id").applyInPandas(place, "group_id long, n long")
+    return in_order(m, "group_id", "tier", "n", "x", "y").mapInArrow(place, "group_id long, n long")

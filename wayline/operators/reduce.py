@@ -1,19 +1,24 @@
-"""Path reduction: per ride, which fixes to keep. Each algorithm is a small kernel over one ride's arrays, run by
-applyInPandas; the registry is the extension point (id -> kernel, first parameter first)."""
+"""Path reduction: per ride, which fixes to keep. The registry is the extension point (id -> kernel over one ride's
+arrays, first parameter first); `reduce_rides` runs folds and rounds of splits in their place where it can."""
 
 from __future__ import annotations
 
+import functools
 import heapq
 from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import segment_distance
 from . import folds
 from .folds import PER_LAT, PER_LNG
+from .graph import written
+
+SPEED_PER_METER = 0.25
 
 
 @dataclass
@@ -66,7 +71,7 @@ def farthest_point(ride: Ride, tolerance: float) -> list[int]:
     return _split(ride, lambda a, b, i: ride.off_line(a, b, i) / tolerance)
 
 
-def farthest_point_or_speed(ride: Ride, tolerance: float, speed_per_meter: float = 0.25) -> list[int]:
+def farthest_point_or_speed(ride: Ride, tolerance: float, speed_per_meter: float = SPEED_PER_METER) -> list[int]:
     return _split(ride, lambda a, b, i: np.maximum(ride.off_line(a, b, i) / tolerance, np.abs(ride.v[i] - ride.mean_speed(a, b)) / (tolerance * speed_per_meter)))
 
 
@@ -146,18 +151,82 @@ def kept_indices(ride: Ride, algorithm: str, value: float) -> list[int]:
     return list(range(len(ride.x))) if len(ride.x) < 3 else sorted(set(REGISTRY[algorithm][0](ride, value)))
 
 
+#: ranges of more fixes than this are split by Spark in rounds, smaller ones within a task
+RANGE_IN_TASK = 20_000
+
+
+def _score(tolerance: float, by_speed: bool) -> Column:
+    """The score of fix p of the range a .. b, as the kernels have it."""
+    off = segment_distance(*[F.col(c) for c in ("p.x", "p.y", "a.x", "a.y", "b.x", "b.y")]) / tolerance
+    if not by_speed:
+        return off
+    span = F.col("b.t_ms") - F.col("a.t_ms")
+    mean = F.when(span > 0, (F.col("b.moved") - F.col("a.moved")) / span).otherwise((F.col("a.speed") + F.col("b.speed")) / 2)
+    return F.greatest(off, F.abs(F.col("p.speed") - mean) / (tolerance * SPEED_PER_METER))
+
+
+def split_kept(fixes: DataFrame, tolerance: float, by_speed: bool = False, in_task: int = RANGE_IN_TASK) -> DataFrame:
+    """(ride_id, seq) that `farthest_point` (or its form by speed) keeps. A round finds the best fix of each range of
+    more than `in_task` fixes by a partial aggregate and parts the range there; what is left is split by groups that
+    fit a task. Fixes with a null are no fixes and go first."""
+    points = folds.planar(fixes, "speed") if by_speed else folds.planar(fixes).withColumn("speed", F.lit(0.0))
+    if by_speed:
+        w = Window.partitionBy("ride_id").orderBy("seq")
+        step = (F.col("speed") + F.lag("speed").over(w)) / 2 * (F.col("t_ms") - F.lag("t_ms").over(w))
+        points = points.withColumn("step", F.coalesce(step, F.lit(0.0))).withColumn("moved", F.sum("step").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    else:
+        points = points.withColumn("moved", F.lit(0.0))
+    points = points.select("ride_id", F.struct("seq", "x", "y", "t_ms", "speed", "moved").alias("p"))
+    ends = written(points.groupBy("ride_id").agg(F.min("p").alias("a"), F.max("p").alias("b"), F.count("*").alias("n")))
+    kept = [ends.select("ride_id", F.explode(F.array_distinct(F.array("a.seq", "b.seq"))).alias("seq"))]
+    ranges = points.join(ends, "ride_id").where("p.seq > a.seq AND p.seq < b.seq").select("ride_id", "p", "a", "b", "n")
+    small = [ranges.where(F.col("n") <= in_task)]
+    more = not ends.where(F.col("n") > in_task).isEmpty()
+    while more:
+        large = ranges.where(F.col("n") > in_task)
+        best = F.max(F.struct(_score(tolerance, by_speed).alias("score"), (-F.col("p.seq")).alias("first"), "p")).alias("cut")
+        cut = written(large.groupBy("ride_id", F.col("a.seq").alias("at")).agg(best).where("cut.score > 1").select("ride_id", "at", F.col("cut.p").alias("cut")))
+        kept.append(cut.select("ride_id", "cut.seq"))
+        left, right = F.col("p.seq") < F.col("cut.seq"), F.col("p.seq") > F.col("cut.seq")
+        parted = large.withColumn("at", F.col("a.seq")).join(cut, ["ride_id", "at"]).where(left | right)
+        parted = written(parted.select("ride_id", "p", F.when(left, F.col("a")).otherwise(F.col("cut")).alias("a"), F.when(left, F.col("cut")).otherwise(F.col("b")).alias("b")))
+        parted = parted.withColumn("at", F.col("a.seq"))
+        sizes = written(parted.groupBy("ride_id", "at").agg(F.count("*").alias("n")))
+        ranges = parted.join(sizes, ["ride_id", "at"]).select("ride_id", "p", "a", "b", "n")
+        small.append(ranges.where(F.col("n") <= in_task))
+        more = not sizes.where(F.col("n") > in_task).isEmpty()
+
+    columns = ("x", "y", "t_ms", "speed", "moved")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("seq")
+        x, y, t, v, moved = (np.concatenate([pdf[f"a_{c}"].to_numpy(float)[:1], pdf[f"p_{c}"].to_numpy(float), pdf[f"b_{c}"].to_numpy(float)[:1]]) for c in columns)
+        part = Ride(x, y, t, v, t, moved)
+        inner = (farthest_point_or_speed if by_speed else farthest_point)(part, tolerance)[1:-1]
+        return pdf.iloc[[i - 1 for i in inner]][["ride_id", "seq"]]
+
+    flat = [F.col(f"{e}.{c}").alias(f"{e}_{c}") for e in "pab" for c in columns]
+    rest = functools.reduce(DataFrame.unionByName, [s.select("ride_id", F.col("a.seq").alias("at"), F.col("p.seq").alias("seq"), *flat) for s in small])
+    kept.append(rest.groupBy("ride_id", "at").applyInPandas(run, "ride_id long, seq long"))
+    return functools.reduce(DataFrame.unionByName, kept)
+
+
 def reduce_rides(fixes: DataFrame, algorithm: str, value: float | None = None) -> DataFrame:
-    """(ride_id, seq) of the kept fixes. What needs only the last kept fixes is a fold over sorted rows; for the others
-    a ride is one group: its fixes fit a task, as they fit a device."""
+    """(ride_id, seq) of the kept fixes; those with a null position or time are no fixes. What needs only the last kept
+    fixes is a fold over sorted rows, splitting goes by rounds; for the least area, whose order is that of the whole
+    ride, a ride is one group: its fixes fit a task, as they fit a device."""
     value = REGISTRY[algorithm][1] if value is None else value
     if algorithm in folds.FOLDS:
         return folds.kept(fixes, algorithm, value)
+    if algorithm in ("farthest_point", "farthest_point_or_speed"):
+        return split_kept(fixes, value, algorithm == "farthest_point_or_speed")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("seq")
         return pdf.iloc[kept_indices(Ride.of(pdf), algorithm, value)][["ride_id", "seq"]]
 
-    return fixes.select("ride_id", "seq", "lat", "lng", "t_ms", "speed").groupBy("ride_id").applyInPandas(run, "ride_id long, seq long")
+    known = fixes.select("ride_id", "seq", "lat", "lng", "t_ms", "speed").dropna(subset=["ride_id", "seq", "lat", "lng", "t_ms"])
+    return known.groupBy("ride_id").applyInPandas(run, "ride_id long, seq long")
 
 
 def _tuned(ride: Ride, algorithm: str, want: int, steps: int = 22) -> tuple[float, list[int]]:
