@@ -116,3 +116,50 @@ def test_spatial_joins_at_cell_borders(spark):
     got = spatial.within(spark.createDataFrame(pts, "id long, lat double, lng double"), spark.createDataFrame(idx, "section_id long, lat double, lng double, bearing double"), radius=40.0)
     far = lambda p, s: np.hypot((s[1] - p[1]) * 110574, (s[2] - p[2]) * 111320 * np.cos(np.radians((p[1] + s[1]) / 2)))
     assert {(r.id, r.section_id) for r in got.collect()} == {(p[0], s[0]) for p in pts for s in idx if far(p, s) <= 40.0}
+
+
+def test_sections_ahead_of_a_rider(spark):
+    k = 1 / 110574.0  # degrees a metre
+    sections = [  # south to north unless said: id, from metre, to metre north, both ways, speed
+        (1, -60.0, -3.0, False, 5.0),  # just ridden
+        (2, 0.0, 80.0, False, 5.0),  # the rider's own
+        (3, 80.0, 0.0, False, 5.0),  # its twin back
+        (4, 90.0, 140.0, False, 5.0),  # ahead, leading away
+        (5, 140.0, 90.0, False, 5.0),  # ahead, leading here
+        (6, 140.0, 90.0, True, 5.0),  # ahead, both ways
+        (7, -140.0, -90.0, True, 5.0),  # behind
+        (8, 90.0, 140.0, False, None),  # never timed
+        (9, 400.0, 450.0, True, 5.0),  # too far
+        (10, -60.0, -3.0, True, 5.0),  # just ridden, and back
+    ]
+    df = spark.createDataFrame([(i, a * k, 0.0, b * k, 0.0, (a + b) / 2 * k, 0.0, 0.0 if b > a else 180.0, w, v) for i, a, b, w, v in sections], "section_id long, lat double, lng double, lat2 double, lng2 double, mid_lat double, mid_lng double, bearing double, both_ways boolean, speed double")
+    points = spark.createDataFrame([(1, 0.0, 0.0, 0.0), (2, 0.0, 0.0, 180.0), (3, 0.0, 0.0, None), (4, None, 0.0, 0.0)], "id long, lat double, lng double, heading double")
+    got = {}
+    for r in spatial.ahead(points, df).collect():
+        got.setdefault(r.id, set()).add(r.section_id)
+    assert got == {1: {2, 4, 6}, 2: {7, 10}, 3: {2, 4, 6, 7, 10}}
+    assert spatial.ahead(points.where("false"), df).count() == 0
+
+
+def test_scores_of_a_reduction():
+    t = np.array([0, 1000, 2000, 4000, 5000, 7000, 8000.0])
+    v = np.array([1, 2, 6, 3, 4, 8, 5.0])
+    lat = np.array([0, 1, 2, 2, 3, 5, 6]) * 1e-4
+    lng = np.array([0, 1, 0, 2, 2, 1, 1]) * 1e-4
+    ride = reduce.Ride.of(pd.DataFrame({"lat": lat, "lng": lng, "t_ms": t, "speed": v}))
+    kept = [0, 3, 6]
+    got = reduce.scores(ride, kept)
+    x, y = ride.x, ride.y
+    mean = lambda a, b: sum((v[i] + v[i + 1]) / 2 * (t[i + 1] - t[i]) for i in range(a, b)) / (t[b] - t[a])
+    at = {0: mean(0, 1), 3: mean(1, 4), 6: mean(4, 6)}
+    off, drop, seg = [], [], []
+    for a, b in ((0, 3), (3, 6)):
+        for i in range(a, b):
+            u = max(0, min(1, ((x[i] - x[a]) * (x[b] - x[a]) + (y[i] - y[a]) * (y[b] - y[a])) / ((x[b] - x[a]) ** 2 + (y[b] - y[a]) ** 2)))
+            off.append(np.hypot(x[i] - x[a] - u * (x[b] - x[a]), y[i] - y[a] - u * (y[b] - y[a])))
+            drop.append(abs(v[i] - at[a] - (at[b] - at[a]) * (t[i] - t[a]) / (t[b] - t[a])))
+            seg.append(abs(v[i] - mean(a, b)))
+    way = lambda p: sum(np.hypot(x[b] - x[a], y[b] - y[a]) for a, b in zip(p, p[1:]))
+    want = {"mean_off": sum(off) / 7, "p95_off": max(off), "max_off": max(off), "length_change": way(kept) / way(range(7)) - 1, "speed_mean": sum(drop) / 7, "speed_max": max(drop), "span_speed_mean": sum(seg) / 7, "span_speed_max": max(seg), "peak_kept": max(at.values()) / 8}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want), (got, want)
+    assert reduce.scores(reduce.Ride.of(pd.DataFrame({"lat": lat[:1], "lng": lng[:1], "t_ms": t[:1], "speed": v[:1]})), [0]) == {k: float(k == "peak_kept") for k in want}

@@ -244,17 +244,41 @@ def _tuned(ride: Ride, algorithm: str, want: int, steps: int = 22) -> tuple[floa
     return best[1], best[2]
 
 
+SCORES = ("mean_off", "p95_off", "max_off", "length_change", "speed_mean", "speed_max", "span_speed_mean", "span_speed_max", "peak_kept")
+
+
+def scores(ride: Ride, kept: list[int]) -> dict[str, float]:
+    """What the kept fixes lose: distance of each fix from the line kept in its place (mean, 95 %, most), change of the
+    length as a share, and each fix's speed against that read between the kept ones and against its span's mean (mean,
+    most). A kept fix's speed is the mean over half of the spans beside it; `peak_kept` is the highest of these by the
+    ride's highest. A ride of fewer than two kept fixes loses nothing."""
+    n, at = len(ride.x), np.array(kept)
+    if len(kept) < 2:
+        return {s: float(s == "peak_kept") for s in SCORES}
+    low, high = np.append(at[0], (at[:-1] + at[1:]) // 2), np.append((at[:-1] + at[1:]) // 2, at[-1])
+    speed = np.array([ride.mean_speed(a, b) if b > a else ride.v[k] for a, b, k in zip(low, high, kept)])
+    off, read, span = np.zeros(n), np.zeros(n), np.zeros(n)
+    for k, (a, b) in enumerate(zip(kept, kept[1:])):
+        i = np.arange(a, b)
+        off[i] = ride.off_line(a, b, i)
+        u = (ride.t[i] - ride.t[a]) / (ride.t[b] - ride.t[a]) if ride.t[b] > ride.t[a] else 0.0
+        read[i] = np.abs(ride.v[i] - speed[k] - (speed[k + 1] - speed[k]) * u)
+        span[i] = np.abs(ride.v[i] - ride.mean_speed(a, b))
+    length, left = (np.hypot(np.diff(x), np.diff(y)).sum() for x, y in ((ride.x, ride.y), (ride.x[at], ride.y[at])))
+    peak = max(0.0, ride.v.max())
+    found = (off.mean(), np.sort(off)[min(n - 1, int(0.95 * n))], off.max(), (left - length) / length if length else 0.0, read.mean(), read.max(), span.mean(), span.max(), max(0.0, speed.max()) / peak if peak else 1.0)
+    return dict(zip(SCORES, map(float, found)))
+
+
 def compare(fixes: DataFrame, share: float = 0.25) -> DataFrame:
-    """Every ride by every algorithm, tuned to keep a share of the fixes: kept count, mean and 95 % deviation."""
+    """Every ride by every algorithm, tuned to keep a share of the fixes: kept count and `scores`."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("seq")
         ride, algorithm = Ride.of(pdf), pdf["algorithm"].iloc[0]
         n = len(pdf)
         _, kept = _tuned(ride, algorithm, max(2, round(n * share)))
-        off = np.zeros(n)
-        for a, b in zip(kept, kept[1:]):
-            off[a + 1 : b] = ride.off_line(a, b, np.arange(a + 1, b))
-        return pd.DataFrame({"ride_id": [pdf["ride_id"].iloc[0]], "algorithm": [algorithm], "n": [n], "n_kept": [len(kept)], "mean_off": [off.mean()], "p95_off": [np.sort(off)[min(n - 1, int(0.95 * n))]]})
+        return pd.DataFrame([{"ride_id": pdf["ride_id"].iloc[0], "algorithm": algorithm, "n": n, "n_kept": len(kept), **scores(ride, kept)}])
 
-    pairs = fixes.select("ride_id", "seq", "lat", "lng", "t_ms", "speed", F.explode(F.array(*[F.lit(a) for a in REGISTRY])).alias("algorithm"))
-    return pairs.groupBy("ride_id", "algorithm").applyInPandas(run, "ride_id long, algorithm string, n long, n_kept long, mean_off double, p95_off double")
+    known = fixes.select("ride_id", "seq", "lat", "lng", "t_ms", "speed").dropna(subset=["ride_id", "seq", "lat", "lng", "t_ms"])
+    pairs = known.withColumn("algorithm", F.explode(F.array(*[F.lit(a) for a in REGISTRY])))
+    return pairs.groupBy("ride_id", "algorithm").applyInPandas(run, "ride_id long, algorithm string, n long, n_kept long, " + ", ".join(f"{s} double" for s in SCORES))

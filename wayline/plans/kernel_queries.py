@@ -21,7 +21,7 @@ def _reducer(algorithm: str):
 
 
 def reduce_compare(spark, d):
-    return P.compare(fix(spark, d)).select("ride_id", "algorithm", "n", "n_kept", F.round("mean_off", 4).alias("mean_off"), F.round("p95_off", 4).alias("p95_off"))
+    return P.compare(fix(spark, d)).select("ride_id", "algorithm", "n", "n_kept", *[F.round(s, 4).alias(s) for s in P.SCORES])
 
 
 def _edges(spark, d):

@@ -154,6 +154,12 @@ def sections_ahead(spark, d):
     return S.within(_points(spark, d), S.samples(_sections(spark, d))).select("id", "section_id", F.round("distance", 3).alias("distance"))
 
 
+def sections_on_the_way(spark, d):
+    """Every third section serves both ways."""
+    s = _sections(spark, d).withColumn("both_ways", F.col("section_id") % 3 == 0)
+    return S.ahead(_points(spark, d), s).select("id", "section_id", F.round("distance", 3).alias("distance"))
+
+
 def section_samples(spark, d):
     return S.samples(_sections(spark, d)).groupBy("section_id").agg(F.count("*").alias("n"), F.round(F.avg("lat"), 6).alias("lat"))
 
@@ -199,6 +205,22 @@ _FR = ", fr AS (SELECT *, min(CASE WHEN speed > 0 THEN speed END) OVER (PARTITIO
 _N = "TIMESTAMP '2001-07-15 12:00:00'"
 _SEC = ", e AS (SELECT ride_id, seq // 5 AS k, lat + ride_id % 53 * 0.02::DOUBLE AS lat, lng, speed FROM fix WHERE seq % 5 = 0), s0 AS (SELECT *, lead(lat) OVER (PARTITION BY ride_id ORDER BY k) AS lat2, lead(lng) OVER (PARTITION BY ride_id ORDER BY k) AS lng2 FROM e), sec AS (SELECT ride_id, ride_id * 100000 + k AS section_id, lat, lng, lat2, lng2, degrees(atan2((lng2 - lng) * 111320 * cos(radians((lat + lat2) / 2)), (lat2 - lat) * 110574)) AS b, greatest(1, ceil(sqrt(pow((lat2 - lat) * 110574, 2) + pow((lng2 - lng) * 111320 * cos(radians((lat + lat2) / 2)), 2)) / 8))::BIGINT AS n FROM s0 WHERE lat2 IS NOT NULL), smp0 AS (SELECT *, unnest(range(0, n + 1)) AS i FROM sec), smp AS (SELECT ride_id % 53 AS strip, section_id, b, lat + (lat2 - lat) * (i / n) AS lat, lng + (lng2 - lng) * (i / n) AS lng FROM smp0), moved AS (SELECT ride_id, seq, lat + ride_id % 53 * 0.02::DOUBLE AS lat, plat + ride_id % 53 * 0.02::DOUBLE AS plat, lng, plng FROM step0), pts AS (SELECT ride_id * 100000 + seq AS id, ride_id % 53 AS strip, lat, lng, degrees(atan2((lng - plng) * 111320 * cos(radians((plat + lat) / 2)), (lat - plat) * 110574)) AS h FROM moved)"
 _D = "sqrt(pow((s.lat - p.lat) * 110574, 2) + pow((s.lng - p.lng) * 111320 * cos(radians((p.lat + s.lat) / 2)), 2))"
+_TO = "degrees(atan2(({lng} - p.lng) * 111320 * cos(radians((p.lat + {lat}) / 2)), ({lat} - p.lat) * 110574))"
+_ASIDE = "round(least(abs({a} - ({b})) % 360, 360 - abs({a} - ({b})) % 360), 6)"
+
+
+def _to_come(lat, lng):
+    metres = f"round(sqrt(pow(({lat} - p.lat) * 110574, 2) + pow(({lng} - p.lng) * 111320 * cos(radians((p.lat + {lat}) / 2)), 2)), 6)"
+    return f"({metres} > 5 AND (h IS NULL OR {_ASIDE.format(a='h', b=_TO.format(lat=lat, lng=lng))} < 90))"
+
+
+_OUT = _TO.format(lat="((s.lat + s.lat2) / 2)", lng="((s.lng + s.lng2) / 2)")
+_AHEAD = (
+    f", m AS (SELECT p.id, s.section_id, min({_D}) AS d FROM pts p JOIN smp s ON s.strip = p.strip WHERE {_D} <= 150 GROUP BY ALL), "
+    f"c AS (SELECT m.*, h IS NULL AS free, s.section_id % 3 = 0 AS two, {_ASIDE.format(a='h', b='s.b')} AS off, {_to_come('s.lat2', 's.lng2')} AS e1, {_to_come('s.lat', 's.lng')} AS e0, "
+    f"{_ASIDE.format(a='h', b=_OUT)} AS aside, {_ASIDE.format(a='s.b', b=_OUT)} AS leads FROM m JOIN pts p USING (id) JOIN sec s USING (section_id) WHERE s.speed IS NOT NULL) "
+    "SELECT id, section_id, round(d, 3) AS distance FROM c WHERE CASE WHEN round(d, 6) <= 30 THEN (e1 OR (two AND e0)) AND (free OR CASE WHEN two THEN least(off, 180 - off) ELSE off END <= 45) ELSE (free OR aside <= 100) AND (two OR leads < 90) END"
+)
 _SEG = "WITH seg0 AS (SELECT " + _SEGMENT.replace("7.0D", "7.0::DOUBLE").replace(" AS by", " AS dy") + " FROM lineitem), seg AS (SELECT segment_id, min(ax) AS ax, min(ay) AS ay, min(bx) AS bx, min(dy) AS dy, min(level) AS level FROM seg0 GROUP BY segment_id)"
 
 QUERIES = {
@@ -229,6 +251,7 @@ QUERIES = {
     "section_passes_by_ride": (section_passes_by_ride, _L + ", " + RIDE_SQL + ", b AS (SELECT section_id, first(ride_id ORDER BY speed DESC, ride_date, ride_id) AS best_ride_id FROM lap GROUP BY section_id) SELECT section_id, best_ride_id, activity, route_id FROM b LEFT JOIN (SELECT id, activity, route_id FROM ride WHERE pace_mapped) r ON r.id = b.best_ride_id"),
     "section_nearest": (section_nearest, "WITH " + STEP_SQL + _SEC + f", m AS (SELECT p.id, s.section_id, {_D} AS d FROM pts p JOIN smp s ON s.strip = p.strip WHERE least(abs(h - b) % 360, 360 - abs(h - b) % 360) <= 45 OR h IS NULL) SELECT id, first(section_id ORDER BY round(d, 6), section_id DESC) AS section_id, round(min(d), 3) AS distance FROM m WHERE d <= 25 GROUP BY id"),
     "sections_ahead": (sections_ahead, "WITH " + STEP_SQL + _SEC + f", m AS (SELECT p.id, s.section_id, {_D} AS d FROM pts p JOIN smp s ON s.strip = p.strip) SELECT id, section_id, round(min(d), 3) AS distance FROM m WHERE d <= 150 GROUP BY ALL"),
+    "sections_on_the_way": (sections_on_the_way, "WITH " + STEP_SQL + _SEC.replace("lat2, lng2, degrees", "lat2, lng2, speed, degrees") + _AHEAD),
     "section_samples": (section_samples, "WITH " + STEP_SQL + _SEC + "SELECT section_id, count(*) AS n, round(avg(lat), 6) AS lat FROM smp GROUP BY section_id"),
     "nearest_segment": (nearest_segment, _SEG + ", p AS (SELECT c_custkey AS id, (c_custkey % 101) * 6.5::DOUBLE AS x, (c_custkey % 83) * 7.5::DOUBLE AS y FROM customer), u AS (SELECT *, CASE WHEN ax = bx AND ay = dy THEN 0 ELSE greatest(0, least(1, ((x - ax) * (bx - ax) + (y - ay) * (dy - ay)) / (pow(bx - ax, 2) + pow(dy - ay, 2)))) END AS u FROM p JOIN seg ON x BETWEEN least(ax, bx) - 20 AND greatest(ax, bx) + 20 AND y BETWEEN least(ay, dy) - 20 AND greatest(ay, dy) + 20), d AS (SELECT id, segment_id, sqrt(pow(x - ax - u * (bx - ax), 2) + pow(y - ay - u * (dy - ay), 2)) AS d FROM u) SELECT id, first(segment_id ORDER BY round(d, 6), segment_id) AS segment_id, round(min(d), 4) AS distance FROM d WHERE d <= 20 GROUP BY id"),
     "segment_crossings": (segment_crossings, _SEG + ", j AS (SELECT a.segment_id, b.segment_id AS other, a.ax, a.ay, a.bx - a.ax AS rx, a.dy - a.ay AS ry, b.bx - b.ax AS sx, b.dy - b.ay AS sy, b.ax - a.ax AS qx, b.ay - a.ay AS qy FROM seg a JOIN seg b ON a.level = b.level AND a.segment_id < b.segment_id AND least(a.ax, a.bx) <= greatest(b.ax, b.bx) AND least(b.ax, b.bx) <= greatest(a.ax, a.bx) AND least(a.ay, a.dy) <= greatest(b.ay, b.dy) AND least(b.ay, b.dy) <= greatest(a.ay, a.dy)), k AS (SELECT *, (qx * sy - qy * sx) / (rx * sy - ry * sx) AS u, (qx * ry - qy * rx) / (rx * sy - ry * sx) AS v FROM j WHERE rx * sy - ry * sx <> 0) SELECT segment_id, other, round(ax + u * rx + 1e-9, 4) AS x, round(ay + u * ry + 1e-9, 4) AS y FROM k WHERE u > 0 AND u < 1 AND v > 0 AND v < 1"),
