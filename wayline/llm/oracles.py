@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import queries_vectors
 from .quality_rules import BLOCKED
 
 _WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
@@ -65,4 +66,4 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM t0 JOIN sysrep s USING (conv_id) LEFT JOIN past p USING (conv_id) GROUP BY conv_id
 """
 
-ORACLES = {"op1_chat_formatting": OP1, "op2_quality_rules": OP2, "op10_ngram_join": OP10}
+ORACLES = {"op1_chat_formatting": OP1, "op2_quality_rules": OP2, "op10_ngram_join": OP10, **queries_vectors.ORACLES}

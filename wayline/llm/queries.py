@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat_formatting, decontamination, ngram_join, packing, pii, quality_classifier, quality_rules, secret_scans, sharding, suffix_dedup
+from . import queries_vectors
 from .common import table
 
 
@@ -80,4 +81,5 @@ QUERIES = {
     "op8_secret_scans": op8_secret_scans,
     "op9_pii": op9_pii,
     "op10_ngram_join": op10_ngram_join,
+    **queries_vectors.QUERIES,
 }
