@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_formatting, decontamination, ngram_join, packing, pii, quality_classifier, quality_rules, secret_scans, sharding, suffix_dedup
+from . import chat_formatting, decontamination, ngram_join, packing, pii, quality_classifier, quality_rules, secret_scans, sharding, simhash, suffix_dedup
 from . import queries_vectors
 from .common import table
 
@@ -70,6 +70,11 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.group_ids(rows, roots)
 
 
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _, roots = simhash.join(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return simhash.digest(rows, roots)
+
+
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_quality_rules": op2_quality_rules,
@@ -82,4 +87,5 @@ QUERIES = {
     "op9_pii": op9_pii,
     "op10_ngram_join": op10_ngram_join,
     **queries_vectors.QUERIES,
+    "op13_simhash": op13_simhash,
 }
