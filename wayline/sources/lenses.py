@@ -103,3 +103,49 @@ LAP_SQL = """
 lap AS (SELECT l_partkey AS section_id, l_linestatus AS direction, l_orderkey AS ride_id, o_orderdate AS ride_date, l_quantity / 4 AS speed,
   l_discount - 0.05::DOUBLE AS grade, p_size + 60::DOUBLE AS meters FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey)
 """
+
+
+def _hash32(c) -> F.Column:
+    """A number from 0 to 2^32 - 1 that SQL gives alike."""
+    return F.conv(F.substring(F.md5(c.cast("string").cast("binary")), 1, 8), 16, 10).cast("bigint")
+
+
+def track(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fixes on winding ways: each goes on from the one before at its speed, turned by up to 30 degrees; some stray by
+    some metres, as a receiver's do."""
+    w, upto = Window.partitionBy("user_id").orderBy("event_id"), Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
+    e = read(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", F.regexp_extract("props", '"k": *([0-9]+)', 1).cast("double").alias("k"), F.floor(micros(F.col("ts")) / F.lit(5_000_000)).cast("bigint").alias("t_ms"), _hash32(F.col("event_id")).alias("h"))
+    e = e.withColumns({"seq": (F.row_number().over(w) - 1).cast("bigint"), "dt": F.coalesce(F.col("t_ms") - F.lag("t_ms").over(w), F.lit(0))})
+    e = e.withColumn("way", F.radians((F.col("user_id") * 37 % 360 + F.sum(F.col("h") % 61 - 30).over(upto)).cast("double")))
+    step = (F.col("value") / 20 + dbl(1)) * F.least(F.col("dt"), F.lit(20000)) / 1000
+    e = e.withColumns({"north": F.sum(step * F.cos("way")).over(upto) + (F.col("h") % 7 - 3), "east": F.sum(step * F.sin("way")).over(upto) + (F.col("h") % 5 - 2)})
+    return e.select(
+        F.col("user_id").alias("ride_id"), "seq", "t_ms",
+        F.round(dbl(40) + F.col("user_id") * dbl(0.001) + F.col("north") / 111320, 7).alias("lat"), F.round(dbl(-105) + F.col("east") / 85275, 7).alias("lng"),
+        F.when(F.col("event_type") != "error", dbl(100) + F.col("k") * dbl(0.5)).alias("altitude"),
+        (F.col("value") / 20 + dbl(1)).alias("speed"), F.when(F.col("event_type") != "signup", dbl(8) + F.col("k") * dbl(0.15)).alias("accuracy"), (F.col("event_type") == "error").alias("stopped"),
+    )
+
+
+def recording(fixes: DataFrame) -> DataFrame:
+    """Fixes with the rider's pauses, each from a stopped fix halfway to the next, as rows in the order of time."""
+    w = Window.partitionBy("ride_id").orderBy("seq")
+    f = fixes.withColumn("nxt", F.lead("t_ms").over(w))
+    none = [F.lit(None).cast("double").alias(c) for c in ("lat", "lng", "altitude", "speed", "accuracy")]
+    fix_rows = f.select("ride_id", "t_ms", (F.col("seq") * 2).alias("n"), F.lit("fix").alias("kind"), "seq", "lat", "lng", "altitude", "speed", "accuracy")
+    at = f.where("stopped AND nxt IS NOT NULL")
+    ends = at.select("ride_id", F.explode(F.array(F.struct("t_ms", F.lit("pause").alias("kind")), F.struct(F.expr("t_ms + (nxt - t_ms) div 2").alias("t_ms"), F.lit("resume").alias("kind")))).alias("x"), "seq")
+    return fix_rows.unionByName(ends.select("ride_id", "x.t_ms", (F.col("seq") * 2 + 1).alias("n"), "x.kind", "seq", *none))
+
+
+TRACK_SQL = """
+track0 AS (SELECT event_id, user_id, event_type, value, regexp_extract(props, '"k": *([0-9]+)', 1)::DOUBLE AS k, epoch_us(ts) // 5000000 AS t_ms,
+  ('0x' || left(md5(event_id::VARCHAR), 8))::BIGINT AS h, row_number() OVER w - 1 AS seq, coalesce(epoch_us(ts) // 5000000 - lag(epoch_us(ts) // 5000000) OVER w, 0) AS dt
+  FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+track1 AS (SELECT *, radians((user_id * 37 % 360 + sum(h % 61 - 30) OVER w)::DOUBLE) AS way FROM track0 WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)),
+track2 AS (SELECT *, sum((value / 20 + 1) * least(dt, 20000) / 1000 * cos(way)) OVER w + (h % 7 - 3) AS north, sum((value / 20 + 1) * least(dt, 20000) / 1000 * sin(way)) OVER w + (h % 5 - 2) AS east
+  FROM track1 WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)),
+track AS (SELECT user_id AS ride_id, seq, t_ms, round(40::DOUBLE + user_id * 0.001::DOUBLE + north / 111320, 7) AS lat, round(-105::DOUBLE + east / 85275, 7) AS lng,
+  CASE WHEN event_type <> 'error' THEN 100::DOUBLE + k * 0.5::DOUBLE END AS altitude, value / 20 + 1 AS speed,
+  CASE WHEN event_type <> 'signup' THEN 8::DOUBLE + k * 0.15::DOUBLE END AS accuracy, event_type = 'error' AS stopped FROM track2)
+"""
