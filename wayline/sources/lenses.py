@@ -149,3 +149,32 @@ track AS (SELECT user_id AS ride_id, seq, t_ms, round(40::DOUBLE + user_id * 0.0
   CASE WHEN event_type <> 'error' THEN 100::DOUBLE + k * 0.5::DOUBLE END AS altitude, value / 20 + 1 AS speed,
   CASE WHEN event_type <> 'signup' THEN 8::DOUBLE + k * 0.15::DOUBLE END AS accuracy, event_type = 'error' AS stopped FROM track2)
 """
+
+
+def streets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Roads under the tracks, in metres east and north of theirs: orders as crossings of a bent grid, 40 to a row, each
+    with a street to the next and to the one north of it, of which some are missing. Every fifth line is a main road."""
+    k = F.col("o_orderkey")
+    o = read(spark, sf_dir, "orders").select(k.alias("k"), _hash32(k).alias("h"))
+    node = o.select("k", "h", ((F.col("k") % 40 - 20) * 80 + F.col("h") % 21 - 10).cast("double").alias("x"), (F.expr("k div 40") * 45 - 600 + F.expr("h div 32") % 21 - 10).cast("double").alias("y"))
+    far = node.select(F.col("k").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"))
+    ways = F.array(F.struct(F.lit(0).alias("to_north"), (F.col("k") + 1).alias("b"), (F.expr("k div 40") % 5 == 0).alias("main")), F.struct(F.lit(1).alias("to_north"), (F.col("k") + 40).alias("b"), (F.col("k") % 40 % 5 == 0).alias("main")))
+    e = node.select(F.col("k").alias("a"), "h", F.col("x").alias("ax"), F.col("y").alias("ay"), F.explode(ways).alias("w")).select("a", "h", "ax", "ay", "w.*")
+    there = F.when(F.col("to_north") == 0, (F.col("a") % 40 < 39) & (F.col("h") % 7 != 0)).otherwise(F.col("h") % 11 != 1)
+    rank = F.when(F.col("main"), 1).when(F.col("h") % 13 == 2, 3).otherwise(2)
+    e = e.where(there).join(far, "b").withColumns({"edge": F.col("a") * 2 + F.col("to_north"), "rank": rank, "meters": F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay"))})
+    return e.select("edge", "a", "b", "rank", (F.col("rank") == 3).alias("path"), "meters", "ax", "ay", "bx", "by")
+
+
+def track_points(fixes: DataFrame) -> DataFrame:
+    """The tracks' fixes in metres; some are estimated."""
+    return fixes.select("ride_id", "seq", "t_ms", ((F.col("lng") + 105) * 85275).alias("x"), ((F.col("lat") - 40) * 111320).alias("y"), (F.col("seq") % 17 == 13).alias("estimated"))
+
+
+STREETS_SQL = """
+node AS (SELECT o_orderkey AS k, ('0x' || left(md5(o_orderkey::VARCHAR), 8))::BIGINT AS h FROM orders),
+spot AS (SELECT k, h, ((k % 40 - 20) * 80 + h % 21 - 10)::DOUBLE AS x, ((k // 40) * 45 - 600 + (h // 32) % 21 - 10)::DOUBLE AS y FROM node),
+line AS (SELECT k AS a, h, x, y, 0 AS north, k + 1 AS b, (k // 40) % 5 = 0 AS main FROM spot WHERE k % 40 < 39 AND h % 7 <> 0 UNION ALL SELECT k, h, x, y, 1, k + 40, k % 40 % 5 = 0 FROM spot WHERE h % 11 <> 1),
+street AS (SELECT l.a * 2 + north AS edge, l.a, l.b, CASE WHEN main THEN 1 WHEN l.h % 13 = 2 THEN 3 ELSE 2 END AS rank, NOT main AND l.h % 13 = 2 AS path, sqrt(pow(s.x - l.x, 2) + pow(s.y - l.y, 2)) AS meters, l.x AS ax, l.y AS ay, s.x AS bx, s.y AS yy FROM line l JOIN spot s ON s.k = l.b)
+"""
+TRACK_POINTS_SQL = "point AS (SELECT ride_id, seq, t_ms, stopped, (lng + 105) * 85275 AS x, (lat - 40) * 111320 AS y, seq % 17 = 13 AS estimated FROM track)"
