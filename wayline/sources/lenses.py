@@ -178,3 +178,16 @@ line AS (SELECT k AS a, h, x, y, 0 AS north, k + 1 AS b, (k // 40) % 5 = 0 AS ma
 street AS (SELECT l.a * 2 + north AS edge, l.a, l.b, CASE WHEN main THEN 1 WHEN l.h % 13 = 2 THEN 3 ELSE 2 END AS rank, NOT main AND l.h % 13 = 2 AS path, sqrt(pow(s.x - l.x, 2) + pow(s.y - l.y, 2)) AS meters, l.x AS ax, l.y AS ay, s.x AS bx, s.y AS yy FROM line l JOIN spot s ON s.k = l.b)
 """
 TRACK_POINTS_SQL = "point AS (SELECT ride_id, seq, t_ms, stopped, (lng + 105) * 85275 AS x, (lat - 40) * 111320 AS y, seq % 17 = 13 AS estimated FROM track)"
+
+
+def lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The streets with short paths off every second crossing, most of which end in the open; some lie a level higher."""
+    s = streets(spark, sf_dir).select("edge", "a", "b", "meters", "ax", "ay", "bx", "by", "path", F.lit(0).alias("level"))
+    o = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), _hash32(F.col("o_orderkey")).alias("h")).where("h % 2 = 0")
+    x, y = (F.col("k") % 40 - 20) * 80 + F.col("h") % 21 - 10, F.expr("k div 40") * 45 - 600 + F.expr("h div 32") % 21 - 10
+    dx, dy = F.col("h") % 71 - 20, F.expr("h div 128") % 29 + 1
+    stub = o.select((-F.col("k") - 1).alias("edge"), F.col("k").alias("a"), (-F.col("k") - 1).alias("b"), F.hypot(dx, dy).alias("meters"), x.cast("double").alias("ax"), y.cast("double").alias("ay"), (x + dx).cast("double").alias("bx"), (y + dy).cast("double").alias("by"), F.lit(True).alias("path"), F.when(F.col("h") % 5 == 0, 1).otherwise(0).alias("level"))
+    return s.unionByName(stub)
+
+
+LANES_SQL = STREETS_SQL + """, lane AS (SELECT edge, a, b, meters, ax, ay, bx, yy, path, 0 AS level FROM street UNION ALL SELECT -k - 1, k, -k - 1, sqrt(pow(h % 71 - 20, 2) + pow((h // 128) % 29 + 1, 2)), x, y, x + (h % 71 - 20), y + ((h // 128) % 29 + 1), true, CASE WHEN h % 5 = 0 THEN 1 ELSE 0 END FROM spot WHERE h % 2 = 0)"""
