@@ -175,6 +175,30 @@ def test_cutting_stock_meets_demand():
     assert p.sequences * 64 <= units * 1.03
 
 
+@pytest.mark.parametrize("room,seed", [(12, 1), (64, 2), (512, 3)])
+def test_cutting_stock_is_solved_to_its_bound(room, seed):
+    """The value is within one sequence, or a ten-thousandth, of a bound that an exact solution confirms."""
+    rng = np.random.default_rng(seed)
+    demand = rng.integers(0, 300, room) * (rng.random(room) < (0.5 if room > 12 else 1))
+    patterns, amount, bound = packing.column_generation(demand, room)
+    size = np.arange(1, room + 1)
+    assert (size @ patterns <= room).all() and (amount >= 0).all()
+    assert np.abs(patterns @ amount - demand).max() < 1e-2  # the shift
+    assert (demand @ size) / room <= amount.sum() + 1e-6
+    assert amount.sum() - bound < max(1, 1e-4 * bound) and bound <= amount.sum() + 1e-2
+    if room == 12:  # all patterns
+        every = [[]]
+        for c in range(room):
+            every = [p + [k] for p in every for k in range((room - sum(x * (i + 1) for i, x in enumerate(p))) // (c + 1) + 1)]
+        best, kept = np.array(every).T, packing.plan(demand, room)
+        assert kept.sequences >= np.ceil(kept.bound - 1e-6)
+        # feasible duals give no more than the value: try those of single classes and of the sizes
+        for dual in (size / room, 1 / (room // size)):
+            assert (dual @ best).max() > 0 and demand @ (dual / (dual @ best).max()) <= amount.sum() + 1e-2
+    p = packing.plan(demand, room)
+    assert p.sequences >= p.bound - 1e-6 and p.sequences <= p.bound * 1.02 + 8
+
+
 def test_packing_holds_every_id(spark):
     from tokenizers import Tokenizer
 

@@ -15,7 +15,6 @@ only the id and text columns are read, and ids keep their type; an empty table g
 from __future__ import annotations
 
 import struct
-import warnings
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -162,21 +161,27 @@ def greedy(demand: np.ndarray, room: int) -> list[tuple[np.ndarray, int]]:
     return out
 
 
-def column_generation(demand: np.ndarray, room: int, rounds: int = 600) -> tuple[np.ndarray, np.ndarray]:
-    """Patterns (classes x patterns) and their amounts of the linear program min sum x, patterns x = demand.
+def column_generation(demand: np.ndarray, room: int, gap: float = 1e-4, afresh: int = 256) -> tuple[np.ndarray, np.ndarray, float]:
+    """Patterns (classes x patterns) and their amounts of the linear program min sum x, patterns x = demand, and a proven
+    lower bound of its value.
 
     Revised simplex on the classes with demand. It starts from one-class patterns; the greedy patterns are priced
-    first, then the knapsack's answers to the duals; the ratio test names the pattern that leaves. Every amount
-    along the way is feasible, so a stop after `rounds` costs sequences, never demand, and says so.
+    first, then the knapsack's answers to the duals; the ratio test names the pattern that leaves. Duals divided by the
+    best pattern's price are feasible, so they bound the value from below: pricing ends when the value is within one
+    sequence, or within `gap` of itself, of the best such bound, however many columns that takes. The amounts to meet
+    are shifted by less than a thousandth of a document, each by another share, so that no step is of no length and no
+    basis comes again. The inverse is worked out anew after every `afresh` columns.
     """
     live = np.flatnonzero(demand)
     m = len(live)
+    wanted = demand[live] + 1e-3 * np.modf((live + 1) * 0.6180339887498949)[0]
     basis = np.zeros((len(demand), m), np.int64)
     basis[live, np.arange(m)] = room // (live + 1)
     inverse = np.diag(1 / basis[live, np.arange(m)].astype(float))
-    amount = inverse @ demand[live]
+    amount = inverse @ wanted
     pool = np.stack([p for p, _ in greedy(demand, room)], axis=1)
-    for _ in range(rounds):
+    bound, columns = 0.0, 0
+    while True:
         dual = np.zeros(len(demand))
         dual[live] = np.ones(m) @ inverse
         gains = dual @ pool
@@ -184,22 +189,26 @@ def column_generation(demand: np.ndarray, room: int, rounds: int = 600) -> tuple
         if gains[best] > 1 + 1e-9:
             pattern = pool[:, best]
         else:
-            gain, pattern = _knapsack(np.maximum(dual, 0), room)
-            if gain <= 1 + 1e-9:
-                break
+            priced = np.maximum(dual, 0)
+            gain, pattern = _knapsack(priced, room)
+            bound = max(bound, float(priced @ demand) / max(gain, 1.0))
+            if gain <= 1 + 1e-9 or amount.sum() - bound < max(1.0, gap * bound):
+                return basis, amount, bound
         way = inverse @ pattern[live]
         steps = np.where(way > 1e-9, amount / np.where(way > 1e-9, way, 1), np.inf)
         out = int(np.argmin(steps))
+        basis[:, out] = pattern
+        columns += 1
+        if columns % afresh == 0:
+            inverse = np.linalg.inv(basis[live].astype(float))
+            amount = np.maximum(inverse @ wanted, 0)
+            continue
         step = steps[out]
         amount = np.maximum(amount - step * way, 0)
         amount[out] = step
         pivot = inverse[out] / way[out]
         inverse = inverse - np.outer(way, pivot)
         inverse[out] = pivot
-        basis[:, out] = pattern
-    else:
-        warnings.warn(f"packing stopped after {rounds} columns: a better plan may exist", stacklevel=2)
-    return basis, amount
 
 
 @dataclass
@@ -212,13 +221,14 @@ class Plan:
     places: np.ndarray
     sequence: np.ndarray
     sequences: int
+    bound: float  # no plan has fewer sequences
 
 
 def plan(demand: np.ndarray, room: int) -> Plan:
     """Whole patterns that meet the demand per class (class c takes c + 1 units of `room`)."""
     demand = np.asarray(demand, np.int64)
     rows: list[tuple[int, int, int, int, int]] = []
-    taken, base = np.zeros(len(demand), np.int64), 0
+    taken, base, bound = np.zeros(len(demand), np.int64), 0, 0.0
 
     def use(pattern: np.ndarray, times: int) -> None:
         nonlocal base
@@ -228,7 +238,7 @@ def plan(demand: np.ndarray, room: int) -> Plan:
         base += times
 
     if demand.sum():
-        patterns, amount = column_generation(demand, room)
+        patterns, amount, bound = column_generation(demand, room)
         full = (patterns * np.arange(1, len(demand) + 1)[:, None]).sum(0) * 64 >= room * 63  # wasteful ones wait for the rest
         for pattern, x in zip(patterns.T[full], np.floor(amount[full] + 1e-9).astype(np.int64)):
             used = np.flatnonzero(pattern)
@@ -238,7 +248,7 @@ def plan(demand: np.ndarray, room: int) -> Plan:
     for pattern, times in greedy(demand - taken, room):  # what rounding left over
         use(pattern, times)
     cols = np.array(rows, np.int64).reshape(-1, 5).T
-    return Plan(*cols, base)
+    return Plan(*cols, base, bound)
 
 
 def assign(pieces: DataFrame, max_len: int = 2048, grain: int = 4, blocks: int = 1024) -> DataFrame:
