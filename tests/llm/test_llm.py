@@ -295,6 +295,12 @@ def test_grades_held_out(spark):
     assert len(r) > 60 and right >= 0.85 and right > most
 
 
+def test_rated_texts_of_tables_with_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a b", 7, "x"), (2, None, 8, "y"), (3, "c", 9, "z")], "doc_id long, text string, grade int, quality string")
+    rated = spark.createDataFrame([(1, 0), (2, 2), (3, None), (4, 1), (None, 1)], "doc_id long, grade int")
+    assert sorted(quality_classifier.sample_rated(docs, rated).collect()) == [(1, "a b", 0), (2, None, 2)]
+
+
 def test_features_of_whole_words():
     a, b = ("x" * 40 + "1" + end for end in ("a", "b"))  # alike but for their ends
     one, two = (set(quality_classifier.features(pa.array([t]), 17)[1].tolist()) for t in (a, b))

@@ -168,10 +168,11 @@ def fit(rated: DataFrame, p: Params = Params(), id_col: str = "doc_id", text_col
     return fit_arrays(rows, feats, got["grade"].to_numpy().astype(np.int64), p)
 
 
-def sample_rated(documents: DataFrame, ratings: DataFrame, p: Params = Params(), id_col: str = "doc_id") -> DataFrame:
-    """Texts of a bounded sample of rated ids: the sample (p.sample ids) is broadcast, texts are not shuffled."""
+def sample_rated(documents: DataFrame, ratings: DataFrame, p: Params = Params(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Texts of a bounded sample of rated ids: the sample (p.sample ids) is broadcast, texts are not shuffled. Only the id
+    and text columns of documents are read."""
     some = ratings.where(F.col("grade").isNotNull()).select(id_col, "grade").orderBy(F.xxhash64(id_col), id_col).limit(p.sample)
-    return documents.join(F.broadcast(some), id_col)
+    return documents.select(id_col, text_col).join(F.broadcast(some), id_col)
 
 
 def score(df: DataFrame, model: Model, p: Params = Params(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
