@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..sources.lenses import TRACK_SQL, hav_sql, recording, track
 from ..sources.shared import shared_dir
-from ..streaming import recorder
+from ..streaming import late, recorder
 
 RULES = recorder.Rules(split_m=100.0)
 
@@ -83,3 +83,59 @@ FROM (SELECT * FROM fixes UNION ALL SELECT * FROM splits UNION ALL SELECT * FROM
 """
 
 QUERIES = {"recorded_log": (recorded_log, LOG_SQL), "live_log": (live_log, LOG_SQL)}
+
+
+GAP_MS, LATE_MS, PARTS = 10_000, 30_000, 4
+
+
+def _arrivals(spark, d):
+    """The tracks' fixes as they come in: most at once, some a minute or more later, some twice."""
+    t = track(spark, d).select("ride_id", "seq", "t_ms", "speed")
+    h = F.col("seq") * 31 + F.col("ride_id") * 7
+    slow = F.when(h % 19 == 0, (h % 7 + 1) * 20_000).otherwise(0)
+    again = F.when(h % 13 == 0, F.array(F.lit(0), F.lit(5_000))).otherwise(F.array(F.lit(0)))
+    return t.withColumn("copy", F.explode(again)).withColumn("arrive", F.col("t_ms") + slow + F.col("copy")).drop("copy")
+
+
+def _cuts(rows):
+    lo, hi = rows.agg(F.min("arrive"), F.max("arrive")).first()
+    return [] if lo is None else [lo + (hi - lo) * k // PARTS for k in range(1, PARTS)]
+
+
+def session_stretches(spark, d):
+    """Stretches by a gap in time, of fixes that are neither late nor doubled; those that are over by the watermark."""
+    rows, base = _arrivals(spark, d), f"{shared_dir(spark)}/stretches-{uuid.uuid4().hex}"
+
+    def run(stream):
+        late.stretches(stream, GAP_MS, LATE_MS).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+
+    late.replay(rows, base, _cuts(rows), "arrive", run)
+    return spark.read.schema("ride_id long, start_ms long, last_ms long, n long, first_seq long, last_seq long, max_speed double").parquet(f"{base}/out")
+
+
+def late_fixes(spark, d):
+    """How many rows of each ride came too late."""
+    rows, base = _arrivals(spark, d), f"{shared_dir(spark)}/late-{uuid.uuid4().hex}"
+
+    def run(stream):
+        stream.writeStream.foreachBatch(late.sorted_out(base, LATE_MS)).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+
+    late.replay(rows, base, _cuts(rows), "arrive", run)
+    return spark.read.parquet(f"{base}/late").groupBy("ride_id").agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"))
+
+
+_ARRIVALS = f"""WITH {TRACK_SQL},
+come AS (SELECT ride_id, seq, t_ms, speed, t_ms + CASE WHEN (seq * 31 + ride_id * 7) % 19 = 0 THEN ((seq * 31 + ride_id * 7) % 7 + 1) * 20000 ELSE 0 END + copy AS arrive
+  FROM (SELECT *, unnest(CASE WHEN (seq * 31 + ride_id * 7) % 13 = 0 THEN [0, 5000] ELSE [0] END) AS copy FROM track)),
+span AS (SELECT min(arrive) AS lo, max(arrive) AS hi FROM come),
+part AS (SELECT come.*, (arrive >= lo + (hi - lo) // {PARTS})::INT + (arrive >= lo + (hi - lo) * 2 // {PARTS})::INT + (arrive >= lo + (hi - lo) * 3 // {PARTS})::INT AS k FROM come, span),
+high AS (SELECT k, max(t_ms) AS top FROM part GROUP BY k),
+mark AS (SELECT a.k, (SELECT max(top) FROM high b WHERE b.k < a.k) - {LATE_MS} AS wm FROM high a),
+seen AS (SELECT part.*, coalesce(t_ms <= wm, false) AS is_late FROM part JOIN mark USING (k))"""
+_SESSIONS = _ARRIVALS + f""",
+kept AS (SELECT DISTINCT ride_id, seq, t_ms, speed FROM seen WHERE NOT is_late),
+i0 AS (SELECT *, coalesce(t_ms - lag(t_ms) OVER (PARTITION BY ride_id ORDER BY t_ms, seq) > {GAP_MS}, false)::INT AS new FROM kept),
+i1 AS (SELECT *, sum(new) OVER (PARTITION BY ride_id ORDER BY t_ms, seq ROWS UNBOUNDED PRECEDING) AS run FROM i0)
+SELECT ride_id, min(t_ms) AS start_ms, max(t_ms) AS last_ms, count(*) AS n, min(seq) AS first_seq, max(seq) AS last_seq, max(speed) AS max_speed FROM i1 GROUP BY ride_id, run HAVING max(t_ms) + {GAP_MS} <= (SELECT max(top) FROM high) - {LATE_MS}"""
+
+QUERIES |= {"session_stretches": (session_stretches, _SESSIONS), "late_fixes": (late_fixes, _ARRIVALS + " SELECT ride_id, count(*) AS n, min(seq) AS first_seq FROM seen WHERE is_late GROUP BY ride_id")}
