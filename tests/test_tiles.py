@@ -46,3 +46,35 @@ def test_terrain_and_bilinear_heights(spark):
     assert h.count() == 16
     p = spark.createDataFrame([(1, 0.5, 0.5), (2, 2.0, 1.25), (3, 3.5, 0.0)], "id long, px double, py double")
     assert {r.id: r.height for r in spatial.bilinear(p, h).collect()} == {1: 2.5, 2: 7.0, 3: None}
+
+
+def test_lines_written_and_read_back(spark, tmp_path):
+    import random
+
+    rng = random.Random(5)
+    rows = []
+    for x in (0, 5, 40):
+        for y in range(3):
+            for feature in range(rng.randrange(4)):
+                props = {"class": rng.choice(["path", "minor", "tertiär"]), "lanes": str(rng.randrange(3))} if feature else {}
+                rows += [(x, y, feature, line, props, [(rng.randrange(-50, 5000), rng.randrange(-50, 5000)) for _ in range(rng.randrange(2, 6))]) for line in range(rng.randrange(1, 3))]
+    schema = "x long, y long, feature long, line long, props map<string,string>, coords array<struct<x:long,y:long>>"
+    lines = spark.createDataFrame([*rows, (None, 1, 0, 0, {}, [(1, 1), (2, 2)])], schema)
+    made = tiles.line_tiles(lines, "roads")
+    plain = lambda df: sorted((r.x, r.y, r.feature, r.line, tuple(sorted(r.props.items())), tuple(map(tuple, r.coords))) for r in df.collect())
+    want = sorted((*r[:4], tuple(sorted(r[4].items())), tuple(r[5])) for r in rows)
+    assert plain(tiles.decode_lines(made, "roads")) == want
+    assert tiles.decode_lines(made, "water").collect() == []
+    for zoom in (13, 14):
+        tiles.store(made, str(tmp_path), zoom)
+    some = tiles.stored(spark.read.parquet(str(tmp_path)), 14, 0, 5, 1, 2)
+    assert plain(tiles.decode_lines(some, "roads")) == [r for r in want if r[0] <= 5 and 1 <= r[1] <= 2]
+    plan = some._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(zoom" in plan and "GreaterThanOrEqual(y," in plan
+
+
+def test_heights_written_and_read_back(spark):
+    h = [(x, y, (x * 7 + y * 3) % 50 / 4 - 20) for x in range(-4, 8) for y in range(4)]
+    lacking = [(8, 0, 1.0), (9, 1, None), (None, 1, 1.0)]
+    made = tiles.terrain_tiles(spark.createDataFrame([*h, *lacking, (0, 0, h[16][2])], "gx long, gy long, height double"), 4)
+    assert sorted(tuple(r) for r in tiles.terrain_heights(made, 4).collect()) == sorted(h)

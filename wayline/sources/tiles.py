@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def _varint(data: bytes, at: int) -> tuple[int, int]:
@@ -130,3 +131,84 @@ def terrain_heights(tiles: DataFrame, size: int = 256) -> DataFrame:
                 yield pd.DataFrame({"gx": x * size + i % size, "gy": y * size + i // size, "height": r * 256 + g + b / 256 - 32768})
 
     return tiles.select("x", "y", "data").mapInPandas(run, "gx long, gy long, height double")
+
+
+# Writing tiles, and a store of them that reads only what is asked for
+
+
+def _number(n: int) -> bytes:
+    out = bytearray()
+    while n > 127:
+        out.append(n & 127 | 128)
+        n >>= 7
+    out.append(n)
+    return bytes(out)
+
+
+def _field(number: int, value: int | bytes) -> bytes:
+    if isinstance(value, int):
+        return _number(number << 3) + _number(value)
+    return _number(number << 3 | 2) + _number(len(value)) + value
+
+
+def _unsigned(n: int) -> int:
+    return (n << 1) ^ (n >> 63)
+
+
+def encoded(features: list[tuple[dict[str, str], list[list[tuple[int, int]]]]], layer: str, extent: int = 4096) -> bytes:
+    """A tile of one layer with line features (properties as texts, lines); what `line_features` reads."""
+    keys: dict[str, int] = {}
+    values: dict[str, int] = {}
+    body = b""
+    for props, lines in features:
+        tags = [n for k, v in props.items() if v is not None for n in (keys.setdefault(k, len(keys)), values.setdefault(v, len(values)))]
+        geometry, x, y = [], 0, 0
+        for line in lines:
+            for i, (px, py) in enumerate(line):
+                if i < 2:
+                    geometry.append(1 << 3 | 1 if i == 0 else len(line) - 1 << 3 | 2)
+                geometry += [_unsigned(px - x), _unsigned(py - y)]
+                x, y = px, py
+        body += _field(2, _field(2, b"".join(map(_number, tags))) + _field(3, 2) + _field(4, b"".join(map(_number, geometry))))
+    body = _field(1, layer.encode()) + body + b"".join(_field(3, k.encode()) for k in keys) + b"".join(_field(4, _field(1, v.encode())) for v in values) + _field(5, extent)
+    return _field(3, body)
+
+
+def line_tiles(lines: DataFrame, layer: str, extent: int = 4096) -> DataFrame:
+    """Tiles (x, y, data) of lines (x, y, feature, line, props, coords) as `decode_lines` gives them; a task holds a tile."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        features: dict[int, tuple[dict, list]] = {}
+        for r in pdf.sort_values(["feature", "line"]).itertuples():
+            features.setdefault(r.feature, (dict(r.props or {}), []))[1].append([(int(c["x"]), int(c["y"])) for c in r.coords])
+        return pd.DataFrame([{"x": pdf["x"].iloc[0], "y": pdf["y"].iloc[0], "data": encoded(list(features.values()), layer, extent)}])
+
+    known = lines.dropna(subset=["x", "y", "feature", "line", "coords"])
+    return known.groupBy("x", "y").applyInPandas(run, "x long, y long, data binary")
+
+
+def terrain_tiles(heights: DataFrame, size: int = 256) -> DataFrame:
+    """Tiles (x, y, data) of heights (gx, gy, height) as `terrain_heights` reads them; tiles that lack a height are left out.
+    Heights are kept to 1 / 256 of a metre, from -32768 to 32767 metres."""
+    h = heights.dropna(subset=["gx", "gy", "height"]).withColumns({"x": F.floor(F.col("gx") / size), "y": F.floor(F.col("gy") / size)})
+    code = F.least(F.greatest(F.round((F.col("height") + 32768) * 256).cast("long"), F.lit(0)), F.lit((1 << 24) - 1))
+    h = h.groupBy("x", "y", F.pmod("gy", F.lit(size)).alias("r"), F.pmod("gx", F.lit(size)).alias("c")).agg(F.max(code).alias("v"))
+    three = F.concat(*[F.lpad(F.hex(F.shiftright("v", s).bitwiseAND(255)), 2, "0") for s in (0, 8, 16)])
+    cells = h.groupBy("x", "y").agg(F.array_sort(F.collect_list(F.struct("r", "c", three.alias("b")))).alias("l")).where(F.size("l") == size * size)
+    return cells.select("x", "y", F.unhex(F.array_join(F.transform("l", lambda q: q["b"]), "")).alias("data"))
+
+
+BLOCK = 16  # columns of tiles that share a folder
+
+
+def store(tiles: DataFrame, path: str, zoom: int) -> None:
+    """Tiles (x, y, data) written by zoom and by blocks of columns, sorted by row within them."""
+    t = tiles.withColumns({"zoom": F.lit(zoom), "block": F.floor(F.col("x") / BLOCK)})
+    t.repartition("block").sortWithinPartitions("block", "y", "x").write.mode("append").partitionBy("zoom", "block").parquet(path)
+
+
+def stored(tiles: DataFrame, zoom: int, west: int, east: int, north: int, south: int) -> DataFrame:
+    """The tiles (x, y, data) of a store that lie in a box, both ends included. Folders of other zooms and blocks are not
+    listed, and row groups of other rows are not read."""
+    inside = (F.col("zoom") == zoom) & F.col("block").between(west // BLOCK, east // BLOCK) & F.col("x").between(west, east) & F.col("y").between(north, south)
+    return tiles.where(inside).select("x", "y", "data")
