@@ -293,3 +293,57 @@ def _laid_out(best: DataFrame, seeds: DataFrame, goals: DataFrame, at: DataFrame
     listed = m.groupBy("request").agg(F.sum(whole).alias("meters"), F.array_sort(F.collect_list(F.struct("i", "k", "edge", "along"))).alias("l"))
     laid = listed.select("request", "meters", F.transform("l", lambda x: F.struct(x["edge"].alias("edge"), x["along"].alias("along"))).alias("edges"))
     return best.select("request", "cost").join(laid, "request")
+
+
+def routes_in_corridors(requests: DataFrame, edges: DataFrame, side: float = 1000.0, wide: float = 0.3) -> DataFrame:
+    """(request, cost, meters, edges) of requests (request, edge1, at1, off, edge2, at2) over the tiles of their corridor alone.
+
+    A request's tiles, `side` metres wide, are those of the box round both its places, widened by `wide` times the straight
+    line between them. Requests with the same tiles share one graph: the tiles' edges are gathered once for each set of
+    tiles and searched by all its requests, so a fleet that asks for the same legs reads their roads once. edges are as
+    `overlay` takes them; one that touches a tile of the set is in its graph. A task holds one set's edges and requests.
+    Requests that find no way there, and those with a null or an edge that is not there, have no row.
+    """
+    e = edges.dropna(subset=["edge", "a", "b", "meters", "ax", "ay", "bx", "by"]).select("edge", "a", "b", "meters", "forward", "backward", "ax", "ay", "bx", "by")
+    spot = lambda k: e.select(F.col("edge").alias(f"edge{k}"), *[F.col(f"a{c}").alias(f"{c}0_{k}") for c in "xy"], *[F.col(f"b{c}").alias(f"{c}1_{k}") for c in "xy"], F.col("meters").alias(f"m_{k}"))
+    r = requests.dropna(subset=["request", "edge1", "at1", "edge2", "at2"]).join(spot(1), "edge1").join(spot(2), "edge2")
+    at = lambda c, k: F.col(f"{c}0_{k}") + (F.col(f"{c}1_{k}") - F.col(f"{c}0_{k}")) * F.coalesce(F.try_divide(F.col(f"at{k}"), F.col(f"m_{k}")), F.lit(0.0))
+    r = r.withColumns({f"{c}{k}": at(c, k) for c in "xy" for k in (1, 2)}).withColumn("room", F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")) * wide)
+    tile = lambda v: F.floor(v / side)
+    box = {f"{c}{n}": tile(F.least(f"{c}1", f"{c}2") - F.col("room")) if n == "lo" else tile(F.greatest(f"{c}1", f"{c}2") + F.col("room")) for c in "xy" for n in ("lo", "hi")}
+    r = r.withColumns(box)
+    key = ["xlo", "xhi", "ylo", "yhi"]
+    sets = r.select(*key).distinct()
+    asked = sets.withColumn("tx", F.explode(F.sequence("xlo", "xhi"))).withColumn("ty", F.explode(F.sequence("ylo", "yhi")))
+    span = lambda c: F.sequence(tile(F.least(f"a{c}", f"b{c}")), tile(F.greatest(f"a{c}", f"b{c}")))
+    there = e.withColumn("tx", F.explode(span("x"))).withColumn("ty", F.explode(span("y")))
+    first = lambda c: F.greatest(tile(F.least(f"a{c}", f"b{c}")), F.col(f"{c}lo")) == F.col(f"t{c}")
+    lines = asked.join(there, ["tx", "ty"]).where(first("x") & first("y"))
+    columns = ["what", "id", "a", "b", "f", "g", "m"]
+    rows = lines.select(*key, F.lit(0).alias("what"), F.col("edge").alias("id"), "a", "b", F.col("forward").alias("f"), F.col("backward").alias("g"), F.col("meters").alias("m"))
+    rows = rows.unionByName(r.select(*key, F.lit(1).alias("what"), F.col("request").alias("id"), F.col("edge1").alias("a"), F.col("edge2").alias("b"), F.col("at1").alias("f"), F.col("at2").alias("g"), F.coalesce("off", F.lit(0.0)).alias("m")))
+
+    def work(of: tuple, held: list[tuple]) -> list[tuple]:
+        line = {h[1]: h[2:] for h in held if h[0] == 0}
+        out, found = _arcs_out([h[1:6] for h in held if h[0] == 0]), []
+        for _, request, e1, e2, at1, at2, off in (h for h in held if h[0] == 1):
+            if e1 == e2:
+                found.append((request, off + abs(at2 - at1), abs(at2 - at1), 1))
+                continue
+            a1, b1, f1, g1, m1 = line[e1]
+            a2, b2, f2, g2, m2 = line[e2]
+            s1, s2 = (at1 / m1 if m1 else 0.0), (at2 / m2 if m2 else 0.0)
+            seeds = [(off + c * s, n) for c, s, n in ((f1, 1 - s1, b1), (g1, s1, a1)) if c is not None]
+            cost, via = _spread(out, seeds)
+            ends = [(cost[n] + c * s, n, s * m2) for c, s, n in ((f2, s2, a2), (g2, 1 - s2, b2)) if c is not None and n in cost]
+            if ends:
+                total, n, meters = min(ends)
+                edges = 2
+                while n in via:
+                    n, edge, _ = via[n]
+                    meters, edges = meters + line[edge][4], edges + 1
+                start = min((c, m) for (c, k), m in zip(seeds, [x for x, c in (((1 - s1) * m1, f1), (s1 * m1, g1)) if c is not None]) if k == n)[1]
+                found.append((request, total, meters + start, edges))
+        return found
+
+    return _grouped(rows, key, columns, work, "request bigint, cost double, meters double, edges bigint")

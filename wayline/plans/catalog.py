@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import edit_queries, follow_queries, guidance_queries, kernel_queries, line_queries, live_queries, network_queries, ridden_queries, ride_queries, road_queries, route_queries, routing_queries, tile_queries, track_queries, turn_queries
+from . import edit_queries, follow_queries, guidance_queries, kernel_queries, label_queries, line_queries, live_queries, network_queries, ridden_queries, ride_queries, road_queries, route_queries, routing_queries, tile_queries, track_queries, turn_queries
 
-_ALL = {**track_queries.QUERIES, **ride_queries.QUERIES, **kernel_queries.QUERIES, **line_queries.QUERIES, **network_queries.QUERIES, **route_queries.QUERIES, **follow_queries.QUERIES, **road_queries.QUERIES, **guidance_queries.QUERIES, **live_queries.QUERIES, **ridden_queries.QUERIES, **routing_queries.QUERIES, **turn_queries.QUERIES, **edit_queries.QUERIES, **tile_queries.QUERIES}
+_ALL = {**track_queries.QUERIES, **ride_queries.QUERIES, **kernel_queries.QUERIES, **line_queries.QUERIES, **network_queries.QUERIES, **route_queries.QUERIES, **follow_queries.QUERIES, **road_queries.QUERIES, **guidance_queries.QUERIES, **live_queries.QUERIES, **ridden_queries.QUERIES, **routing_queries.QUERIES, **turn_queries.QUERIES, **edit_queries.QUERIES, **tile_queries.QUERIES, **label_queries.QUERIES}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
