@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import uuid
 from collections.abc import Iterator
@@ -43,8 +44,17 @@ def shuffle_parts(spark: SparkSession, times: int = 1) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions")) * times
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Python workers are used again by later stages, whose JVM needs it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim:
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text_col: str, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut record batches so that the text of each slice is near max_bytes; one long text stays whole."""
+    """Cut record batches so that the text of each slice is near max_bytes; one long text stays whole. After the last,
+    freed memory goes back to the system."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -53,6 +63,7 @@ def slices(batches: Iterator[pa.RecordBatch], text_col: str, max_bytes: int = 4
         cuts = np.flatnonzero(np.diff(group)) + 1
         for a, b in zip([0, *cuts], [*cuts, batch.num_rows]):
             yield batch.slice(a, b - a)
+    give_back()
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
