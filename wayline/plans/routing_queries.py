@@ -80,7 +80,8 @@ _ROUNDS = """r(request, node, cost, meters, edges) USING KEY (request, node) AS
   SELECT request, node, min(cost), arg_min(meters, cost), 1::BIGINT FROM (SELECT request, b1 AS node, {first} + (1 - t1) * fw1 * {f1} AS cost, (1 - t1) * m1 AS meters FROM q WHERE e1 <> e2 UNION ALL SELECT request, a1, {first} + t1 * bw1 * {f1}, t1 * m1 FROM q WHERE e1 <> e2) GROUP BY request, node
   UNION
   SELECT request, v, min(cost), arg_min(meters, cost), arg_min(edges, cost) FROM (SELECT r.request, h.v, r.cost + h.c * {f2} AS cost, r.meters + h.m AS meters, r.edges + 1 AS edges FROM r JOIN half h ON {on}) n
-  WHERE NOT EXISTS (SELECT 1 FROM recurring.r o WHERE o.request = n.request AND o.node = n.v AND o.cost <= n.cost) GROUP BY request, v),
+  WHERE NOT EXISTS (SELECT 1 FROM recurring.r o WHERE o.request = n.request AND o.node = n.v AND o.cost <= n.cost)
+    AND NOT EXISTS (SELECT 1 FROM recurring.r g JOIN q ON q.request = g.request AND g.node = q.a2 WHERE g.request = n.request AND g.cost + t2 * fw2 < n.cost) GROUP BY request, v),
 e AS (SELECT q.request, r.cost + t2 * fw2 AS cost, r.meters + t2 * m2 AS meters, r.edges + 1 AS edges FROM q JOIN r ON r.request = q.request AND r.node = a2 UNION ALL SELECT q.request, r.cost + (1 - t2) * bw2, r.meters + (1 - t2) * m2, r.edges + 1 FROM q JOIN r ON r.request = q.request AND r.node = b2)"""
 
 
