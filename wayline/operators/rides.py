@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import dbl, half_up, or_default, ratio, scale
 
+RANK_BUCKETS = 1024
+OVERLAP_BLOCK_MS = 7 * 86_400_000
+
 
 def with_defaults(rides: DataFrame) -> DataFrame:
     """`kind` (null and empty mean bike) and `speed` (the stored average, or distance over moving time)."""
@@ -40,12 +43,14 @@ def pace_ranges(rides: DataFrame) -> DataFrame:
 
 
 def pace_fraction(rides: DataFrame) -> DataFrame:
-    """Where a ride's speed lies in its activity's range; ranges under 0.05 m/s count as equal."""
+    """Where a ride's speed lies in its activity's range; ranges under 0.05 m/s count as equal. The ranges are a row a
+    kind, aggregated before they are joined, so rides are not dealt out by their few kinds."""
     r = with_defaults(rides)
-    by = Window.partitionBy("kind")
     v = F.when(F.col("speed") > 0, F.col("speed"))
-    low, high = F.min(v).over(by), F.max(v).over(by)
-    return r.withColumn("fraction", F.when(high - low >= 0.05, (F.col("speed") - low) / (high - low)).otherwise(dbl(0.5)))
+    spans = r.groupBy(F.col("kind").alias("_kind")).agg(F.min(v).alias("_low"), F.max(v).alias("_high"))
+    wide = F.col("_high") - F.col("_low")
+    out = r.join(spans, F.col("kind").eqNullSafe(F.col("_kind")), "left")
+    return out.withColumn("fraction", F.when(wide >= 0.05, (F.col("speed") - F.col("_low")) / wide).otherwise(dbl(0.5))).drop("_kind", "_low", "_high")
 
 
 def calendar_scale(rides: DataFrame) -> DataFrame:
@@ -71,11 +76,28 @@ def route_averages(rides: DataFrame) -> DataFrame:
 
 
 def nearest_rank(values: DataFrame, key: list[str], value: str, shares: tuple[float, ...]) -> DataFrame:
-    """sorted[min(n - 1, floor(q n))] per key, by rank: no group is collected."""
-    order = Window.partitionBy(*key).orderBy(value)
-    v = values.where(F.col(value).isNotNull()).select(*key, value, (F.row_number().over(order) - 1).alias("_i"), F.count("*").over(Window.partitionBy(*key)).alias("_n"))
-    pick = lambda q: F.max(F.when(F.col("_i") == F.least(F.col("_n") - 1, F.floor(F.col("_n") * q)), F.col(value)))
-    return v.groupBy(*key).agg(*[pick(q).alias(f"q{round(q * 100):02d}") for q in shares])
+    """sorted[min(n - 1, floor(q n))] per key, by counts of equal values and prefix sums.
+
+    Values are counted, dealt into `RANK_BUCKETS` even buckets of the key's range, and only bucket counts are summed up in
+    order; the bucket that holds a rank is then summed up by value. So one key's values are spread over as many tasks
+    as there are buckets, however few keys there are.
+    """
+    counted = values.where(F.col(value).isNotNull()).groupBy(*key, value).agg(F.count("*").alias("_c"))
+    span = counted.groupBy(*key).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.sum("_c").alias("_n"))
+    with_span = counted.join(span.withColumnsRenamed({k: f"_k_{k}" for k in key}), [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in key]).drop(*[f"_k_{k}" for k in key])
+    share = F.try_divide((F.col(value) - F.col("_lo")).cast("double"), (F.col("_hi") - F.col("_lo")).cast("double"))
+    placed = with_span.withColumn("_b", F.least(F.lit(RANK_BUCKETS - 1), F.floor(F.coalesce(share, F.lit(0.0)) * RANK_BUCKETS)))
+    sums = placed.groupBy(*key, "_b").agg(F.sum("_c").alias("_m"))
+    sums = sums.withColumn("_upto", F.sum("_m").over(Window.partitionBy(*key).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)))  # RANK_BUCKETS rows a key
+    wanted = sums.join(span.select(*[F.col(k).alias(f"_k_{k}") for k in key], "_n"), [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in key]).drop(*[f"_k_{k}" for k in key])
+    rank = lambda q: F.least(F.col("_n") - 1, F.floor(F.col("_n") * q))
+    asked = wanted.withColumn("_q", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), rank(q).alias("rank")) for i, q in enumerate(shares)])))
+    asked = asked.where((F.col("_q.rank") < F.col("_upto")) & (F.col("_q.rank") >= F.col("_upto") - F.col("_m")))
+    asked = asked.select(*[F.col(k).alias(f"_k_{k}") for k in key], F.col("_b").alias("_kb"), F.col("_q.i").alias("_i"), (F.col("_q.rank") - F.col("_upto") + F.col("_m")).alias("_rank"))
+    near = placed.select(*key, "_b", value, "_c").join(asked, [*[F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in key], F.col("_b") == F.col("_kb")])
+    w = Window.partitionBy(*key, "_i").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    found = near.withColumn("_upto", F.sum("_c").over(w)).where((F.col("_rank") < F.col("_upto")) & (F.col("_rank") >= F.col("_upto") - F.col("_c")))
+    return found.groupBy(*key).agg(*[F.max(F.when(F.col("_i") == i, F.col(value))).alias(f"q{round(q * 100):02d}") for i, q in enumerate(shares)])
 
 
 def newest_first(rides: DataFrame, limit: int | None = None) -> DataFrame:
@@ -98,9 +120,20 @@ def merged(rides: DataFrame, group: str) -> DataFrame:
 
 
 def overlaps(rides: DataFrame, group: str) -> DataFrame:
-    """Per group whether a ride starts before the one before it (by start) has ended."""
-    prev = F.lag("end_ms").over(Window.partitionBy(group).orderBy("start_ms", "id"))
-    return rides.withColumn("_o", F.coalesce(F.col("start_ms") < prev, F.lit(False))).groupBy(group).agg(F.max("_o").alias("overlap"), F.sum(F.col("_o").cast("int")).alias("n_overlaps"))
+    """Per group whether a ride starts before the one before it (by start) has ended.
+
+    Rides are held against the one before within blocks of `OVERLAP_BLOCK_MS` of a group's time, and the first of each
+    block against the last of the block before that has any, one row a block: so a few groups are many tasks.
+    """
+    r = rides.select(group, "start_ms", "end_ms", "id").withColumn("_block", F.floor(F.col("start_ms") / OVERLAP_BLOCK_MS))
+    w = Window.partitionBy(group, "_block").orderBy("start_ms", "id")
+    r = r.withColumns({"_prev": F.lag("end_ms").over(w), "_first": F.row_number().over(w) == 1})
+    hit = F.coalesce(F.col("start_ms") < F.col("_prev"), F.lit(False))
+    order = F.struct("start_ms", "id")
+    blocks = r.groupBy(group, "_block").agg(F.sum((~F.col("_first") & hit).cast("int")).alias("_n"), F.min(F.when(F.col("_first"), F.col("start_ms"))).alias("_start"), F.max_by("end_ms", order).alias("_end"))
+    before = F.lag("_end").over(Window.partitionBy(group).orderBy("_block"))
+    b = blocks.withColumn("_n", F.col("_n") + F.coalesce(F.col("_start") < before, F.lit(False)).cast("int"))
+    return b.groupBy(group).agg((F.sum("_n") > 0).alias("overlap"), F.sum("_n").alias("n_overlaps"))
 
 
 def year_dividers(rides: DataFrame) -> DataFrame:
