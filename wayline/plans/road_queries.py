@@ -44,7 +44,9 @@ def section_grades(spark, d):
 
 
 def section_twins(spark, d):
-    o = read(spark, d, "orders").selectExpr("o_orderkey AS section", "47D + (o_orderkey * 7919) % 10007 * 0.00001D AS lat", "8D + (o_orderkey * 104729) % 10009 * 0.00001D AS lng", "double(o_orderkey * 17 % 360) AS bearing", "o_orderkey % 9 = 0 AS both_ways")
+    """Orders as sections, two by two within metres of one another, most of them ridden the other way."""
+    k = "(o_orderkey div 2)"
+    o = read(spark, d, "orders").selectExpr("o_orderkey AS section", f"47D + {k} * 7919 % 10007 * 0.0001D + o_orderkey % 5 * 0.00001D AS lat", f"8D + {k} * 104729 % 10009 * 0.0001D AS lng", f"double(({k} * 17 + o_orderkey % 2 * 180 + o_orderkey % 7 * 9) % 360) AS bearing", "o_orderkey % 9 = 0 AS both_ways")
     return R.section_twins(o)
 
 
