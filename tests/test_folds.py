@@ -3,6 +3,9 @@
 import random
 
 import pytest
+from pyspark import TaskContext
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from wayline.operators import folds, network
 from wayline.operators import matching as M
@@ -90,3 +93,26 @@ def test_sticky_choice_against_a_plain_walk(spark):
     met = spark.createDataFrame(rows, "ride_id long, seq long, segment_id long, d double")
     assert sorted(map(tuple, M.sticky(met).collect())) == want
     assert M.sticky(met.where("false")).count() == 0
+
+
+def _with_task(batches):
+    for b in batches:
+        yield b[["ride_id"]].assign(task=TaskContext.get().partitionId())
+
+
+def test_a_key_stays_whole_over_a_union_of_sides_dealt_by_it(spark):
+    few = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "40000", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}
+    was = {c: spark.conf.get(c) for c in few}
+    try:
+        for c, v in few.items():
+            spark.conf.set(c, v)
+        rows = spark.range(0, 60_000, 1, 1).selectExpr("id * 7919 % 3001 AS ride_id", "id AS n").withColumn("k", F.row_number().over(Window.partitionBy("ride_id").orderBy("n")))
+        both = rows.where("k <= 4").select("ride_id", "n", F.lit("a").alias("side")).unionByName(rows.where("k > 4").select("ride_id", "n", F.concat(F.lit("b"), F.repeat(F.md5(F.col("n").cast("string")), 4)).alias("side")))
+        dealt = folds.in_order(both, "ride_id", "n")
+        plan = dealt._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" in plan[: plan.index("Union")], "the union's rows are not dealt anew"
+        tasks = dealt.mapInPandas(_with_task, "ride_id long, task int").collect()
+    finally:
+        for c, v in was.items():
+            spark.conf.set(c, v)
+    assert len({r.ride_id for r in tasks}) == len(set(tasks)) == 3001 and len(tasks) == 60_000

@@ -16,7 +16,9 @@ Fold = Callable[[float, float, float, int, bool], list[int]]
 
 
 def in_order(df: DataFrame, key: str, *by: str) -> DataFrame:
-    return df.repartition(key).sortWithinPartitions(key, *by)
+    """Rows of a key in one task, sorted. Dealt by a hash of the key: Spark drops a shuffle by the key itself above a union
+    whose sides are dealt by it, then merges the sides' partitions apart, so that a key comes in two tasks."""
+    return df.repartition(F.xxhash64(key)).sortWithinPartitions(key, *by)
 
 
 def spacing(meters: float) -> Fold:

@@ -22,7 +22,7 @@ def _haversine(lat1, lng1, lat2, lng2):
 
 
 def _in_order(df: DataFrame, *by: str) -> DataFrame:
-    return df.repartition("ride_id").sortWithinPartitions(*by)
+    return df.repartition(F.xxhash64("ride_id")).sortWithinPartitions(*by)  # as in `folds.in_order`
 
 
 def track_line(points: DataFrame, line: list[tuple[float, float]], lookahead: float = 500.0, reach: float = 35.0) -> DataFrame:
