@@ -16,6 +16,29 @@ def _far(x, y, ax, ay, bx, by):
     return math.hypot(x - ax - u * dx, y - ay - u * dy)
 
 
+def test_nearest_segment_of_many_points_of_one_place(spark):
+    rng = random.Random(3)
+    pts = [(i, (i % 12) * 9.5 - 20, (i % 7) * 11.0 - 30) for i in range(200)] + [(900, 5000.0, 5000.0), (901, None, 1.0)]
+    seg = [(k, float(x), float(y), float(x + rng.randint(-15, 15)), float(y + rng.randint(-15, 15))) for k in range(150) for x, y in [(rng.randint(-60, 90), rng.randint(-70, 60))]]
+    seg += [(k + 500, *s[1:]) for k, s in enumerate(seg[:40])] + [(-7, *seg[3][1:])]
+    p, s = spark.createDataFrame(pts, "id long, x double, y double"), spark.createDataFrame(seg, "segment_id long, ax double, ay double, bx double, by double")
+    got = {r.id: (r.segment_id, round(r.distance, 6)) for r in spatial.to_segments(p, s).collect()}
+    want = {}
+    for i, x, y in pts:
+        near = [] if x is None else [(round(_far(x, y, *g[1:]), 6), g[0]) for g in seg if _far(x, y, *g[1:]) <= 20]
+        if near:
+            want[i] = (min(near)[1], min(near)[0])
+    assert got == want and len(got) > 100
+    assert "SortAggregate" not in _plan(spatial.to_segments(p, s))
+
+
+def test_nearest_section_keeps_its_pairs_out_of_a_sort(spark):
+    pts = spark.createDataFrame([(1, 47.0, 8.0, None), (2, 47.0001, 8.0, 10.0)], "id long, lat double, lng double, heading double")
+    idx = spark.createDataFrame([(3, 47.0, 8.0, 0.0), (9, 47.0, 8.0, 0.0), (-4, 47.0001, 8.0, 200.0), (5, 47.0001, 8.0001, 0.0)], "section_id long, lat double, lng double, bearing double")
+    out = spatial.nearest_section(pts, idx)
+    assert {r.id: r.section_id for r in out.collect()} == {1: 9, 2: 5} and "SortAggregate" not in _plan(out)
+
+
 def test_sections_within_shuffle_no_pairs_and_broadcast_none(spark):
     pts, idx = spark.range(50).selectExpr("id", "47.0D + id * 1e-5 AS lat", "8.0D AS lng"), spark.range(50).selectExpr("id div 10 AS section_id", "47.0D + id * 1e-5 AS lat", "8.0D AS lng")
     plan = _plan(spatial.within(pts, idx))
