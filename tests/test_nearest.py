@@ -43,3 +43,10 @@ def test_sections_within_shuffle_no_pairs_and_broadcast_none(spark):
     pts, idx = spark.range(50).selectExpr("id", "47.0D + id * 1e-5 AS lat", "8.0D AS lng"), spark.range(50).selectExpr("id div 10 AS section_id", "47.0D + id * 1e-5 AS lat", "8.0D AS lng")
     plan = _plan(spatial.within(pts, idx))
     assert "Broadcast" not in plan and "Aggregate" not in plan[: plan.index("Join")]
+
+
+def test_junctions_are_met_without_a_broadcast_of_exploded_points(spark):
+    n = spark.range(1, 60).selectExpr("id AS node", "double(id * 7 % 40) AS x", "double(id * 11 % 40) AS y")
+    e = spark.range(1, 60).selectExpr("id AS a", "explode(array(id * 3 % 59 + 1, id * 5 % 59 + 1)) AS b")
+    plan = _plan(routes.junction_near(spark.range(30).selectExpr("id", "double(id) AS x", "double(id) AS y"), n, e, 12.0))
+    assert "BroadcastHashJoin" not in plan.split("\n")[0] and "Generate" not in plan.split("HashAggregate")[0].split("SortMergeJoin")[0] and "SortMergeJoin [cx" in plan

@@ -46,8 +46,9 @@ def junction_near(points: DataFrame, nodes: DataFrame, edges: DataFrame, radius:
     ties go to the lower node. Points with none give no row."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     degree = both.groupBy(F.col("a").alias("node")).agg(F.countDistinct("b").alias("degree")).where(F.col("degree") >= least)
-    n = in_cell(nodes.join(degree, "node"), F.col("x"), F.col("y"), radius).withColumnsRenamed({"x": "nx", "y": "ny"})
-    met = cells_around(points, F.col("x"), F.col("y"), radius).join(n, ["cx", "cy"])
+    n = cells_around(nodes.join(degree, "node"), F.col("x"), F.col("y"), radius).withColumnsRenamed({"x": "nx", "y": "ny"})
+    # exploded rows look small to the planner, which would gather them in the driver to broadcast them
+    met = in_cell(points, F.col("x"), F.col("y"), radius).hint("merge").join(n, ["cx", "cy"])
     met = met.withColumn("distance", F.hypot(F.col("nx") - F.col("x"), F.col("ny") - F.col("y"))).where(F.col("distance") <= radius)
     return met.groupBy("id").agg(F.min(F.struct("distance", "node", "degree")).alias("m")).select("id", "m.node", "m.degree", "m.distance")
 
