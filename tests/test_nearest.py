@@ -50,3 +50,25 @@ def test_junctions_are_met_without_a_broadcast_of_exploded_points(spark):
     e = spark.range(1, 60).selectExpr("id AS a", "explode(array(id * 3 % 59 + 1, id * 5 % 59 + 1)) AS b")
     plan = _plan(routes.junction_near(spark.range(30).selectExpr("id", "double(id) AS x", "double(id) AS y"), n, e, 12.0))
     assert "BroadcastHashJoin" not in plan.split("\n")[0] and "Generate" not in plan.split("HashAggregate")[0].split("SortMergeJoin")[0] and "SortMergeJoin [cx" in plan
+
+
+def test_same_sections_look_near_first(spark, monkeypatch):
+    asked, whole = [], routes._same_within
+    monkeypatch.setattr(routes, "_same_within", lambda found, s, middle, *more: asked.append((middle, found.count())) or whole(found, s, middle, *more))
+    rng = random.Random(8)
+    rows = [(k, k % 2, float(rng.randint(0, 60)) / 2, float(rng.randint(0, 60)) / 2, float(rng.randint(0, 359)), float(rng.randint(40, 60)), k % 5 == 0) for k in range(600)]
+    cols = "activity long, x double, y double, bearing double, meters double, both_ways boolean"
+    f, t = rows[::2], rows[1::2]
+    found = spark.createDataFrame([r[:-1] for r in f], "id long, " + cols.replace(", both_ways boolean", ""))
+    got = {r.id: (r.record, r.distance) for r in routes.same_section(found, spark.createDataFrame([(r[0], r[1] ^ 1, *r[2:]) for r in t], "record long, " + cols)).collect()}
+    want = {}
+    for a in f:
+        near = []
+        for b in t:
+            d, off = math.hypot(b[2] - a[2], b[3] - a[3]), abs(a[4] - b[4]) % 360
+            off = min(off, 360 - off)
+            if b[1] ^ 1 == a[1] and b[5] <= a[5] * 1.4 and b[5] * 1.4 >= a[5] and (off <= 45 or b[6] and off >= 135) and d <= min(10.0, a[5] * 0.3):
+                near.append((d, b[0]))
+        if near:
+            want[a[0]] = (min(near)[1], min(near)[0])
+    assert got == want and asked[0] == (0.625, 300) and asked[2][1] < 300

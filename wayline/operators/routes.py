@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import angle_between, dbl
+from .graph import written
 
 
 def cells_around(df: DataFrame, x: Column, y: Column, size: float) -> DataFrame:
@@ -76,8 +77,16 @@ def same_section(found: DataFrame, stored: DataFrame, middle: float = 10.0, shar
     (record, the same columns, both_ways) that is the same stretch: alike in length, ridden the same way or, where it
     serves both, the other way, its middle within `middle` metres and a share of the length; the nearest, then the
     lowest record. Sections with none give no row."""
-    s = stored.withColumnsRenamed({"x": "sx", "y": "sy", "bearing": "sb", "meters": "sm"})
-    met = cells_around(found, F.col("x"), F.col("y"), 25.0).join(in_cell(s, F.col("sx"), F.col("sy"), 25.0), ["cx", "cy", "activity"])
+    s, left, parts = written(stored.withColumnsRenamed({"x": "sx", "y": "sy", "bearing": "sb", "meters": "sm"})), written(found), []
+    for part in (16, 4):  # what is found near is the nearest; only sections that find nothing look on
+        parts.append(written(_same_within(left, s, middle / part, share, ratio, turned)))
+        left = written(left.join(parts[-1].select(F.col("id").alias("_found")), F.col("id").eqNullSafe(F.col("_found")), "left_anti"))
+    return parts[0].unionByName(parts[1]).unionByName(_same_within(left, s, middle, share, ratio, turned))
+
+
+def _same_within(found: DataFrame, s: DataFrame, middle: float, share: float, ratio: float, turned: float) -> DataFrame:
+    side = middle * 1.001
+    met = cells_around(found, F.col("x"), F.col("y"), side).hint("merge").join(in_cell(s, F.col("sx"), F.col("sy"), side), ["cx", "cy", "activity"])
     off = angle_between(F.col("sb"), F.col("bearing"))
     met = met.withColumn("distance", F.hypot(F.col("sx") - F.col("x"), F.col("sy") - F.col("y")))
     alike = (F.col("sm") <= F.col("meters") * ratio) & (F.col("sm") * ratio >= F.col("meters"))
