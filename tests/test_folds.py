@@ -106,7 +106,7 @@ def test_a_key_stays_whole_over_a_union_of_sides_dealt_by_it(spark):
     try:
         for c, v in few.items():
             spark.conf.set(c, v)
-        rows = spark.range(0, 60_000, 1, 1).selectExpr("id * 7919 % 3001 AS ride_id", "id AS n").withColumn("k", F.row_number().over(Window.partitionBy("ride_id").orderBy("n")))
+        rows = spark.range(0, 60_000, 1, 2).selectExpr("id * 7919 % 3001 AS ride_id", "id AS n").withColumn("k", F.row_number().over(Window.partitionBy("ride_id").orderBy("n")))
         both = rows.where("k <= 4").select("ride_id", "n", F.lit("a").alias("side")).unionByName(rows.where("k > 4").select("ride_id", "n", F.concat(F.lit("b"), F.repeat(F.md5(F.col("n").cast("string")), 4)).alias("side")))
         dealt = folds.in_order(both, "ride_id", "n")
         plan = dealt._jdf.queryExecution().executedPlan().toString()
