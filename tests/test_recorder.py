@@ -1,9 +1,11 @@
 """Rides while they are recorded: any cut into micro-batches gives the finished ride's log; timers; bad rows."""
 
+import math
 import random
 
 import pytest
 
+from wayline.plans.live_queries import _log as _log_rows
 from wayline.streaming import recorder as R
 
 
@@ -71,3 +73,21 @@ def test_a_bridge_is_accepted_or_discarded():
             out += R.step(1, r, (t, "fix", seq, 40.0 + m / 111_195, -105.0, None, 10.0, 5.0), rules)
         assert sum(x[1] == "estimated" for x in out) == n
         assert abs(r.distance_m - 10.0 - north) < 0.5
+
+
+def test_a_bridge_beyond_a_pole_goes_on():
+    """Latitudes count on there, and degrees eastwards are negative: as in the log's SQL."""
+    r, out = R.Ride(), []
+    for seq, (t, north, east) in enumerate(((0, 0.0, 0.0), (1000, 6.0, 8.0), (11_000, 45.0, 60.0))):
+        per_lng = 111_195 * math.cos(math.radians(100.0))
+        out += R.step(1, r, (t, "fix", seq, 100.0 + north / 111_195, 20.0 + east / per_lng, None, 10.0, 5.0), R.Rules())
+    way = [x for x in out if x[1] == "estimated"]
+    assert len(way) == 25
+    assert abs(r.distance_m - 75.0) < 1
+    assert way[-1][6] - way[0][6] == pytest.approx(24 * 2.5 * math.sin(math.radians(r.heading)) / (111_320 * math.cos(math.radians(100.0))), rel=1e-3)
+
+
+def test_logs_round_halves_as_their_sql_does(spark):
+    """128.5015345 times a million lies just below a half."""
+    row = (1, "fix", 0, 0, 0, 128.5015345, 0.0, 0.0, 0, None, 0.0, 0.0, 0.0)
+    assert _log_rows(spark.createDataFrame([row], R.LOG)).first()["lat"] == round(128.5015345 * 1e6) / 1e6 == 128.501534

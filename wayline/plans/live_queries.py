@@ -14,9 +14,10 @@ RULES = recorder.Rules(split_m=100.0)
 
 
 def _log(rows):
-    """Outages and closings depend on how far time has come; the rest of the log does not."""
+    """Outages and closings depend on how far time has come; the rest of the log does not. Halves are told by the
+    product, as in the SQL's round."""
     out = rows.where("kind IN ('fix', 'estimated', 'split')")
-    cut = lambda c, n: F.round(c, n).alias(c)
+    cut = lambda c, n: (F.round(F.col(c) * 10.0**n) / 10.0**n).alias(c)
     return out.select("ride_id", "kind", "seq", "k", "t_ms", cut("lat", 6), cut("lng", 6), cut("distance_m", 3), "elapsed_ms", cut("heading", 3), cut("max_speed", 4), cut("gain", 4), cut("drop", 4))
 
 
