@@ -137,6 +137,24 @@ def test_repeated_bytes(spark, edge, hot):
     assert suffix_dedup.remove(empty(spark)).count() == 0
 
 
+def test_op3_keeps_only_minimizers_that_occur_again(spark, monkeypatch):
+    """Most of what there was is gone before contexts are counted and joined."""
+    rng, rows_of, real = random.Random(5), {}, suffix_dedup.materialize
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    shared = text(700)
+    rows = [(i, text(3000)) for i in range(20)] + [(20, text(500) + shared), (21, shared + text(500))]
+
+    def counted(df, tag):
+        out = real(df, tag)
+        rows_of[tag] = out.count()
+        return out
+
+    monkeypatch.setattr(suffix_dedup, "materialize", counted)
+    got = {r.doc_id: r.n_removed for r in suffix_dedup.remove(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {d for d, n in got.items() if n} == {20, 21} and got[20] == got[21] >= 700
+    assert 0 < rows_of["suffix-occurrences"] < 40
+
+
 # 4
 
 
