@@ -42,3 +42,15 @@ def test_late_rows_stay_and_batches_are_written_again(spark, tmp_path):
     got = lambda what: sorted((r["batch"], -1 if r.t_ms is None else r.t_ms) for r in spark.read.parquet(f"{base}/{what}").collect())
     assert got("late") == [(1, 7999), (1, 8000), (2, 8001), (2, 8002)]
     assert got("kept") == [(0, -1), (0, 5000), (0, 9000), (1, 8001), (1, 20_000)]
+
+
+def test_a_replay_deals_each_slice_over_files_in_the_order_of_time(spark, tmp_path):
+    from wayline.streaming import live
+
+    fixes = spark.createDataFrame([(r, s, 40.0, -105.0, s * 1000, 1.0) for r in range(8) for s in range(40)], "ride_id long, seq long, lat double, lng double, t_ms long, speed double")
+    live.replay(spark, fixes, str(tmp_path / "in"))
+    rows = spark.read.parquet(str(tmp_path / "in")).selectExpr("ride_id", "seq", "_metadata.file_path AS f", "_metadata.file_modification_time AS at").collect()
+    assert len(rows) == 320 and len({r.f for r in rows}) > 4, "a slice is no single file"
+    for ride in range(8):
+        files = sorted({(r.at, r.f, r.seq // 10) for r in rows if r.ride_id == ride})
+        assert [k for _, _, k in files] == [0, 1, 2, 3]

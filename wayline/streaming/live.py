@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.graph import written
+
 STATE = "lat double, lng double, t_ms long, n long, distance_m double, max_speed double, silent long"
 OUT = "ride_id long, n long, distance_m double, max_speed double, last_ms long, silent long"
 
@@ -44,13 +46,17 @@ def windowed_activity(fixes: DataFrame, late: str = "10 minutes", width: str = "
 
 
 def replay(spark: SparkSession, fixes: DataFrame, folder: str, slices: int = 4) -> DataFrame:
-    """Fixes as a stream: written as files in the order of time, one read per micro-batch."""
+    """Fixes as a stream: written as files in the order of time, a slice's many files at once. A ride's rows of a slice
+    are in one file, and files are read in the order in which they were written, so a micro-batch that takes in the end
+    of one slice and the start of the next still has each ride's fixes in order."""
+    fixes = written(fixes)  # else each slice works them all out again
     span = fixes.agg(F.min("seq").alias("lo"), F.max("seq").alias("hi")).first()
     step = max(1, (span["hi"] - span["lo"]) // slices + 1)
+    files = int(spark.conf.get("spark.sql.shuffle.partitions"))
     for i in range(slices):  # slices is a parameter, not the data's size
         part = fixes.where((F.col("seq") >= span["lo"] + i * step) & (F.col("seq") < span["lo"] + (i + 1) * step))
-        part.coalesce(1).write.mode("append").parquet(folder)
-    return spark.readStream.schema(fixes.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        part.repartition(files, "ride_id").write.mode("append").parquet(folder)
+    return spark.readStream.schema(fixes.schema).option("maxFilesPerTrigger", files).parquet(folder)
 
 
 def run_to_table(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
