@@ -54,3 +54,24 @@ def test_a_replay_deals_each_slice_over_files_in_the_order_of_time(spark, tmp_pa
     for ride in range(8):
         files = sorted({(r.at, r.f, r.seq // 10) for r in rows if r.ride_id == ride})
         assert [k for _, _, k in files] == [0, 1, 2, 3]
+
+
+def test_laps_come_in_by_more_than_three_tasks(spark, monkeypatch):
+    from wayline.plans import kernel_queries
+
+    class Read(Exception):
+        pass
+
+    def maintain(stream, out, state):
+        raise Read(len(spark.read.parquet(out.removesuffix("/out") + "/in").inputFiles()))
+
+    monkeypatch.setattr(kernel_queries.best_pace, "maintain", maintain)
+    monkeypatch.setattr(kernel_queries, "lap", lambda spark, d: spark.range(200).selectExpr("id AS ride_id"))
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    try:
+        kernel_queries.incremental_best_pace(spark, "")
+    except Read as read:
+        assert read.args[0] > 3
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)

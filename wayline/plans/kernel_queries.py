@@ -87,8 +87,9 @@ def live_ride_totals(spark, d):
 def incremental_best_pace(spark, d):
     base = f"{shared_dir(spark)}/best-{uuid.uuid4().hex}"
     laps = lap(spark, d)
-    laps.repartition(3, "ride_id").write.parquet(f"{base}/in")
-    stream = spark.readStream.schema(laps.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    files = max(3, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    laps.repartition(files, "ride_id").write.parquet(f"{base}/in")
+    stream = spark.readStream.schema(laps.schema).option("maxFilesPerTrigger", -(-files // 3)).parquet(f"{base}/in")  # three batches
     best_pace.maintain(stream, f"{base}/out", f"{base}/state")
     return best_pace.current(spark, f"{base}/out").select("section_id", "direction", "passes", F.col("first_date").cast("string").alias("first_date"), F.col("last_date").cast("string").alias("last_date"), "best", "best_ride_id")
 
