@@ -74,7 +74,7 @@ def turn_steps(points: DataFrame, nodes: DataFrame, edges: DataFrame, ways: Data
     c = c.withColumns({"h_in": heading(F.col("p_in.x"), F.col("p_in.y"), F.col("a_x"), F.col("a_y")), "h_out": heading(F.col("b_x"), F.col("b_y"), F.col("p_out.x"), F.col("p_out.y"))})
     c = c.withColumn("angle", signed(F.col("h_out") - F.col("h_in"))).where(F.abs("angle") >= STRAIGHT)
     ask = c.select("route", "cluster", F.explode(F.array(F.struct(F.lit("from").alias("what"), F.col("p_from").alias("p"), F.col("h_in").alias("h")), F.struct(F.lit("onto").alias("what"), F.col("p_onto").alias("p"), F.col("h_out").alias("h")))).alias("q"))
-    names = street_names(ask.select(F.struct("route", "cluster", "q.what").alias("id"), F.col("q.p.x").alias("x"), F.col("q.p.y").alias("y"), F.col("q.h").alias("heading")), ways).select("id.*", "name", "kind")
+    names = street_names(ask.select(F.struct("route", "cluster", "q.what").alias("id"), F.col("q.p.x").alias("x"), F.col("q.p.y").alias("y"), F.col("q.h").alias("heading")), ways, looks=()).select("id.*", "name", "kind")
     of = lambda what, *cols: names.where(F.col("what") == what).select("route", "cluster", *cols)
     c = c.join(of("onto", "name", "kind"), ["route", "cluster"], "left").join(of("from", F.col("name").alias("was")), ["route", "cluster"], "left")
     size = F.abs("angle")
