@@ -5,11 +5,12 @@ from __future__ import annotations
 
 import functools
 import heapq
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,7 +33,10 @@ class Ride:
 
     @staticmethod
     def of(pdf: pd.DataFrame) -> Ride:
-        lat, lng, t, v = (pdf[c].to_numpy(float) for c in ("lat", "lng", "t_ms", "speed"))
+        return Ride.read(*[pdf[c].to_numpy(float) for c in ("lat", "lng", "t_ms", "speed")])
+
+    @staticmethod
+    def read(lat: np.ndarray, lng: np.ndarray, t: np.ndarray, v: np.ndarray) -> Ride:
         dt = np.diff(t, prepend=t[:1])
         mean = (v + np.concatenate([v[:1], v[:-1]])) / 2
         k = PER_LNG * np.cos(np.radians(lat.mean())) if len(lat) else 1.0
@@ -50,6 +54,18 @@ class Ride:
         w = self.weight[b] - self.weight[a]
         return (self.moved[b] - self.moved[a]) / w if w > 0 else (self.v[a] + self.v[b]) / 2
 
+    def off_lines(self, a: np.ndarray, b: np.ndarray, i: np.ndarray) -> np.ndarray:
+        """As `off_line`, each point with a segment of its own."""
+        dx, dy = self.x[b] - self.x[a], self.y[b] - self.y[a]
+        size = dx * dx + dy * dy
+        px, py = self.x[i] - self.x[a], self.y[i] - self.y[a]
+        u = np.where(size != 0, np.clip((px * dx + py * dy) / np.where(size != 0, size, 1.0), 0, 1), 0.0)
+        return np.hypot(px - u * dx, py - u * dy)
+
+    def mean_speeds(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        w = self.weight[b] - self.weight[a]
+        return np.where(w > 0, (self.moved[b] - self.moved[a]) / np.where(w > 0, w, 1.0), (self.v[a] + self.v[b]) / 2)
+
 
 def _split(ride: Ride, score: Callable[[int, int, np.ndarray], np.ndarray]) -> list[int]:
     """Ranges are split at the point of the largest score above 1."""
@@ -75,66 +91,115 @@ def farthest_point_or_speed(ride: Ride, tolerance: float, speed_per_meter: float
     return _split(ride, lambda a, b, i: np.maximum(ride.off_line(a, b, i) / tolerance, np.abs(ride.v[i] - ride.mean_speed(a, b)) / (tolerance * speed_per_meter)))
 
 
-def least_area(ride: Ride, area: float) -> list[int]:
-    """Points go in the order of their triangle's area with their neighbours, never below an area already gone."""
+def areas(ride: Ride, most: float = float("inf")) -> list[float]:
+    """The area at which each point goes: points go in the order of their triangle's area with their neighbours, never below
+    an area already gone. Infinite for the ends and for points that `most` leaves."""
     n = len(ride.x)
-    before, after, gone, version = list(range(-1, n - 1)), list(range(1, n + 1)), [False] * n, [0] * n
+    x, y = ride.x.tolist(), ride.y.tolist()
+    before, after, version = list(range(-1, n - 1)), list(range(1, n + 1)), [0] * n
+    out = [float("inf")] * n
 
     def triangle(i: int) -> float:
         a, b = before[i], after[i]
-        return abs((ride.x[a] - ride.x[i]) * (ride.y[b] - ride.y[i]) - (ride.x[b] - ride.x[i]) * (ride.y[a] - ride.y[i])) / 2
+        return abs((x[a] - x[i]) * (y[b] - y[i]) - (x[b] - x[i]) * (y[a] - y[i])) / 2
 
     heap = [(triangle(i), i, 0) for i in range(1, n - 1)]
     heapq.heapify(heap)
     while heap:
         size, i, seen = heapq.heappop(heap)
-        if gone[i] or seen != version[i]:
+        if seen != version[i]:
             continue
-        if size >= area:
+        if size >= most:
             break
-        gone[i] = True
+        out[i] = size
+        version[i] = -1
         a, b = before[i], after[i]
         after[a], before[b] = b, a
         for j in (a, b):
             if 0 < j < n - 1:
                 version[j] += 1
                 heapq.heappush(heap, (max(size, triangle(j)), j, version[j]))
-    return [i for i in range(n) if not gone[i]]
+    return out
+
+
+def least_area(ride: Ride, area: float) -> list[int]:
+    """Points that go at this area or a greater one."""
+    return [i for i, size in enumerate(areas(ride, area)) if not size < area]
+
+
+#: ranges of up to this many points are looked at point by point, as numbers and not as arrays
+FEW = 24
+
+
+def _offs(x: list[float], y: list[float], a: int, b: int, points: range | list[int]) -> list[float]:
+    """`off_line` of a few points, by the same steps."""
+    xa, ya = x[a], y[a]
+    dx, dy = x[b] - xa, y[b] - ya
+    size = dx * dx + dy * dy
+    out = []
+    for i in points:
+        px, py = x[i] - xa, y[i] - ya
+        u = (px * dx + py * dy) / size if size else 0.0
+        if u > 1.0:
+            u = 1.0
+        elif u < 0.0:
+            u = 0.0
+        out.append(abs(complex(px - u * dx, py - u * dy)))
+    return out
+
+
+def _corridors(ride: Ride) -> Callable[[float], list[int]]:
+    """`corridor` for many tolerances: how far a line's points lie off it is measured once a line."""
+    x, y = ride.x.tolist(), ride.y.tolist()
+    n = len(x)
+    worst: dict[tuple[int, int], float] = {}
+
+    def kept(tolerance: float) -> list[int]:
+        keep, a = [0], 0
+        for b in range(2, n):
+            if (a, b) not in worst:
+                off = _offs(x, y, a, b, range(a + 1, b)) if b - a <= FEW else ride.off_line(a, b, np.arange(a + 1, b)).tolist()
+                most = max(off, default=0.0)
+                worst[a, b] = most if most == most else max((o for o in off if o == o), default=0.0)
+            if worst[a, b] > tolerance:
+                a = b - 1
+                keep.append(a)
+        return [*keep, n - 1]
+
+    return kept
 
 
 def corridor(ride: Ride, tolerance: float) -> list[int]:
     """The line from the last kept point is drawn on while all points between stay within the tolerance."""
-    keep, a, n = [0], 0, len(ride.x)
-    for b in range(2, n):
-        if (ride.off_line(a, b, np.arange(a + 1, b)) > tolerance).any():
-            a = b - 1
-            keep.append(a)
-    return [*keep, n - 1]
+    return _corridors(ride)(tolerance)
 
 
 def spacing(ride: Ride, meters: float) -> list[int]:
+    x, y = ride.x.tolist(), ride.y.tolist()
     keep, last = [0], 0
-    for i in range(1, len(ride.x) - 1):
-        if np.hypot(ride.x[i] - ride.x[last], ride.y[i] - ride.y[last]) >= meters:
+    for i in range(1, len(x) - 1):
+        if abs(complex(x[i] - x[last], y[i] - y[last])) >= meters:
             keep.append(i)
             last = i
-    return [*keep, len(ride.x) - 1]
+    return [*keep, len(x) - 1]
 
 
 def interval(ride: Ride, seconds: float) -> list[int]:
+    t = ride.t.tolist()
     keep, last = [0], 0
-    for i in range(1, len(ride.t) - 1):
-        if ride.t[i] - ride.t[last] >= seconds * 1000:
+    for i in range(1, len(t) - 1):
+        if t[i] - t[last] >= seconds * 1000:
             keep.append(i)
             last = i
-    return [*keep, len(ride.t) - 1]
+    return [*keep, len(t) - 1]
 
 
 def data_saver(ride: Ride, meters: float) -> list[int]:
     """As when recording: a fix replaces the last kept one if that lies on the line from the one before it."""
+    x, y = ride.x.tolist(), ride.y.tolist()
     keep: list[int] = []
-    for i in range(len(ride.x)):
-        if len(keep) > 2 and ride.off_line(keep[-2], i, np.array([keep[-1]]))[0] < meters:
+    for i in range(len(x)):
+        if len(keep) > 2 and _offs(x, y, keep[-2], i, keep[-1:])[0] < meters:
             keep[-1] = i
         else:
             keep.append(i)
@@ -197,20 +262,40 @@ def split_kept(fixes: DataFrame, tolerance: float, by_speed: bool = False, in_ta
         more = not sizes.where(F.col("n") > in_task).isEmpty()
 
     columns = ("x", "y", "t_ms", "speed", "moved")
+    kernel = farthest_point_or_speed if by_speed else farthest_point
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        x, y, t, v, moved = (np.concatenate([pdf[f"a_{c}"].to_numpy(float)[:1], pdf[f"p_{c}"].to_numpy(float), pdf[f"b_{c}"].to_numpy(float)[:1]]) for c in columns)
-        part = Ride(x, y, t, v, t, moved)
-        inner = (farthest_point_or_speed if by_speed else farthest_point)(part, tolerance)[1:-1]
-        return pdf.iloc[[i - 1 for i in inner]][["ride_id", "seq"]]
-
-    flat = [F.col(f"{e}.{c}").alias(f"{e}_{c}") for e in "pab" for c in columns]
-    rest = functools.reduce(DataFrame.unionByName, [s.select("ride_id", F.col("a.seq").alias("at"), F.col("p.seq").alias("seq"), *flat) for s in small])
-    kept.append(rest.groupBy("ride_id", "at").applyInPandas(run, "ride_id long, seq long"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rides, seqs, *held in grouped(batches, ["ride_id", "at"], ["ride_id", "seq", *flat]):
+            x, y, t, v, moved = (np.concatenate([a[:1], p, b[:1]]).astype(float) for a, p, b in zip(held[:5], held[5:10], held[10:]))
+            at = np.array(kernel(Ride(x, y, t, v, t, moved), tolerance)[1:-1], np.int64) - 1
+            yield pa.RecordBatch.from_arrays([pa.array(rides[at], pa.int64()), pa.array(seqs[at], pa.int64())], names=["ride_id", "seq"])
+
+    flat = [f"{e}_{c}" for e in "apb" for c in columns]
+    rest = functools.reduce(DataFrame.unionByName, [s.select("ride_id", F.col("a.seq").alias("at"), F.col("p.seq").alias("seq"), *[F.col(f"{c[0]}.{c[2:]}").alias(c) for c in flat]) for s in small])
+    kept.append(folds.in_order(rest, "ride_id", "at", "seq").mapInArrow(run, "ride_id long, seq long"))
     return functools.reduce(DataFrame.unionByName, kept)
 
 
+def grouped(batches: Iterator[pa.RecordBatch], key: list[str], columns: list[str]) -> Iterator[list[np.ndarray]]:
+    """The columns of one key after another, of rows sorted by it. A task holds one key's rows."""
+    held: list[list[np.ndarray]] = []
+    own: tuple | None = None
+    for b in batches:
+        keys, values = [b.column(k).to_numpy(zero_copy_only=False) for k in key], [b.column(c).to_numpy(zero_copy_only=False) for c in columns]
+        new = np.flatnonzero(functools.reduce(np.logical_or, [k[1:] != k[:-1] for k in keys])) + 1
+        for i, j in zip([0, *new], [*new, b.num_rows]):
+            if i == j:
+                continue
+            of = tuple(k[i] for k in keys)
+            if of != own and held:
+                yield [np.concatenate(c) for c in zip(*held)]
+                held = []
+            own = of
+            held.append([v[i:j] for v in values])
+    if held:
+        yield [np.concatenate(c) for c in zip(*held)]
+
+
 def reduce_rides(fixes: DataFrame, algorithm: str, value: float | None = None) -> DataFrame:
     """(ride_id, seq) of the kept fixes; those with a null position or time are no fixes. What needs only the last kept
     fixes is a fold over sorted rows, splitting goes by rounds; for the least area, whose order is that of the whole
@@ -229,13 +314,76 @@ def reduce_rides(fixes: DataFrame, algorithm: str, value: float | None = None) -
     return known.groupBy("ride_id").applyInPandas(run, "ride_id long, seq long")
 
 
+def _splits(ride: Ride, by_speed: bool) -> Callable[[float], list[int]]:
+    """What the splitting kernels keep, for many tolerances: where a range is split does not depend on the tolerance, so a
+    range is scored once. A range with a second score so near its best that their quotients may be equal is left to the
+    kernel, ride and all."""
+    n, x, y, v = len(ride.x), ride.x.tolist(), ride.y.tolist(), ride.v.tolist()
+    whole = not (np.isnan(ride.x).any() or np.isnan(ride.y).any() or np.isnan(ride.v).any())
+    known: dict[tuple[int, int], tuple[float, int] | None] = {}
+
+    def best(a: int, b: int) -> tuple[float, int] | None:
+        if (a, b) not in known:
+            if whole and b - a <= FEW:
+                s = _offs(x, y, a, b, range(a + 1, b))
+                if by_speed:
+                    mean = float(ride.mean_speed(a, b))
+                    s = [max(p, abs(q - mean) / SPEED_PER_METER) for p, q in zip(s, v[a + 1 : b])]  # a power of two: no rounding
+                top = max(s)
+                k, least = s.index(top) if top == top else 0, top * (1 - 1e-14)
+                close = any(least <= p != top for p in s)
+            else:
+                i = np.arange(a + 1, b)
+                s = ride.off_line(a, b, i)
+                if by_speed:
+                    s = np.maximum(s, np.abs(ride.v[i] - ride.mean_speed(a, b)) / SPEED_PER_METER)
+                k = int(np.argmax(s))
+                top = float(s[k])
+                close = np.count_nonzero(s >= top * (1 - 1e-14)) != np.count_nonzero(s == top)
+            known[a, b] = None if close or top != top else (top, a + 1 + k)
+        return known[a, b]
+
+    def kept(tolerance: float) -> list[int]:
+        keep, todo = {0, n - 1}, [(0, n - 1)]
+        while todo:
+            a, b = todo.pop()
+            if b - a > 1:
+                cut = best(a, b)
+                if cut is None:
+                    return kept_indices(ride, "farthest_point_or_speed" if by_speed else "farthest_point", tolerance)
+                if cut[0] / tolerance > 1:
+                    keep.add(cut[1])
+                    todo += [(a, cut[1]), (cut[1], b)]
+        return sorted(keep)
+
+    return kept
+
+
+def _areas(ride: Ride) -> Callable[[float], list[int]]:
+    """What `least_area` keeps, for many areas: the order in which points go is the same, only where it ends is not."""
+    size = areas(ride)
+    return lambda area: [i for i, s in enumerate(size) if not s < area]
+
+
+def keeper(ride: Ride, algorithm: str) -> Callable[[float], list[int]]:
+    """`kept_indices` of one ride and algorithm for many parameters, with what these share done once."""
+    if len(ride.x) >= 3 and algorithm == "least_area":
+        return _areas(ride)
+    if len(ride.x) >= 3 and algorithm == "corridor":
+        return _corridors(ride)
+    if len(ride.x) >= 3 and algorithm in ("farthest_point", "farthest_point_or_speed"):
+        return _splits(ride, algorithm == "farthest_point_or_speed")
+    return lambda value: kept_indices(ride, algorithm, value)
+
+
 def _tuned(ride: Ride, algorithm: str, want: int, steps: int = 22) -> tuple[float, list[int]]:
     """The parameter, by bisection of its logarithm, whose kept count is nearest to `want`."""
     low, high = 1e-3, 1e6
     best: tuple[int, float, list[int]] | None = None
+    keep = keeper(ride, algorithm)
     for _ in range(steps):
         mid = float(np.sqrt(low * high))
-        kept = kept_indices(ride, algorithm, mid)
+        kept = keep(mid)
         if best is None or abs(len(kept) - want) < best[0]:
             best = (abs(len(kept) - want), mid, kept)
         if len(kept) == want:
@@ -256,14 +404,15 @@ def scores(ride: Ride, kept: list[int]) -> dict[str, float]:
     if len(kept) < 2:
         return {s: float(s == "peak_kept") for s in SCORES}
     low, high = np.append(at[0], (at[:-1] + at[1:]) // 2), np.append((at[:-1] + at[1:]) // 2, at[-1])
-    speed = np.array([ride.mean_speed(a, b) if b > a else ride.v[k] for a, b, k in zip(low, high, kept)])
+    speed = np.where(high > low, ride.mean_speeds(low, high), ride.v[at])
     off, read, span = np.zeros(n), np.zeros(n), np.zeros(n)
-    for k, (a, b) in enumerate(zip(kept, kept[1:])):
-        i = np.arange(a, b)
-        off[i] = ride.off_line(a, b, i)
-        u = (ride.t[i] - ride.t[a]) / (ride.t[b] - ride.t[a]) if ride.t[b] > ride.t[a] else 0.0
-        read[i] = np.abs(ride.v[i] - speed[k] - (speed[k + 1] - speed[k]) * u)
-        span[i] = np.abs(ride.v[i] - ride.mean_speed(a, b))
+    i, k = np.arange(at[0], at[-1]), np.repeat(np.arange(len(at) - 1), np.diff(at))  # fixes by the span they lie in
+    a, b = at[k], at[k + 1]
+    off[i] = ride.off_lines(a, b, i)
+    gone = ride.t[b] - ride.t[a]
+    u = np.where(gone > 0, (ride.t[i] - ride.t[a]) / np.where(gone > 0, gone, 1.0), 0.0)
+    read[i] = np.abs(ride.v[i] - speed[k] - (speed[k + 1] - speed[k]) * u)
+    span[i] = np.abs(ride.v[i] - ride.mean_speeds(a, b))
     length, left = (np.hypot(np.diff(x), np.diff(y)).sum() for x, y in ((ride.x, ride.y), (ride.x[at], ride.y[at])))
     peak = max(0.0, ride.v.max())
     found = (off.mean(), np.sort(off)[min(n - 1, int(0.95 * n))], off.max(), (left - length) / length if length else 0.0, read.mean(), read.max(), span.mean(), span.max(), max(0.0, speed.max()) / peak if peak else 1.0)
@@ -271,14 +420,18 @@ def scores(ride: Ride, kept: list[int]) -> dict[str, float]:
 
 
 def compare(fixes: DataFrame, share: float = 0.25) -> DataFrame:
-    """Every ride by every algorithm, tuned to keep a share of the fixes: kept count and `scores`."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        ride, algorithm = Ride.of(pdf), pdf["algorithm"].iloc[0]
-        n = len(pdf)
-        _, kept = _tuned(ride, algorithm, max(2, round(n * share)))
-        return pd.DataFrame([{"ride_id": pdf["ride_id"].iloc[0], "algorithm": algorithm, "n": n, "n_kept": len(kept), **scores(ride, kept)}])
+    """Every ride by every algorithm, tuned to keep a share of the fixes: kept count and `scores`. A task holds one ride."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rides, *held in grouped(batches, ["ride_id"], ["ride_id", "lat", "lng", "t_ms", "speed"]):
+            ride, n, rows = Ride.read(*[h.astype(float) for h in held]), len(rides), []
+            for algorithm in REGISTRY:
+                _, kept = _tuned(ride, algorithm, max(2, round(n * share)))
+                rows.append({"ride_id": int(rides[0]), "algorithm": algorithm, "n": n, "n_kept": len(kept), **scores(ride, kept)})
+            yield pa.RecordBatch.from_pylist(rows, schema=_COMPARED)
 
     known = fixes.select("ride_id", "seq", "lat", "lng", "t_ms", "speed").dropna(subset=["ride_id", "seq", "lat", "lng", "t_ms"])
-    pairs = known.withColumn("algorithm", F.explode(F.array(*[F.lit(a) for a in REGISTRY])))
-    return pairs.groupBy("ride_id", "algorithm").applyInPandas(run, "ride_id long, algorithm string, n long, n_kept long, " + ", ".join(f"{s} double" for s in SCORES))
+    return folds.in_order(known, "ride_id", "seq").mapInArrow(run, "ride_id long, algorithm string, n long, n_kept long, " + ", ".join(f"{s} double" for s in SCORES))
+
+
+_COMPARED = pa.schema([("ride_id", pa.int64()), ("algorithm", pa.string()), ("n", pa.int64()), ("n_kept", pa.int64()), *[(s, pa.float64()) for s in SCORES]])
