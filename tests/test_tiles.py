@@ -78,3 +78,31 @@ def test_heights_written_and_read_back(spark):
     lacking = [(8, 0, 1.0), (9, 1, None), (None, 1, 1.0)]
     made = tiles.terrain_tiles(spark.createDataFrame([*h, *lacking, (0, 0, h[16][2])], "gx long, gy long, height double"), 4)
     assert sorted(tuple(r) for r in tiles.terrain_heights(made, 4).collect()) == sorted(h)
+
+
+def test_lines_are_handed_on_in_parts(spark, monkeypatch):
+    """A whole batch of tiles was one frame of lines; a tile of many lines is handed on in parts too."""
+    monkeypatch.setattr(tiles, "LINES_AT_ONCE", 10)
+    rows = [(x, y, f, 0, {"n": str(f)}, [{"x": f, "y": x}, {"x": f + 1, "y": y}]) for x in (0, 1) for y in range(5) for f in range(13)]
+    df = spark.createDataFrame(rows, "x long, y long, feature long, line long, props map<string,string>, coords array<struct<x:long,y:long>>")
+    stored = tiles.line_tiles(df, "roads")
+    assert stored.count() == 10
+    sizes = []
+    whole = tiles._lines
+    monkeypatch.setattr(tiles, "_lines", lambda rows: (sizes.append(len(rows)), whole(rows))[1])
+    spy = type("Tiles", (), {"select": lambda self, *c: self, "mapInArrow": lambda self, run, schema: list(run(iter(stored.toArrow().to_batches())))})()
+    parts = tiles.decode_lines(spy, "roads")
+    assert sum(p.num_rows for p in parts) == 130 and max(sizes) <= 13 and len(sizes) > 10
+    got = sorted((r.x, r.y, r.feature, r.line, r.props["n"], [tuple(c) for c in r.coords]) for r in tiles.decode_lines(stored, "roads").collect())
+    assert got == sorted((x, y, f, i, p["n"], [(c["x"], c["y"]) for c in cs]) for x, y, f, i, p, cs in rows)
+
+
+def test_rows_of_a_block_are_written_by_many_tasks(spark, tmp_path):
+    t = spark.range(2000).selectExpr("id % 2 AS x", "id AS y", "unhex('00') AS data")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        tiles.store(t, str(tmp_path / "t"), 9)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(list((tmp_path / "t" / "zoom=9" / "block=0").glob("*.parquet"))) > 1
+    assert tiles.stored(spark.read.parquet(str(tmp_path / "t")), 9, 0, 1, 100, 199).count() == 100

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -100,21 +101,37 @@ def line_features(data: bytes, layer: str) -> list[tuple[int, dict[str, str | No
     return out
 
 
+LINES_AT_ONCE = 2048  # lines that a task decodes before it hands them on
+
+
 def decode_lines(tiles: DataFrame, layer: str) -> DataFrame:
-    """(x, y, feature, line, props, coords) of tiles (x, y, data); a damaged tile gives no rows."""
+    """(x, y, feature, line, props, coords) of tiles (x, y, data); a damaged tile gives no rows. A task holds one tile's lines
+    and up to `LINES_AT_ONCE` of those before."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            rows = []
-            for x, y, data in zip(pdf["x"], pdf["y"], pdf["data"]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        for b in batches:
+            for x, y, data in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), b.column("data")):
                 try:
-                    found = line_features(bytes(data), layer) if data is not None else []
+                    found = line_features(data.as_py(), layer) if data.is_valid else []
                 except (IndexError, KeyError, UnicodeDecodeError, struct.error):
                     found = []
-                rows += [(x, y, f, i, props, [{"x": a, "y": b} for a, b in line]) for f, (_, props, lines) in enumerate(found) for i, line in enumerate(lines)]
-            yield pd.DataFrame(rows, columns=["x", "y", "feature", "line", "props", "coords"])
+                for f, (_, props, lines) in enumerate(found):
+                    rows += [(x, y, f, i, list(props.items()), [{"x": a, "y": b} for a, b in line]) for i, line in enumerate(lines)]
+                    if len(rows) >= LINES_AT_ONCE:
+                        yield _lines(rows)
+                        rows = []
+        if rows:
+            yield _lines(rows)
+
+    return tiles.select("x", "y", "data").mapInArrow(run, "x long, y long, feature long, line long, props map<string,string>, coords array<struct<x:long,y:long>>")
+
+
+_LINES = pa.schema([*[(c, pa.int64()) for c in ("x", "y", "feature", "line")], ("props", pa.map_(pa.string(), pa.string())), ("coords", pa.list_(pa.struct([("x", pa.int64()), ("y", pa.int64())])))])
+
 
-    return tiles.select("x", "y", "data").mapInPandas(run, "x long, y long, feature long, line long, props map<string,string>, coords array<struct<x:long,y:long>>")
+def _lines(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _LINES.types)], schema=_LINES)
 
 
 def terrain_heights(tiles: DataFrame, size: int = 256) -> DataFrame:
@@ -177,14 +194,25 @@ def encoded(features: list[tuple[dict[str, str], list[list[tuple[int, int]]]]],
 def line_tiles(lines: DataFrame, layer: str, extent: int = 4096) -> DataFrame:
     """Tiles (x, y, data) of lines (x, y, feature, line, props, coords) as `decode_lines` gives them; a task holds a tile."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: tuple | None = None
         features: dict[int, tuple[dict, list]] = {}
-        for r in pdf.sort_values(["feature", "line"]).itertuples():
-            features.setdefault(r.feature, (dict(r.props or {}), []))[1].append([(int(c["x"]), int(c["y"])) for c in r.coords])
-        return pd.DataFrame([{"x": pdf["x"].iloc[0], "y": pdf["y"].iloc[0], "data": encoded(list(features.values()), layer, extent)}])
+        tile = lambda: pa.RecordBatch.from_arrays([pa.array([own[0]], pa.int64()), pa.array([own[1]], pa.int64()), pa.array([encoded(list(features.values()), layer, extent)], pa.binary())], names=["x", "y", "data"])
+        for whole in batches:
+            for k in range(0, whole.num_rows, LINES_AT_ONCE):
+                b = whole.slice(k, LINES_AT_ONCE)
+                for x, y, feature, props, xs, ys in zip(*[b.column(c).to_pylist() for c in ("x", "y", "feature", "props", "xs", "ys")]):
+                    if (x, y) != own:
+                        if own is not None:
+                            yield tile()
+                        own, features = (x, y), {}
+                    features.setdefault(feature, (dict(props or ()), []))[1].append(list(zip(xs, ys)))
+        if own is not None:
+            yield tile()
 
     known = lines.dropna(subset=["x", "y", "feature", "line", "coords"])
-    return known.groupBy("x", "y").applyInPandas(run, "x long, y long, data binary")
+    flat = known.select("x", "y", "feature", "line", "props", *[F.col(f"coords.{c}").cast("array<long>").alias(f"{c}s") for c in "xy"])
+    return flat.repartition(F.xxhash64("x", "y")).sortWithinPartitions("x", "y", "feature", "line").mapInArrow(run, "x long, y long, data binary")
 
 
 def terrain_tiles(heights: DataFrame, size: int = 256) -> DataFrame:
@@ -199,12 +227,14 @@ def terrain_tiles(heights: DataFrame, size: int = 256) -> DataFrame:
 
 
 BLOCK = 16  # columns of tiles that share a folder
+ROWS = 256  # rows of tiles that share a file of it
 
 
 def store(tiles: DataFrame, path: str, zoom: int) -> None:
-    """Tiles (x, y, data) written by zoom and by blocks of columns, sorted by row within them."""
+    """Tiles (x, y, data) written by zoom and by blocks of columns, sorted by row within them. A block's bands of rows are
+    dealt to many tasks."""
     t = tiles.withColumns({"zoom": F.lit(zoom), "block": F.floor(F.col("x") / BLOCK)})
-    t.repartition("block").sortWithinPartitions("block", "y", "x").write.mode("append").partitionBy("zoom", "block").parquet(path)
+    t.repartition("block", F.floor(F.col("y") / ROWS)).sortWithinPartitions("block", "y", "x").write.mode("append").partitionBy("zoom", "block").parquet(path)
 
 
 def stored(tiles: DataFrame, zoom: int, west: int, east: int, north: int, south: int) -> DataFrame:
