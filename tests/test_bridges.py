@@ -78,3 +78,15 @@ def test_splits_ends_levels_and_roads(spark):
     assert joins == {(8, 9): (10.0, 3.0), (9, 12): (10.01, 3.0), (16, 17): (20.0, 3.0), (4, 24): (10.01, 3.0), (28, 32): (20.0, 3.0)}
     assert {r.edge for r in out} == {None, *range(1, 11)}
     assert B.bridged(spark.createDataFrame([], EDGE)).collect() == []
+
+
+def test_an_end_gathers_only_edges_that_it_may_use(spark, monkeypatch):
+    """A crossing of long ways 40 metres off was gathered whole, though no walk of 50 metres takes one."""
+    rows = [(1, 1, 2, 10.0, 0.0, 0.0, 10.0, 0.0, True, 0), (2, 2, 9, 300.0, 10.0, 0.0, 10.0, 300.0, False, 0)]
+    rows += [(10 + k, 20, 30 + k, 200.0, -40.0, 0.0, -40.0 - k, 200.0, False, 0) for k in range(5)] + [(3, 50, 51, 100.0, -8.0, -50.0, -8.0, 50.0, False, 0), (4, 52, 53, 100.0, -6.0, -50.0, -6.0, 50.0, False, 1)]
+    e = spark.createDataFrame(rows, "edge long, a long, b long, meters double, ax double, ay double, bx double, by double, path boolean, level int")
+    gathered = []
+    order = B.in_order
+    monkeypatch.setattr(B, "in_order", lambda df, *by: (gathered.extend(r.edge for r in df.where("p = 1").collect()), order(df, *by))[1])
+    got = [(r.p, r.edge, r.meters) for r in B.landings(e).collect()]
+    assert got == [(1, 3, 8.0)] and sorted(gathered) == [1, 2, 3]

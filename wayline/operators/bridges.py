@@ -32,7 +32,11 @@ def landings(edges: DataFrame, reach: float = 25.0, own: float = 50.0, side: flo
     span = lambda c: F.explode(F.sequence(F.floor(F.least(f"a{c}", f"b{c}") / side), F.floor(F.greatest(f"a{c}", f"b{c}") / side)))
     there = e.withColumn("cx", span("x")).withColumn("cy", span("y")).drop("path").withColumnRenamed("level", "of_level")
     first = lambda c: F.greatest(F.floor(F.least(f"a{c}", f"b{c}") / side), low(c)) == F.col(f"c{c}")
-    met = asked.join(there, ["cx", "cy"]).where(first("x") & first("y"))
+    # of use are edges that a walk of `own` metres from the end may take, and those of its level that it may land on
+    far = lambda n: F.hypot(F.col(f"{n}x") - F.col("px"), F.col(f"{n}y") - F.col("py"))
+    close = lambda c: (F.col(f"p{c}") >= F.least(f"a{c}", f"b{c}") - reach * 1.001) & (F.col(f"p{c}") <= F.greatest(f"a{c}", f"b{c}") + reach * 1.001)
+    walked = F.least(far("a"), far("b")) + F.col("meters") <= own * 1.001
+    met = asked.join(there, ["cx", "cy"]).where(first("x") & first("y") & (walked | ((F.col("of_level") == F.col("level")) & close("x") & close("y"))))
     columns = ["p", "px", "py", "level", "edge", "a", "b", "meters", "ax", "ay", "bx", "by", "of_level"]
 
     def search(p: int, rows: list[tuple]) -> list[dict]:
