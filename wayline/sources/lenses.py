@@ -54,12 +54,16 @@ def ride(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def lap(spark: SparkSession, sf_dir: str) -> DataFrame:
+def lap(spark: SparkSession, sf_dir: str, placed: bool = False) -> DataFrame:
+    """One row per lap; `placed` adds `place`, where it stands in its table."""
     l, o, p = (read(spark, sf_dir, t) for t in ("lineitem", "orders", "part"))
+    if placed:
+        l = l.select("*", F.struct("_metadata.file_path", "_metadata.row_index").alias("place"))
     laps = l.join(o, l.l_orderkey == o.o_orderkey).join(p, l.l_partkey == p.p_partkey)
     return laps.select(
         F.col("l_partkey").alias("section_id"), F.col("l_linestatus").alias("direction"), F.col("l_orderkey").alias("ride_id"),
         F.col("o_orderdate").cast("timestamp").alias("ride_date"), (F.col("l_quantity") / 4).alias("speed"), (F.col("l_discount") - dbl(0.05)).alias("grade"), (F.col("p_size") + dbl(60)).alias("meters"),
+        *["place"][: int(placed)],
     )
 
 
